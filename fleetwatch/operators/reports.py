@@ -176,3 +176,15 @@ def histogram_quantiles(buckets: DataFrame, qs=(0.5, 0.9, 0.99)) -> DataFrame:
            .otherwise(F.col("prev_le") + (F.col("le") - F.col("prev_le"))
                       * (F.col("rank") - F.col("prev_cum")) / (F.col("cum") - F.col("prev_cum"))))
     return hit.select("quantile", val.alias("latency_s"))
+
+
+def unit_replay(df: DataFrame, unit=None) -> DataFrame:
+    """One unit's records in cycle order (the dashboard's selected unit; default:
+    the first unit of the sorted unit list)."""
+    if unit is None:
+        first = df.agg(F.min("unit_id").alias("_u"))
+        sel = df.join(F.broadcast(first), F.col("unit_id") == F.col("_u"), "left_semi")
+    else:
+        sel = df.where(F.col("unit_id") == unit)
+    return (sel.select("unit_id", "time_cycle", "sensor_2", "anomaly_flag", "recommended_action")
+            .orderBy("time_cycle"))

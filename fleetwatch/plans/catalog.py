@@ -427,3 +427,103 @@ query("policy_apply", POLICY_SQL.replace("WITH ", "WITH ", 1)
         f"list_extract([{_NAMES}], p.best_action + 1) AS best_action_name "
         f"FROM ({_STATE_ROWS}) s LEFT JOIN pol p ON p.state = s.state")(
     lambda spark, sf: P.apply_policy(decided(spark, sf), P.greedy_policy(q_table(spark, sf))))
+
+# --------------------------------------------------------------- messages, monitoring
+
+from ..sources import payload as PL  # noqa: E402
+
+NARROW_REQUEST = ["unit_id", "time_cycle", "sensor_2"]
+
+query("payload_json", W("SELECT event_id, to_json(struct_pack(unit_id := CAST(unit_id AS BIGINT), "
+                        "time_cycle := CAST(time_cycle AS BIGINT), sensor_2 := coalesce(CASE WHEN isnan(sensor_2) "
+                        "THEN 0.0 ELSE sensor_2 END, CAST(0 AS DOUBLE)))) AS value FROM telemetry", "telemetry"))(
+    lambda spark, sf: PL.to_payload(T.telemetry(spark, sf), NARROW_REQUEST).select("event_id", "value"))
+
+_REQ_SQL = ("SELECT event_id, unit_id, time_cycle, CASE WHEN event_id % 50 = 0 THEN NULL ELSE sensor_2 END AS sensor_2, "
+            "event_id % 50 <> 0 AS valid FROM telemetry")
+REQUESTS_SQL = f"({_REQ_SQL} UNION ALL {_REQ_SQL} WHERE event_id % 40 = 1)"
+
+
+def decoded_requests(spark, sf):
+    return PL.decode(PL.request_fixture(T.telemetry(spark, sf)), PL.request_schema(NARROW_REQUEST))
+
+
+query("request_validation", W(f"SELECT * FROM {REQUESTS_SQL} r", "telemetry"))(decoded_requests)
+
+_ANOM = "(0.1 - sensor_2 / 500.0 < 0)"
+
+
+@query("success_rate", W(
+    "SELECT requests_total, failures_total, anomalies_total, "
+    "CAST(100 AS DOUBLE) * anomalies_total / CAST(greatest(requests_total, 1) AS DOUBLE) AS anomaly_pct, "
+    "CAST(100 AS DOUBLE) * (CAST(1 AS DOUBLE) - failures_total / CAST(greatest(requests_total, 1) AS DOUBLE)) AS success_pct "
+    "FROM (SELECT count(*) AS requests_total, count(*) FILTER (WHERE NOT valid) AS failures_total, "
+    f"count(*) FILTER (WHERE valid AND {_ANOM}) AS anomalies_total FROM {REQUESTS_SQL} r) c", "telemetry"))
+def success_rate(spark, sf):
+    d = decoded_requests(spark, sf)
+    ok = d.where("valid").withColumn("anomaly_flag", F.when(
+        F.lit(0.1) - F.col("sensor_2") / F.lit(500.0) < 0, F.lit(-1)).otherwise(F.lit(1)))
+    return R.success_rates(R.counters(ok, d.where(~F.col("valid"))))
+
+
+_BOUNDS = [float(b) for b in C.LATENCY_BUCKETS] + [float("inf")]
+_BUCKETS_SQL = ("(SELECT b.idx, b.le, count(s.latency_s) FILTER (WHERE s.latency_s <= b.le) AS cum FROM (VALUES "
+                + ", ".join(f"({i}, CAST('{le}' AS DOUBLE))" for i, le in enumerate(_BOUNDS))
+                + ") b(idx, le) CROSS JOIN scored s GROUP BY b.idx, b.le)")
+query("latency_quantiles", W(
+    "SELECT quantile, CASE WHEN total = 0 THEN NULL WHEN le = CAST('inf' AS DOUBLE) THEN prev_le "
+    "ELSE prev_le + (le - prev_le) * (rank - prev_cum) / (cum - prev_cum) END AS latency_s FROM ("
+    "SELECT q.quantile, x.*, q.quantile * x.total AS rank, row_number() OVER (PARTITION BY q.quantile ORDER BY x.idx) AS rn "
+    "FROM (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE)), (CAST(0.99 AS DOUBLE))) q(quantile), "
+    "(SELECT idx, le, cum, coalesce(lag(le) OVER (ORDER BY idx), CAST(0 AS DOUBLE)) AS prev_le, "
+    f"coalesce(lag(cum) OVER (ORDER BY idx), 0) AS prev_cum, max(cum) OVER () AS total FROM {_BUCKETS_SQL} bb) x "
+    "WHERE x.cum >= q.quantile * x.total) h WHERE rn = 1", "scored"))(
+    lambda spark, sf: R.histogram_quantiles(R.latency_buckets(T.scored(spark, sf))))
+
+
+def _ts_utc(col="ts"):
+    return F.col(col).cast("timestamp")
+
+
+@query("rate_windows", W(
+    "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests, "
+    "count(*) FILTER (WHERE anomaly_flag = -1) AS anomalies, CAST(count(*) AS DOUBLE) / CAST(3600 AS DOUBLE) AS request_rate, "
+    "CAST(count(*) FILTER (WHERE anomaly_flag = -1) AS DOUBLE) / CAST(3600 AS DOUBLE) AS anomaly_rate "
+    "FROM (SELECT s.*, time_bucket(INTERVAL 15 MINUTE, ts) - k.k * INTERVAL 15 MINUTE AS ws FROM scored s, "
+    "range(0, 4) k(k)) w GROUP BY ws", "scored"))
+def rate_windows(spark, sf):
+    from ..streaming.monitor import rate_windows as rw
+    return rw(T.scored(spark, sf).withColumn("ts", _ts_utc()))
+
+
+@query("cumulative_counters", W(
+    "SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS hour_start, requests, anomalies, "
+    "CAST(sum(requests) OVER (ORDER BY h) AS BIGINT) AS cum_requests, "
+    "CAST(sum(anomalies) OVER (ORDER BY h) AS BIGINT) AS cum_anomalies FROM (SELECT date_trunc('hour', ts) AS h, "
+    "count(*) AS requests, count(*) FILTER (WHERE anomaly_flag = -1) AS anomalies FROM scored GROUP BY 1) g", "scored"))
+def cumulative_counters(spark, sf):
+    s = T.scored(spark, sf).withColumn("h", F.date_trunc("hour", _ts_utc()))
+    g = s.groupBy("h").agg(F.count(F.lit(1)).alias("requests"),
+                           F.count_if(F.col("anomaly_flag") == -1).alias("anomalies"))
+    c = E.cumulative_over_key(g.withColumn("_k", F.unix_seconds("h")), "_k", ["requests", "anomalies"],
+                              descending=False)
+    return c.select(F.date_format("h", "yyyy-MM-dd HH:mm:ss").alias("hour_start"), "requests", "anomalies",
+                    F.col("cum_requests").cast("long").alias("cum_requests"),
+                    F.col("cum_anomalies").cast("long").alias("cum_anomalies"))
+
+
+@query("avg_latency", W(
+    f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_start, "
+    f"{rx('sum(latency_s) / greatest(CAST(count(latency_s) AS DOUBLE), 0.001)', 9)} AS avg_latency_s "
+    "FROM scored GROUP BY 1", "scored"))
+def avg_latency(spark, sf):
+    s = T.scored(spark, sf).withColumn("h", F.date_trunc("hour", _ts_utc()))
+    a = s.groupBy("h").agg((F.sum("latency_s") / F.greatest(F.count("latency_s").cast("double"),
+                                                              F.lit(C.RATE_FLOOR))).alias("v"))
+    return a.select(F.date_format("h", "yyyy-MM-dd HH:mm:ss").alias("hour_start"),
+                    round_exact("v", 9).alias("avg_latency_s"))
+
+
+query("selected_unit_replay", W("SELECT unit_id, time_cycle, sensor_2, anomaly_flag, recommended_action FROM decided "
+                                "WHERE unit_id = (SELECT min(unit_id) FROM decided)", DEC))(
+    lambda spark, sf: R.unit_replay(decided(spark, sf)))
