@@ -84,7 +84,7 @@ def _stats_sql() -> str:
     + f" FROM {WIDE_LABELED_SQL} f CROSS JOIN (SELECT {_stats_sql()} FROM {WIDE_LABELED_SQL} g) s",
     "telemetry_wide"))
 def zscore_scale(spark, sf):
-    df = T.wide_labeled(spark, sf)
+    df = T.wide_labeled(spark, sf, materialize=True)
     scaled, _, cols = scale_features(df, WIDE_FEATURES)
     staged = scaled.select("unit_id", "time_cycle", "RUL", *cols)
     return staged.select("unit_id", "time_cycle", "RUL", *[round_exact(c, 6).alias(c) for c in cols])

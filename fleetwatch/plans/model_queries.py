@@ -14,7 +14,7 @@ from .catalog import WIDE_FEATURES, query
 
 
 def scaled_wide(spark: SparkSession, sf: str) -> DataFrame:
-    scaled, _, _ = scale_features(T.wide_labeled(spark, sf), WIDE_FEATURES)
+    scaled, _, _ = scale_features(T.wide_labeled(spark, sf, materialize=True), WIDE_FEATURES)
     return scaled
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import number_rows
+from ..session import materialize as materialize_table
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -74,7 +75,11 @@ def telemetry_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where((F.col("unit_id") % 5 != 0) | (F.col("time_cycle") <= 20))
 
 
-def wide_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """telemetry_wide + RUL + rolling/diff features: the model input table."""
+def wide_labeled(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """telemetry_wide + RUL + rolling/diff features: the model input table.
+
+    ``materialize`` writes it once to the shared checkpoint folder (reliable,
+    lineage cut) for jobs that read it several times (scaler + models)."""
     from ..operators.features import add_rul, add_telemetry_features
-    return add_telemetry_features(add_rul(telemetry_wide(spark, sf_dir)))
+    df = add_telemetry_features(add_rul(telemetry_wide(spark, sf_dir)))
+    return materialize_table(df, "wide-features") if materialize else df
