@@ -84,9 +84,11 @@ def recent_anomalies(df: DataFrame, k: int = 10) -> DataFrame:
 
 def latest_feed(df: DataFrame, n: int = 20, order: str = "event_id") -> DataFrame:
     """Newest ``n`` records (a top-k report), newest first."""
-    return (df.orderBy(F.col(order).desc()).limit(n)
-            .select(order, "unit_id", "time_cycle", "anomaly_flag", "predicted_RUL",
-                    "recommended_action", "risk_score", "confidence"))
+    cols = [order, "unit_id", "time_cycle", "anomaly_flag", "predicted_RUL", "recommended_action", "risk_score",
+            "confidence"]
+    if "latency_s" in df.columns:
+        cols.append(round_exact(F.col("latency_s") * F.lit(1000.0), 2).alias("latency_ms"))
+    return df.orderBy(F.col(order).desc()).limit(n).select(*cols)
 
 
 def live_kpis(df: DataFrame, n: int = C.LIVE_STORE_SIZE, order: str = "event_id") -> DataFrame:

@@ -174,7 +174,8 @@ query("recent_anomalies", W("SELECT * FROM (SELECT unit_id, time_cycle, risk_sco
                             "AS rank_from_latest FROM decided WHERE anomaly_flag = -1) a WHERE rank_from_latest <= 10", DEC))(
     lambda spark, sf: R.recent_anomalies(decided(spark, sf)))
 query("latest_feed", W("SELECT event_id, unit_id, time_cycle, anomaly_flag, predicted_RUL, recommended_action, "
-                       "risk_score, confidence FROM decided ORDER BY event_id DESC LIMIT 20", DEC))(
+                       f"risk_score, confidence, {rx('latency_s * CAST(1000 AS DOUBLE)', 2)} AS latency_ms "
+                       "FROM decided ORDER BY event_id DESC LIMIT 20", DEC))(
     lambda spark, sf: R.latest_feed(decided(spark, sf)))
 
 
