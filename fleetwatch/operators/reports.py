@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import decisions as D
-from ..functions.numeric import clip, round_exact
+from ..functions.numeric import clip, round_exact, truncate_text
 from .ordered import top_k_per_unit
 
 STATUS_FIELDS = ["time_cycle", "RUL", "predicted_RUL", "anomaly_score", "anomaly_flag",
@@ -42,8 +42,21 @@ def risk_histogram(df: DataFrame, risk: str = "risk_score", bins: int = C.RISK_H
             .withColumn("bin_high", (F.col("bin") + 1) / F.lit(float(bins))))
 
 
+CONFIDENCE_GROUP = ["risk_score", "confidence"]
+AUTOENCODER_GROUP = ["reconstruction_error", "autoencoder_anomaly_flag"]
+
+
+def has_group(df: DataFrame, group: list) -> bool:
+    """Plan-time presence check of an optional column group (no job)."""
+    return all(c in df.columns for c in group)
+
+
 def unit_status(df: DataFrame) -> DataFrame:
-    """Status panel of every unit: latest row + health, alert, failure risk, risk band."""
+    """Status panel of every unit: latest row + health, alert, failure risk, risk band.
+
+    Without the confidence group (risk, confidence) those fields are NULL."""
+    if not has_group(df, CONFIDENCE_GROUP):
+        df = df.withColumns({"risk_score": F.lit(None).cast("double"), "confidence": F.lit(None).cast("string")})
     latest = F.max_by(F.struct(*[F.col(c) for c in STATUS_FIELDS]), "time_cycle")
     u = df.groupBy("unit_id").agg(
         F.count(F.lit(1)).alias("unit_records"),
@@ -65,6 +78,7 @@ def unit_status(df: DataFrame) -> DataFrame:
         F.col("_l.anomaly_score").alias("anomaly_score"),
         F.col("_l.anomaly_flag").alias("anomaly_flag"),
         action.alias("recommended_action"),
+        truncate_text(action, C.TEXT_TRUNCATE_AT, C.TEXT_TRUNCATE_KEEP).alias("action_display"),
         F.col("_l.risk_score").alias("risk_score"),
         F.col("_l.confidence").alias("confidence"),
         health.alias("health_score"),

@@ -117,7 +117,9 @@ _FAIL = (f"least({rx('u.unit_anomalies / u.unit_records * CAST(100 AS DOUBLE) *
          f"CAST(100 AS DOUBLE))")
 UNIT_STATUS_SQL = W(
     "SELECT u.unit_id, u.unit_records, u.unit_anomalies, u.latest_cycle, d.RUL AS actual_RUL, d.predicted_RUL, "
-    "abs(d.RUL - d.predicted_RUL) AS abs_error, d.anomaly_score, d.anomaly_flag, d.recommended_action, d.risk_score, "
+    "abs(d.RUL - d.predicted_RUL) AS abs_error, d.anomaly_score, d.anomaly_flag, d.recommended_action, "
+    "CASE WHEN length(d.recommended_action) > 30 THEN substr(d.recommended_action, 1, 28) || '…' "
+    "ELSE d.recommended_action END AS action_display, d.risk_score, "
     f"d.confidence, {_HEALTH} AS health_score, {O.health_class_sql(_HEALTH)} AS health_class, "
     f"{O.alert_level_sql('d.recommended_action')} AS alert_level, {O.alert_value_sql('d.recommended_action')} AS alert_value, "
     f"{_FAIL} AS failure_risk, {O.risk_band_sql('d.risk_score')} AS risk_band "
@@ -528,3 +530,13 @@ def avg_latency(spark, sf):
 query("selected_unit_replay", W("SELECT unit_id, time_cycle, sensor_2, anomaly_flag, recommended_action FROM decided "
                                 "WHERE unit_id = (SELECT min(unit_id) FROM decided)", DEC))(
     lambda spark, sf: R.unit_replay(decided(spark, sf)))
+
+
+def _validation_split(spark, sf):
+    from ..operators.splits import validation_flag
+    return validation_flag(T.telemetry(spark, sf)).select("unit_id", "time_cycle", "is_val")
+
+
+query("validation_split", W("SELECT unit_id, time_cycle, CAST(('0x' || substr(md5(concat_ws(':', CAST(unit_id AS VARCHAR), "
+                            "CAST(time_cycle AS VARCHAR), '43')), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) "
+                            f"< {C.VALIDATION_SPLIT} AS is_val FROM telemetry", "telemetry"))(_validation_split)
