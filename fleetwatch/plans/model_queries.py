@@ -77,3 +77,27 @@ def model_results(spark, sf):
     return out.select("unit_id", "time_cycle", "RUL", "anomaly_score", "anomaly_flag", "reconstruction_error",
                       "autoencoder_anomaly_flag", "predicted_RUL", "recommended_action", "risk_score", "confidence",
                       "justification", "true_anomaly")
+
+
+@query("pipeline_results")
+def pipeline_results(spark, sf):
+    """The whole batch job; returns its results table (written by unit bucket)."""
+    from .pipeline import run_batch
+    paths = run_batch(spark, sf, with_sequence_model=False)
+    return spark.read.parquet(paths["results"]).drop("unit_bucket")
+
+
+@query("stream_model_scoring")
+def stream_model_scoring(spark, sf):
+    """Requests of all 26 raw fields (wide telemetry padded, producer rules) replayed
+    through the scoring stream with the saved models."""
+    from ..sources import payload as PL
+    from ..streaming import pipeline as S
+    from .pipeline import train
+    model_dir, _, _, _ = train(spark, sf)
+    w = T.telemetry_wide(spark, sf)
+    w = w.withColumns({c: F.lit(0.0) for c in C.SENSOR_COLUMNS if c not in w.columns})
+    topic = S.scratch(spark, "requests")
+    S.publish(PL.to_payload(w, C.RAW_COLUMNS), topic)
+    sinks = S.run_model_scoring(spark, topic, model_dir)
+    return S.read_sink(spark, sinks["scored"]).drop("timestamp")

@@ -26,7 +26,7 @@ def stream_dedup(spark, sf):
     s = S.telemetry_stream(spark, sf)
     doubled = s.unionByName(S.telemetry_stream(spark, sf))
     sink, ck = S.scratch(spark, "stream-dedup"), S.scratch(spark, "ckpt-dedup")
-    S.drain(S.stateful_features(S.dedup(doubled)), sink, ck)
+    S.drain(S.stateful_features(S.dedup(doubled).drop("event_type")), sink, ck)
     return S.read_sink(spark, sink).select("unit_id", "time_cycle", "event_id", "sensor_2")
 
 

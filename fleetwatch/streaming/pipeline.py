@@ -53,40 +53,49 @@ def dedup(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["unit_id", "event_id"])
 
 
-def stateful_features(stream: DataFrame, sensor: str = "sensor_2", window: int = C.ROLLING_WINDOW) -> DataFrame:
+def stateful_features(stream: DataFrame, sensors=("sensor_2",), window: int = C.ROLLING_WINDOW,
+                      order=("ts", "event_id"), assign_cycle: bool = True) -> DataFrame:
+    """Per-unit rolling mean / first difference of ``sensors`` across micro-batches.
+
+    State per unit: the number of rows seen and the last ``window - 1`` readings of
+    each sensor (bounded).  Rows of a unit inside one micro-batch are ordered by
+    ``order``; ``assign_cycle`` numbers them 1..n across batches (else the stream's
+    own ``time_cycle`` is kept).  Every other input column passes through."""
+    sensors = [s for s in sensors if s in stream.columns]
     keep = window - 1
-    out_schema = T.StructType([
-        T.StructField("unit_id", T.LongType()), T.StructField("time_cycle", T.LongType()),
-        T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
-        T.StructField(sensor, T.DoubleType()), T.StructField(f"{sensor}_rolling_mean", T.DoubleType()),
-        T.StructField(f"{sensor}_diff", T.DoubleType())])
+    base = [f for f in stream.schema.fields if f.name not in sensors and f.name != "time_cycle"]
+    fields = [T.StructField("time_cycle", T.LongType())] + base
+    fields += [T.StructField(s, T.DoubleType()) for s in sensors]
+    for s in sensors:
+        fields += [T.StructField(f"{s}_rolling_mean", T.DoubleType()), T.StructField(f"{s}_diff", T.DoubleType())]
+    out_schema = T.StructType(fields)
     state_schema = T.StructType([T.StructField("n", T.LongType()),
-                                 T.StructField("tail", T.ArrayType(T.DoubleType()))])
+                                 T.StructField("tails", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    names = [f.name for f in out_schema.fields]
 
     def step(key, pdfs, state):
         # rows of one unit in one micro-batch: bounded by the trigger size
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
-        if state.exists:
-            n, tail = state.get
-            tail = list(tail)
-        else:
-            n, tail = 0, []
-        x = pdf[sensor].to_numpy(dtype=float)
-        vals = np.concatenate([np.full(keep - len(tail), np.nan), np.asarray(tail, dtype=float), x])
-        win = np.lib.stride_tricks.sliding_window_view(vals, window)
-        ok = ~np.isnan(win)
-        total = np.zeros(len(win))
-        for j in range(window):  # oldest to newest, like the batch frame sum
-            total = total + np.where(ok[:, j], win[:, j], 0.0)
-        cnt = ok.sum(axis=1)
-        mean = np.where(cnt > 0, total / np.maximum(cnt, 1), np.nan)
-        prev = vals[keep - 1: keep - 1 + len(x)]
-        diff = np.where(np.isnan(x - prev), 0.0, x - prev)
-        state.update((int(n + len(x)), [float(v) for v in vals[len(vals) - keep:] if not np.isnan(v)]))
-        yield pd.DataFrame({"unit_id": pdf["unit_id"].astype("int64"),
-                            "time_cycle": np.arange(n + 1, n + 1 + len(x), dtype=np.int64),
-                            "event_id": pdf["event_id"].astype("int64"), "ts": pdf["ts"], sensor: x,
-                            f"{sensor}_rolling_mean": mean, f"{sensor}_diff": diff})
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(list(order), kind="stable")
+        n, tails = (state.get[0], [list(t) for t in state.get[1]]) if state.exists else (0, [[] for _ in sensors])
+        out = pdf.copy()
+        if assign_cycle or "time_cycle" not in out:
+            out["time_cycle"] = np.arange(n + 1, n + 1 + len(pdf), dtype=np.int64)
+        new_tails = []
+        for s, tail in zip(sensors, tails):
+            x = pdf[s].to_numpy(dtype=float)
+            vals = np.concatenate([np.full(keep - len(tail), np.nan), np.asarray(tail, dtype=float), x])
+            win = np.lib.stride_tricks.sliding_window_view(vals, window)
+            ok = ~np.isnan(win)
+            total = np.zeros(len(win))
+            for j in range(window):  # oldest to newest, like the batch frame sum
+                total = total + np.where(ok[:, j], win[:, j], 0.0)
+            cnt = ok.sum(axis=1)
+            out[f"{s}_rolling_mean"] = np.where(cnt > 0, total / np.maximum(cnt, 1), np.nan)
+            prev = vals[keep - 1: keep - 1 + len(x)]
+            out[f"{s}_diff"] = np.where(np.isnan(x - prev), 0.0, x - prev)
+            new_tails.append([float(v) for v in vals[len(vals) - keep:] if not np.isnan(v)])
+        state.update((int(n + len(pdf)), new_tails))
+        yield out[names]
 
     return stream.groupBy("unit_id").applyInPandasWithState(
         step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
@@ -110,7 +119,7 @@ def run_features(spark: SparkSession, sf_dir: str, with_dedup: bool = True) -> s
     if with_dedup:
         s = dedup(s)
     sink, ck = scratch(spark, "stream-features"), scratch(spark, "ckpt-features")
-    drain(stateful_features(s), sink, ck)
+    drain(stateful_features(s.drop("event_type")), sink, ck)
     return sink
 
 
@@ -171,3 +180,57 @@ def read_sink(spark: SparkSession, path: str, latest_only: bool = False) -> Data
         last = df.agg(F.max("batch_id").alias("_b"))
         df = df.join(F.broadcast(last), F.col("batch_id") == F.col("_b"), "left_semi")
     return df.drop("batch_id")
+
+
+# --- requests -> fitted models -> response -----------------------------------------
+
+def run_model_scoring(spark: SparkSession, path: str, model_dir: str, stateful: bool = False) -> dict:
+    """Scoring stream: JSON requests (all raw fields required) -> features -> saved
+    models -> response rows, plus alert and reject sinks.
+
+    ``stateless`` (the single-request service semantics): each raw micro-batch is
+    persisted once and decoded, scored and split inside ``foreachBatch``.
+    ``stateful``: rolling features per unit across batches (state operator on the
+    decoded stream), rejects from a second query over the same source.
+    Decoding inside ``foreachBatch`` also keeps the 26-field JSON predicate out of
+    the streaming planner, where its reject filter exhausts the driver heap."""
+    from ..operators.models import store
+    models = store.load(spark, model_dir)
+    schema = PL.request_schema()
+    raw = spark.readStream.option("maxFilesPerTrigger", 4).text(path)
+    sinks = {k: scratch(spark, f"stream-model-{k}") for k in ("scored", "alerts", "rejects")}
+
+    def write_scored(scored: DataFrame, batch_id: int):
+        out = f"{sinks['scored']}/batch_id={batch_id}"
+        scored.write.mode("overwrite").parquet(out)  # computed once; alerts read it back
+        spark.read.parquet(out).where("anomaly_detected").write.mode("overwrite").parquet(
+            f"{sinks['alerts']}/batch_id={batch_id}")
+
+    def write_rejects(batch: DataFrame, batch_id: int):
+        PL.rejected(PL.decode(batch, schema)).write.mode("overwrite").parquet(
+            f"{sinks['rejects']}/batch_id={batch_id}")
+
+    if not stateful:
+        def write_all(batch: DataFrame, batch_id: int):
+            batch.persist()
+            try:
+                ok = PL.decode(batch, schema).where("valid").drop("valid")
+                write_scored(store.response(store.score(store.stateless_features(ok, C.SELECTED_SENSORS), models)),
+                             batch_id)
+                write_rejects(batch, batch_id)
+            finally:
+                batch.unpersist()
+        q = (raw.writeStream.foreachBatch(write_all).option("checkpointLocation", scratch(spark, "ckpt-model"))
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        return sinks
+
+    valid = PL.decode(raw, schema).where("valid").drop("valid")
+    feats = stateful_features(valid, C.SELECTED_SENSORS, order=("time_cycle",), assign_cycle=False)
+    q1 = (store.response(store.score(feats, models)).writeStream.foreachBatch(write_scored)
+          .option("checkpointLocation", scratch(spark, "ckpt-model")).trigger(availableNow=True).start())
+    q1.awaitTermination()
+    q2 = (raw.writeStream.foreachBatch(write_rejects).option("checkpointLocation", scratch(spark, "ckpt-model-rej"))
+          .trigger(availableNow=True).start())
+    q2.awaitTermination()
+    return sinks
