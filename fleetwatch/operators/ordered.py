@@ -6,7 +6,7 @@ holds a third of the fleet's rows would then sort in one task.  Every ordered
 operation here therefore works on ``(unit, block)`` partitions:
 
 * ``number_rows``: dense 1..n numbering per unit.  Rows are cut into blocks by a
-  coarse key that is monotone in the order (a day, say); block sizes are counted
+  key that is monotone in the order (a minute of readings, say); block sizes are counted
   with a partial aggregate, turned into offsets on the small (unit, block) table,
   and added to a row_number computed per block.
 * ``with_halo``: rows are cut into blocks of ``block_size`` consecutive cycles and
@@ -24,19 +24,24 @@ BLK = "_blk"
 COPY = "_copy"
 
 
-def number_rows(df: DataFrame, unit: str, order: list, block: Column, out: str = "time_cycle") -> DataFrame:
+def number_rows(df: DataFrame, unit: str, order: list, blocks, out: str = "time_cycle") -> DataFrame:
     """Add ``out`` = row number (bigint, 1-based) of each row within ``unit`` in ``order``.
 
-    ``block`` must be non-decreasing along ``order`` within a unit.
+    ``blocks`` (a column or a list of columns) must be non-decreasing along
+    ``order`` within a unit; the rows of one (unit, block) are the largest unit
+    of work, so pick blocks fine enough to bound it (a minute of readings, a day
+    and an order-key range, ...).
     """
-    d = df.withColumn(BLK, block)
-    sizes = d.groupBy(unit, BLK).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(unit).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(unit, BLK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    within = Window.partitionBy(unit, BLK).orderBy(*order)
-    return (d.join(offsets, [unit, BLK])
+    blocks = blocks if isinstance(blocks, (list, tuple)) else [blocks]
+    names = [f"{BLK}{i}" for i in range(len(blocks))]
+    d = df.withColumns(dict(zip(names, blocks)))
+    sizes = d.groupBy(unit, *names).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(unit).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(unit, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy(unit, *names).orderBy(*order)
+    return (d.join(offsets, [unit, *names])
             .withColumn(out, (F.row_number().over(within) + F.col("_off")).cast("long"))
-            .drop(BLK, "_off"))
+            .drop(*names, "_off"))
 
 
 def with_halo(df: DataFrame, unit: str, cycle: str, halo: int, block_size: int = DEFAULT_BLOCK) -> DataFrame:

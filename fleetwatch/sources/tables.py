@@ -29,11 +29,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def minute_block(ts: str) -> "F.Column":
+    """Minute bucket of a timestamp (monotone in time): numbering blocks."""
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 60_000_000)
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("unit_id"), "event_id", "ts", "event_type",
         F.col("value").alias("sensor_2"))
-    t = number_rows(ev, "unit_id", ["ts", "event_id"], F.to_date("ts"))
+    t = number_rows(ev, "unit_id", ["ts", "event_id"], minute_block("ts"))
     return t.select("unit_id", "time_cycle", "event_id", "ts", "event_type", "sensor_2")
 
 
@@ -52,7 +57,7 @@ def telemetry_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * F.col("l_discount")).alias("sensor_15"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("sensor_21"))
     w = number_rows(w, "unit_id", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"],
-                    F.to_date("l_shipdate"))
+                    [F.col("l_shipdate"), F.floor(F.col("l_orderkey") / 1024)])
     return w.select("unit_id", "time_cycle", "op_setting_1", "op_setting_2", "op_setting_3",
                     "sensor_2", "sensor_3", "sensor_4", "sensor_11", "sensor_15", "sensor_21")
 
