@@ -204,3 +204,15 @@ def unit_replay(df: DataFrame, unit=None) -> DataFrame:
         sel = df.where(F.col("unit_id") == unit)
     return (sel.select("unit_id", "time_cycle", "sensor_2", "anomaly_flag", "recommended_action")
             .orderBy("time_cycle"))
+
+
+def live_records(df: DataFrame, limit: int = 200, order: str = "event_id") -> DataFrame:
+    """The live store read: the newest min(limit, 500) records, with their sequence
+    number 1..n in arrival order (numbered after the limit, at most 500 rows)."""
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    k = min(limit, C.LIVE_STORE_SIZE)
+    last = df.orderBy(F.col(order).desc()).limit(k)
+    seq = F.row_number().over(Window.orderBy(order)).cast("long")
+    return last.select(seq.alias("seq"), order, "unit_id", "time_cycle", "anomaly_flag", "predicted_RUL",
+                       "recommended_action", "risk_score", "confidence")

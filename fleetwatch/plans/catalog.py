@@ -540,3 +540,8 @@ def _validation_split(spark, sf):
 query("validation_split", W("SELECT unit_id, time_cycle, CAST(('0x' || substr(md5(concat_ws(':', CAST(unit_id AS VARCHAR), "
                             "CAST(time_cycle AS VARCHAR), '43')), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) "
                             f"< {C.VALIDATION_SPLIT} AS is_val FROM telemetry", "telemetry"))(_validation_split)
+
+query("live_records", W("SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS seq, event_id, unit_id, "
+                        "time_cycle, anomaly_flag, predicted_RUL, recommended_action, risk_score, confidence FROM "
+                        "(SELECT * FROM decided ORDER BY event_id DESC LIMIT 200) l", DEC))(
+    lambda spark, sf: R.live_records(decided(spark, sf), 200))
