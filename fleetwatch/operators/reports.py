@@ -174,6 +174,33 @@ def latency_buckets(df: DataFrame, latency: str = "latency_s", bounds=C.LATENCY_
     return one.selectExpr(f"stack({len(les)}, {pairs}) AS (idx, le, cum)")
 
 
+def windowed_latency_quantiles(df: DataFrame, ts: str = "ts", width: str = "1 hour",
+                               latency: str = "latency_s", bounds=C.LATENCY_BUCKETS, qs=(0.5, 0.9, 0.99)) -> DataFrame:
+    """Latency quantiles per event-time window: cumulative bucket counts per window
+    (one aggregate), then the same interpolation rule inside each window."""
+    les = [float(b) for b in bounds] + [float("inf")]
+    aggs = [F.count_if(F.col(latency) <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
+    aggs.append(F.count(F.col(latency)).alias(f"b{len(bounds)}"))
+    per = df.groupBy(F.window(ts, width).start.alias("window_start")).agg(*aggs)
+    pairs = ", ".join(f"{i}, CAST('{le}' AS DOUBLE), b{i}" for i, le in enumerate(les))
+    long = per.selectExpr("window_start", f"stack({len(les)}, {pairs}) AS (idx, le, cum)")
+    w = Window.partitionBy("window_start").orderBy("idx")
+    b = (long.withColumn("prev_le", F.coalesce(F.lag("le").over(w), F.lit(0.0)))
+         .withColumn("prev_cum", F.coalesce(F.lag("cum").over(w), F.lit(0)))
+         .withColumn("total", F.max("cum").over(Window.partitionBy("window_start"))))
+    q = b.sparkSession.createDataFrame([(float(x),) for x in qs], "quantile double")
+    j = b.crossJoin(F.broadcast(q)).withColumn("rank", F.col("quantile") * F.col("total"))
+    hit = j.where(F.col("cum") >= F.col("rank"))
+    first = Window.partitionBy("window_start", "quantile").orderBy("idx")
+    hit = hit.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == 1)
+    val = (F.when(F.col("total") == 0, F.lit(None).cast("double"))
+           .when(F.col("le") == float("inf"), F.col("prev_le"))
+           .otherwise(F.col("prev_le") + (F.col("le") - F.col("prev_le"))
+                      * (F.col("rank") - F.col("prev_cum")) / (F.col("cum") - F.col("prev_cum"))))
+    return hit.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "quantile",
+                      val.alias("latency_s"))
+
+
 def histogram_quantiles(buckets: DataFrame, qs=(0.5, 0.9, 0.99)) -> DataFrame:
     """Linear interpolation inside the bucket that holds rank q * total
     (histogram_quantile rule: first bucket starts at 0; a rank in the +Inf
@@ -214,5 +241,6 @@ def live_records(df: DataFrame, limit: int = 200, order: str = "event_id") -> Da
     k = min(limit, C.LIVE_STORE_SIZE)
     last = df.orderBy(F.col(order).desc()).limit(k)
     seq = F.row_number().over(Window.orderBy(order)).cast("long")
+    extra = [F.date_format("ts", "HH:mm:ss").alias("time_hms")] if "ts" in df.columns else []
     return last.select(seq.alias("seq"), order, "unit_id", "time_cycle", "anomaly_flag", "predicted_RUL",
-                       "recommended_action", "risk_score", "confidence")
+                       "recommended_action", "risk_score", "confidence", *extra)

@@ -542,6 +542,20 @@ query("validation_split", W("SELECT unit_id, time_cycle, CAST(('0x' || substr(md
                             f"< {C.VALIDATION_SPLIT} AS is_val FROM telemetry", "telemetry"))(_validation_split)
 
 query("live_records", W("SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS seq, event_id, unit_id, "
-                        "time_cycle, anomaly_flag, predicted_RUL, recommended_action, risk_score, confidence FROM "
+                        "time_cycle, anomaly_flag, predicted_RUL, recommended_action, risk_score, confidence, "
+                        "strftime(ts, '%H:%M:%S') AS time_hms FROM "
                         "(SELECT * FROM decided ORDER BY event_id DESC LIMIT 200) l", DEC))(
     lambda spark, sf: R.live_records(decided(spark, sf), 200))
+
+query("latency_quantiles_hourly", W(
+    "SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, quantile, CASE WHEN total = 0 THEN NULL "
+    "WHEN le = CAST('inf' AS DOUBLE) THEN prev_le ELSE prev_le + (le - prev_le) * (rank - prev_cum) / (cum - prev_cum) END "
+    "AS latency_s FROM (SELECT q.quantile, x.*, q.quantile * x.total AS rank, row_number() OVER (PARTITION BY "
+    "x.window_start, q.quantile ORDER BY x.idx) AS rn FROM (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.9 AS DOUBLE)), "
+    "(CAST(0.99 AS DOUBLE))) q(quantile), (SELECT window_start, idx, le, cum, coalesce(lag(le) OVER w, CAST(0 AS DOUBLE)) "
+    "AS prev_le, coalesce(lag(cum) OVER w, 0) AS prev_cum, max(cum) OVER (PARTITION BY window_start) AS total FROM "
+    "(SELECT date_trunc('hour', s.ts) AS window_start, b.idx, b.le, count(s.latency_s) FILTER (WHERE s.latency_s <= b.le) "
+    "AS cum FROM (VALUES " + ", ".join(f"({i}, CAST('{le}' AS DOUBLE))" for i, le in enumerate(_BOUNDS))
+    + ") b(idx, le) CROSS JOIN scored s GROUP BY 1, 2, 3) bb WINDOW w AS (PARTITION BY window_start ORDER BY idx)) x "
+    "WHERE x.cum >= q.quantile * x.total) h WHERE rn = 1", "scored"))(
+    lambda spark, sf: R.windowed_latency_quantiles(T.scored(spark, sf).withColumn("ts", _ts_utc())))

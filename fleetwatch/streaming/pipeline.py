@@ -234,3 +234,25 @@ def run_model_scoring(spark: SparkSession, path: str, model_dir: str, stateful:
           .trigger(availableNow=True).start())
     q2.awaitTermination()
     return sinks
+
+
+def topic_stream(spark: SparkSession, path: str | None = None, kafka_servers: str | None = None,
+                 topic: str = "telemetry-input", files_per_trigger: int = 4) -> DataFrame:
+    """Message source with a ``value`` text column: a broker topic from the earliest
+    offset when ``kafka_servers`` is given (needs the Kafka connector on the
+    classpath; offsets live in the query checkpoint), else a folder of text files."""
+    if kafka_servers:
+        return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
+                .option("subscribe", topic).option("startingOffsets", "earliest").load()
+                .select(F.col("value").cast("string").alias("value")))
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+
+
+def topic_sink(df: DataFrame, path: str | None = None, kafka_servers: str | None = None,
+               topic: str = "telemetry-input") -> None:
+    """Batch producer to a topic (``value`` column) or to a text folder."""
+    if kafka_servers:
+        df.select("value").write.format("kafka").option("kafka.bootstrap.servers", kafka_servers) \
+            .option("topic", topic).save()
+    else:
+        publish(df, path)
