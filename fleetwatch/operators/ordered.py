@@ -24,9 +24,11 @@ BLK = "_blk"
 COPY = "_copy"
 
 
-def number_rows(df: DataFrame, unit: str, order: list, blocks, out: str = "time_cycle") -> DataFrame:
+def number_rows(df: DataFrame, unit: str, order: list, blocks, out: str = "time_cycle",
+                total_out: str | None = None) -> DataFrame:
     """Add ``out`` = row number (bigint, 1-based) of each row within ``unit`` in ``order``.
 
+    ``total_out`` also adds the unit's row count (its last number).
     ``blocks`` (a column or a list of columns) must be non-decreasing along
     ``order`` within a unit; the rows of one (unit, block) are the largest unit
     of work, so pick blocks fine enough to bound it (a minute of readings, a day
@@ -37,7 +39,10 @@ def number_rows(df: DataFrame, unit: str, order: list, blocks, out: str = "time_
     d = df.withColumns(dict(zip(names, blocks)))
     sizes = d.groupBy(unit, *names).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(unit).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(unit, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    cols = [unit, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")]
+    if total_out:  # rows of the unit = its last number (from the small size table)
+        cols.append(F.sum("_n").over(Window.partitionBy(unit)).cast("long").alias(total_out))
+    offsets = sizes.select(*cols)
     within = Window.partitionBy(unit, *names).orderBy(*order)
     return (d.join(offsets, [unit, *names])
             .withColumn(out, (F.row_number().over(within) + F.col("_off")).cast("long"))

@@ -34,15 +34,22 @@ def minute_block(ts: str) -> "F.Column":
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 60_000_000)
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_rul(df: DataFrame) -> DataFrame:
+    """RUL from the numbering's unit row count (cycles are dense 1..n, so the last
+    cycle is the count): no second pass over the table."""
+    return df.withColumn("RUL", (F.col("_rows") - F.col("time_cycle")).cast("long")).drop("_rows")
+
+
+def telemetry(spark: SparkSession, sf_dir: str, with_rul: bool = False) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("unit_id"), "event_id", "ts", "event_type",
         F.col("value").alias("sensor_2"))
-    t = number_rows(ev, "unit_id", ["ts", "event_id"], minute_block("ts"))
-    return t.select("unit_id", "time_cycle", "event_id", "ts", "event_type", "sensor_2")
+    t = number_rows(ev, "unit_id", ["ts", "event_id"], minute_block("ts"), total_out="_rows" if with_rul else None)
+    cols = ["unit_id", "time_cycle", "event_id", "ts", "event_type", "sensor_2"]
+    return _with_rul(t.select(*cols, "_rows")) if with_rul else t.select(*cols)
 
 
-def telemetry_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def telemetry_wide(spark: SparkSession, sf_dir: str, with_rul: bool = False) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     w = li.select(
@@ -57,14 +64,15 @@ def telemetry_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * F.col("l_discount")).alias("sensor_15"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("sensor_21"))
     w = number_rows(w, "unit_id", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"],
-                    [F.col("l_shipdate"), F.floor(F.col("l_orderkey") / 1024)])
-    return w.select("unit_id", "time_cycle", "op_setting_1", "op_setting_2", "op_setting_3",
-                    "sensor_2", "sensor_3", "sensor_4", "sensor_11", "sensor_15", "sensor_21")
+                    [F.col("l_shipdate"), F.floor(F.col("l_orderkey") / 1024)],
+                    total_out="_rows" if with_rul else None)
+    cols = ["unit_id", "time_cycle", "op_setting_1", "op_setting_2", "op_setting_3",
+            "sensor_2", "sensor_3", "sensor_4", "sensor_11", "sensor_15", "sensor_21"]
+    return _with_rul(w.select(*cols, "_rows")) if with_rul else w.select(*cols)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.features import add_rul
-    r = add_rul(telemetry(spark, sf_dir))
+    r = telemetry(spark, sf_dir, with_rul=True)
     score = F.lit(0.1) - F.col("sensor_2") / F.lit(500.0)
     recon = F.col("sensor_2") / F.lit(200.0) + (F.col("event_id") * 37 % 100).cast("double") / F.lit(100.0)
     return (r.withColumn("anomaly_score", score)
@@ -85,6 +93,6 @@ def wide_labeled(spark: SparkSession, sf_dir: str, materialize: bool = False) ->
 
     ``materialize`` writes it once to the shared checkpoint folder (reliable,
     lineage cut) for jobs that read it several times (scaler + models)."""
-    from ..operators.features import add_rul, add_telemetry_features
-    df = add_telemetry_features(add_rul(telemetry_wide(spark, sf_dir)))
+    from ..operators.features import add_telemetry_features
+    df = add_telemetry_features(telemetry_wide(spark, sf_dir, with_rul=True))
     return materialize_table(df, "wide-features") if materialize else df
