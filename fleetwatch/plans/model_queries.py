@@ -101,3 +101,11 @@ def stream_model_scoring(spark, sf):
     S.publish(PL.to_payload(w, C.RAW_COLUMNS), topic)
     sinks = S.run_model_scoring(spark, topic, model_dir)
     return S.read_sink(spark, sinks["scored"]).drop("timestamp")
+
+
+@query("autoencoder_scores")
+def autoencoder_scores(spark, sf):
+    """Data-parallel dense autoencoder (healthy rows, early stopping) -> error and flag."""
+    from ..operators.models import autoencoder
+    s = autoencoder.detect(scaled_wide(spark, sf), WIDE_FEATURES)
+    return s.select("unit_id", "time_cycle", "RUL", "reconstruction_error", "autoencoder_anomaly_flag")
