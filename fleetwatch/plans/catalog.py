@@ -485,7 +485,9 @@ query("latency_quantiles", W(
 
 
 def _ts_utc(col="ts"):
-    return F.col(col).cast("timestamp")
+    """Event time as stored (timestamp without zone): windows and hour buckets are
+    then wall-clock based and independent of the session time zone."""
+    return F.col(col)
 
 
 @query("rate_windows", W(
