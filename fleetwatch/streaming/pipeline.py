@@ -184,7 +184,8 @@ def read_sink(spark: SparkSession, path: str, latest_only: bool = False) -> Data
 
 # --- requests -> fitted models -> response -----------------------------------------
 
-def run_model_scoring(spark: SparkSession, path: str, model_dir: str, stateful: bool = False) -> dict:
+def run_model_scoring(spark: SparkSession, path: str, model_dir: str, stateful: bool = False,
+                      files_per_trigger: int = 4) -> dict:
     """Scoring stream: JSON requests (all raw fields required) -> features -> saved
     models -> response rows, plus alert and reject sinks.
 
@@ -197,7 +198,7 @@ def run_model_scoring(spark: SparkSession, path: str, model_dir: str, stateful:
     from ..operators.models import store
     models = store.load(spark, model_dir)
     schema = PL.request_schema()
-    raw = spark.readStream.option("maxFilesPerTrigger", 4).text(path)
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
     sinks = {k: scratch(spark, f"stream-model-{k}") for k in ("scored", "alerts", "rejects")}
 
     def write_scored(scored: DataFrame, batch_id: int):
