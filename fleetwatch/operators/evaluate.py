@@ -99,9 +99,12 @@ def cumulative_over_key(g: DataFrame, key: str, sums: list, descending: bool = T
     spark = g.sparkSession
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     qs = [i / buckets for i in range(1, buckets)]
-    cuts = g.agg(F.percentile_approx(key, qs, 10000).alias("_cuts"))
-    g = g.crossJoin(F.broadcast(cuts)).withColumn(
-        "_b", F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(key)))).drop("_cuts")
+    if qs:
+        cuts = g.agg(F.percentile_approx(key, qs, 10000).alias("_cuts"))
+        g = g.crossJoin(F.broadcast(cuts)).withColumn(
+            "_b", F.coalesce(F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(key))), F.lit(0))).drop("_cuts")
+    else:
+        g = g.withColumn("_b", F.lit(0))
     if descending:
         g = g.withColumn("_b", -F.col("_b"))
     per_b = g.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
