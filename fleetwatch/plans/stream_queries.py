@@ -63,4 +63,4 @@ def stream_rates(spark, sf):
     scored = s.withColumn("anomaly_flag", F.when(F.lit(0.1) - F.col("sensor_2") / F.lit(500.0) < 0, F.lit(-1))
                           .otherwise(F.lit(1)))
     sink = S.run_rates(spark, scored)
-    return S.read_sink(spark, sink, latest_only=True)
+    return S.read_latest_windows(spark, sink)

@@ -167,12 +167,23 @@ def run_scoring(spark: SparkSession, path: str) -> dict:
 
 
 def run_rates(spark: SparkSession, scored_stream: DataFrame, delay: str = "2 hours") -> str:
+    """Windowed rates in ``update`` mode: each micro-batch emits the windows it
+    changed, and windows older than the watermark leave the state store (complete
+    mode would keep every window forever).  Read with ``read_latest_windows``."""
     rates = monitor.rate_windows(scored_stream.withWatermark("ts", delay))
     sink, ck = scratch(spark, "stream-rates"), scratch(spark, "ckpt-rates")
-    drain(rates, sink, ck, mode="complete")
+    drain(rates, sink, ck, mode="update")
     return sink
 
 
+def read_latest_windows(spark: SparkSession, path: str, key: str = "window_start") -> DataFrame:
+    """Upsert view of an update-mode sink: the last emitted version of every window."""
+    df = spark.read.parquet(path)
+    cols = [c for c in df.columns if c not in (key, "batch_id")]
+    last = df.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v"))
+    return last.select(key, *[F.col(f"_v.{c}").alias(c) for c in cols])
+
+
 def read_sink(spark: SparkSession, path: str, latest_only: bool = False) -> DataFrame:
     """Union of all micro-batch folders (append sinks) or the last one (complete mode)."""
     df = spark.read.parquet(path)
