@@ -64,3 +64,17 @@ def stream_rates(spark, sf):
                           .otherwise(F.lit(1)))
     sink = S.run_rates(spark, scored)
     return S.read_latest_windows(spark, sink)
+
+
+@query("stream_counters", W("SELECT count(*) AS requests_total, "
+                            "count(*) FILTER (WHERE 0.1 - sensor_2 / 500.0 < 0) AS anomalies_total FROM telemetry",
+                            "telemetry"))
+def stream_counters(spark, sf):
+    """Cumulative counters over the replayed stream (one-row state, complete mode)."""
+    from ..streaming import monitor
+    s = S.telemetry_stream(spark, sf)
+    scored = s.withColumn("anomaly_flag", F.when(F.lit(0.1) - F.col("sensor_2") / F.lit(500.0) < 0, F.lit(-1))
+                          .otherwise(F.lit(1)))
+    sink, ck = S.scratch(spark, "stream-counters"), S.scratch(spark, "ckpt-counters")
+    S.drain(monitor.counter_totals(scored), sink, ck, mode="complete")
+    return S.read_sink(spark, sink, latest_only=True)
