@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +19,9 @@ DEFAULT_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
 def get_spark(master: str | None = None, app: str = "fleetwatch",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off."""
@@ -38,17 +43,42 @@ def get_spark(master: str | None = None, app: str = "fleetwatch",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared (HDFS/object-store) folder and is
-    used as is.  Only when it is unset (local tests) a fresh folder is made.
-    """
+    On a cluster this setting names a folder that driver and executors share
+    (HDFS, object store) and is used as is; without it the call fails, because a
+    machine-local folder would be written by one machine and missed by the next.
+    Only a local master, where there is one machine, gets a fresh folder."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set; master {master} needs a folder that all machines share")
         d = tempfile.mkdtemp(prefix="fleetwatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers once per Spark application.
+
+    Functions that run on executors are pickled by reference to their module, so
+    workers need the package on their path wherever the job was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as d:
+        archive = os.path.join(d, f"fleetwatch-{app}.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(root):
+                for n in names:
+                    if n.endswith(".py"):
+                        f = os.path.join(folder, n)
+                        z.write(f, os.path.relpath(f, os.path.dirname(root)))
+        spark.sparkContext.addPyFile(archive)
+        _SHIPPED.add(app)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
