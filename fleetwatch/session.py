@@ -19,7 +19,7 @@ DEFAULT_CONF = {
 }
 
 
-_SHIPPED: set[str] = set()
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def get_spark(master: str | None = None, app: str = "fleetwatch",
@@ -67,16 +67,16 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as d:
-        archive = os.path.join(d, f"fleetwatch-{app}.zip")
-        with zipfile.ZipFile(archive, "w") as z:
-            for folder, _, names in os.walk(root):
-                for n in names:
-                    if n.endswith(".py"):
-                        f = os.path.join(folder, n)
-                        z.write(f, os.path.relpath(f, os.path.dirname(root)))
-        spark.sparkContext.addPyFile(archive)
-        _SHIPPED.add(app)
+    d = tempfile.TemporaryDirectory()  # the driver serves it for as long as it runs
+    archive = os.path.join(d.name, f"fleetwatch-{app}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    f = os.path.join(folder, n)
+                    z.write(f, os.path.relpath(f, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED[app] = d
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
