@@ -9,22 +9,45 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwatch.llm import exact_dedup, packing
+from fleetwatch.llm import exact_dedup, language_id, near_dedup, packing, pii
 from fleetwatch.llm.common import documents
 from fleetwatch.session import materialize
 
 
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; texts that are null, have no letter or look
+    like no language go."""
+    return language_id.keep_known(docs, language_id.learn(docs))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest doc_id stays."""
     return exact_dedup.deduplicate(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document with the largest doc_id stays."""
+    return near_dedup.deduplicate(docs)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers, dates and addresses replaced in format; n_chars stays right, as
+    pseudonyms are as long as what they replace."""
+    return pii.pseudonymise(docs, spans=False)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("exact_dedup", drop_copies), ("packing", pack_sequences)]
+STAGES = [
+    ("language_id", known_languages),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", pseudonyms),
+    ("packing", pack_sequences),
+]
 
 #: Language ID, edit-similarity classes and tokenization have no SQL form.
 ORACLE_SQL = None

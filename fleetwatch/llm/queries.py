@@ -4,16 +4,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_counts, exact_dedup, packing
-from .common import documents
+from . import bpe_counts, exact_dedup, language_id, near_dedup, packing, pii
+from .common import documents, fold
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(documents(spark, sf_dir))
+    return found.select("doc_id", "text", F.size("pii_spans").alias("n_replaced"), "pii_spans")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = fold(docs["doc_id"], 4) == 2
+    found = language_id.predictions(docs, language_id.learn(docs.where(~held)), "text", doc_id=docs["doc_id"], held_out=held)
+    return found.withColumnRenamed("lang_score", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
@@ -23,7 +39,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op3_packing, op9_exact_dedup, op10_token_counts)
+    q.__name__: q for q in (op1_pii, op3_packing, op6_near_dedup, op7_language_id, op9_exact_dedup, op10_token_counts)
 }
 
 ORACLE: dict[str, str] = {
