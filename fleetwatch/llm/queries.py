@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_counts, exact_dedup, language_id, near_dedup, packing, pii
+from . import bpe_counts, exact_dedup, language_id, line_rules, near_dedup, packing, pii
 from .common import documents, fold
 
 
@@ -19,6 +19,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(documents(spark, sf_dir))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
@@ -39,7 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_pii, op3_packing, op6_near_dedup, op7_language_id, op9_exact_dedup, op10_token_counts)
+    q.__name__: q for q in (op1_pii, op3_packing, op4_line_rules, op6_near_dedup, op7_language_id, op9_exact_dedup, op10_token_counts)
 }
 
 ORACLE: dict[str, str] = {
