@@ -6,8 +6,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_counts, exact_dedup, language_id, line_rules, near_dedup, packing, pii
-from .common import documents, fold
+from . import bpe_counts, exact_dedup, language_id, line_rules, near_dedup, packing, pii, warc_bundles
+from .common import documents, fold, pages
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op4_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(documents(spark, sf_dir))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = pages(spark, sf_dir)
+    kind = table.schema["page_id"].dataType
+    back = warc_bundles.read(warc_bundles.write(table))
+    return back.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(documents(spark, sf_dir))
 
@@ -43,10 +50,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_pii, op3_packing, op4_line_rules, op6_near_dedup, op7_language_id, op9_exact_dedup, op10_token_counts)
+    q.__name__: q for q in (op1_pii, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op9_exact_dedup, op10_token_counts)
 }
 
 ORACLE: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+        SELECT page_id, payload_bytes, sha256(payload) AS payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
                doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
