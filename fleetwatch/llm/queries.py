@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_counts, exact_dedup, language_id, line_rules, near_dedup, packing, pii, warc_bundles
+from . import bpe_counts, exact_dedup, language_id, line_rules, near_dedup, packing, pieces, pii, warc_bundles
 from .common import documents, fold, pages
 
 
@@ -41,6 +41,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("lang_score", "score")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_pii, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op9_exact_dedup, op10_token_counts)
+    q.__name__: q for q in (op1_pii, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op8_pieces, op9_exact_dedup, op10_token_counts)
 }
 
 ORACLE: dict[str, str] = {

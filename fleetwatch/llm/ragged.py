@@ -105,6 +105,20 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+class Substrings:
+    """Hashes of many spans of one array, from sums that are made once."""
+
+    def __init__(self, values: np.ndarray):
+        self.up, self.down = _grown(len(values) + 1)
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.up[: len(values)], out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, size: int) -> np.ndarray:
+        """As ``span_hashes`` of the spans of this size."""
+        h = (self.total[starts + size] - self.total[starts]) * self.down[starts]
+        return mix(h + np.uint64(size * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start, start+1, ... of each run, one run after the other."""
     total = int(lengths.sum())
