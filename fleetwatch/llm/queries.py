@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_counts, exact_dedup, language_id, line_rules, near_dedup, packing, pieces, pii, warc_bundles
+from . import bpe_counts, exact_dedup, language_id, line_rules, near_dedup, ngram_lm, packing, pieces, pii, warc_bundles
 from .common import documents, fold, pages
 
 
@@ -15,6 +15,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("pii_spans").alias("n_replaced"), "pii_spans")
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return ngram_lm.score(docs, fold(docs["doc_id"], 5) == 1)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -54,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_pii, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op8_pieces, op9_exact_dedup, op10_token_counts)
+    q.__name__: q for q in (op1_pii, op2_ngram_lm, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op8_pieces, op9_exact_dedup, op10_token_counts)
 }
 
 ORACLE: dict[str, str] = {
