@@ -67,10 +67,10 @@ class EliasFano:
         values = np.asarray(values, np.uint64)
         if self.size == 0:
             return np.zeros(len(values), np.int64)
-        high = (values >> np.uint64(8 * self.width)).astype(np.int64)
-        top = int(self.zeros[-1]) - 1
+        high = values >> np.uint64(8 * self.width)
+        top = np.uint64(int(self.zeros[-1]) - 1)
         beyond = high > top
-        high = np.minimum(high, top)
+        high = np.minimum(high, top).astype(np.int64)
         end = np.minimum(self._select(high, self.zeros, True) - high, self.size)
         start = np.where(high > 0, self._select(np.maximum(high - 1, 0), self.zeros, True) - high + 1, 0)
         start = np.minimum(start, end)
