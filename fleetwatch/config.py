@@ -68,6 +68,4 @@ LATENCY_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2
 
 # --- fixed values: offline policy (state = anomaly * 4 + rul band) --------
 POLICY_ACTIONS = ["do_nothing", "monitor_closely", "schedule_inspection", "emergency_shutdown"]
-RUL_BAND_LABELS = ["Critical(<5)", "High-risk(5-15)", "Caution(15-30)", "Safe(>30)"]
 Q_GAMMA = 0.9
-Q_ALPHA = 0.1

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .numeric import clip, format_fixed, round_exact
+from .numeric import clip, format_fixed, nan_to_null, round_exact
 
 
 def _c(x) -> Column:
@@ -68,7 +68,10 @@ def justification(flag, score, rul) -> Column:
 
 def with_decision(df: DataFrame, flag: str = "anomaly_flag", score: str = "anomaly_score",
                   rul: str = "predicted_RUL") -> DataFrame:
-    """Enriched decision: action, rounded risk, confidence and justification."""
+    """Enriched decision: action, rounded risk, confidence and justification.
+
+    A NaN score or remaining life counts as unknown, like NULL: no threshold on it holds."""
+    score, rul = nan_to_null(F.col(score).cast("double")), nan_to_null(F.col(rul).cast("double"))
     staged = df.withColumn("_raw_risk", raw_risk(flag, score, rul))
     return staged.withColumns({
         "recommended_action": recommended_action(flag, score, rul),

@@ -51,8 +51,10 @@ def round_exact(x, digits: int) -> Column:
 
 
 def format_fixed(x, digits: int) -> Column:
-    """Python ``f"{x:.{digits}f}"``; NULL formats as ``nan``."""
-    xc = _c(x).cast("double")
+    """Python ``f"{x:.{digits}f}"``; NULL and NaN format as ``nan``, infinities as ``inf``."""
+    raw = _c(x).cast("double")
+    finite = F.abs(raw) < float("inf")  # NaN is larger than any number
+    xc = F.when(finite, raw)
     k = F.abs(scaled_round(xc, digits)).cast("long")
     sign = F.when(xc < 0, F.lit("-")).otherwise(F.lit(""))
     if digits == 0:
@@ -61,7 +63,8 @@ def format_fixed(x, digits: int) -> Column:
         m = 10 ** digits
         body = F.concat((k / m).cast("long").cast("string"), F.lit("."),
                         F.lpad((k % m).cast("string"), digits, "0"))
-    return F.coalesce(F.concat(sign, body), F.lit("nan"))
+    return (F.when(raw == float("inf"), F.lit("inf")).when(raw == float("-inf"), F.lit("-inf"))
+            .otherwise(F.coalesce(F.concat(sign, body), F.lit("nan"))))
 
 
 def nan_to_null(x) -> Column:

@@ -1,27 +1,13 @@
 """Single place that imports every query module and exposes the registry."""
 from __future__ import annotations
 
-
-def _load():
-    from . import catalog  # noqa: F401  (registers batch queries)
-    try:
-        from . import model_queries  # noqa: F401
-    except ImportError:
-        pass
-    try:
-        from . import io_queries  # noqa: F401
-    except ImportError:
-        pass
-    try:
-        from . import stream_queries  # noqa: F401
-    except ImportError:
-        pass
-    return catalog
+from . import catalog
+from . import io_queries, model_queries, stream_queries  # noqa: F401  (each registers its queries)
 
 
 def all_queries() -> dict:
-    return dict(_load().QUERIES)
+    return dict(catalog.QUERIES)
 
 
 def all_oracle_sql() -> dict:
-    return dict(_load().ORACLE)
+    return dict(catalog.ORACLE)
