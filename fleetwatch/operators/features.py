@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .ordered import block_window, drop_halo, with_halo
+from .ordered import ordered_rows
 
 
 def add_rul(df: DataFrame, unit: str = "unit_id", cycle: str = "time_cycle") -> DataFrame:
@@ -32,20 +32,19 @@ def add_telemetry_features(df: DataFrame, sensors: list | None = None, window: i
     """``{s}_rolling_mean`` (last ``window`` cycles, partial at the start) and
     ``{s}_diff`` (first difference, 0 at the first cycle) for each sensor.
 
-    One exchange and one sort serve all sensors: every column shares the
-    (unit, cycle-block) window with a halo of ``window - 1`` cycles.
+    One exchange and one sort serve all sensors: every column shares one window over
+    the unit's rows (or, in crowded units, blocks of them with a halo).
     """
     sensors = [s for s in (sensors or C.SELECTED_SENSORS) if s in df.columns]
     if not sensors:
         return df
-    h = with_halo(df, unit, cycle, halo=max(window - 1, 1))
-    w = block_window(unit, cycle)
+    h, w, finish = ordered_rows(df, unit, cycle, halo=max(window - 1, 1))
     frame = w.rowsBetween(-(window - 1), 0)
     cols = {}
     for s in sensors:
         cols[f"{s}_rolling_mean"] = F.avg(s).over(frame)
         cols[f"{s}_diff"] = F.coalesce(F.col(s) - F.lag(s).over(w), F.lit(0.0))
-    return drop_halo(h.withColumns(cols))
+    return finish(h.withColumns(cols))
 
 
 def feature_columns(df: DataFrame) -> list:
@@ -90,8 +89,7 @@ def sequence_summaries(df: DataFrame, features: list, length: int = C.SEQUENCE_L
     Windows are summarised in the frame (first, last, mean, min, max, slope per
     feature) instead of materialising (samples x length x features) arrays.
     """
-    h = with_halo(df, unit, cycle, halo=length - 1)
-    w = block_window(unit, cycle)
+    h, w, finish = ordered_rows(df, unit, cycle, halo=length - 1)
     frame = w.rowsBetween(-(length - 1), 0)
     cols = {"seq_len": F.count(F.lit(1)).over(frame), "seq_start": F.min(cycle).over(frame)}
     for f in features:
@@ -100,7 +98,7 @@ def sequence_summaries(df: DataFrame, features: list, length: int = C.SEQUENCE_L
         cols[f"{f}__mean"] = F.avg(f).over(frame)
         cols[f"{f}__min"] = F.min(f).over(frame)
         cols[f"{f}__max"] = F.max(f).over(frame)
-    out = drop_halo(h.withColumns(cols)).where(F.col("seq_len") == length)
+    out = finish(h.withColumns(cols)).where(F.col("seq_len") == length)
     for f in features:
         out = out.withColumn(f"{f}__slope", (F.col(f"{f}__last") - F.col(f"{f}__first")) / F.lit(float(length - 1)))
     return out.select(unit, F.col(cycle).alias("end_cycle"), "seq_start", "seq_len", label,

@@ -6,8 +6,7 @@
                     so everything downstream of a model has an exact oracle.
 ``telemetry_ragged`` telemetry with short units, for the sequence skip rule.
 
-The cycle counter is a dense per-unit row number; it is computed per
-(unit, day) block so that a hot unit is spread over many tasks.
+The cycle counter is a dense per-unit row number.
 """
 from __future__ import annotations
 
@@ -29,9 +28,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def minute_block(ts: str) -> "F.Column":
-    """Minute bucket of a timestamp (monotone in time): numbering blocks."""
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 60_000_000)
+def micros(ts: str) -> "F.Column":
+    """A timestamp as a number that grows with time."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def _with_rul(df: DataFrame) -> DataFrame:
@@ -44,7 +43,7 @@ def telemetry(spark: SparkSession, sf_dir: str, with_rul: bool = False) -> DataF
     ev = read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("unit_id"), "event_id", "ts", "event_type",
         F.col("value").alias("sensor_2"))
-    t = number_rows(ev, "unit_id", ["ts", "event_id"], minute_block("ts"), total_out="_rows" if with_rul else None)
+    t = number_rows(ev, "unit_id", ["ts", "event_id"], micros("ts"), total_out="_rows" if with_rul else None)
     cols = ["unit_id", "time_cycle", "event_id", "ts", "event_type", "sensor_2"]
     return _with_rul(t.select(*cols, "_rows")) if with_rul else t.select(*cols)
 
@@ -64,8 +63,7 @@ def telemetry_wide(spark: SparkSession, sf_dir: str, with_rul: bool = False) ->
         (F.col("l_quantity") * F.col("l_discount")).alias("sensor_15"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("sensor_21"))
     w = number_rows(w, "unit_id", ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"],
-                    [F.col("l_shipdate"), F.floor(F.col("l_orderkey") / 1024)],
-                    total_out="_rows" if with_rul else None)
+                    micros("l_shipdate"), total_out="_rows" if with_rul else None)
     cols = ["unit_id", "time_cycle", "op_setting_1", "op_setting_2", "op_setting_3",
             "sensor_2", "sensor_3", "sensor_4", "sensor_11", "sensor_15", "sensor_21"]
     return _with_rul(w.select(*cols, "_rows")) if with_rul else w.select(*cols)
