@@ -3,10 +3,13 @@ exact ROC-AUC and average precision.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_exact
+from ..session import materialize
 
 
 def regression_metrics(df: DataFrame, y: str = "RUL", yhat: str = "predicted_RUL") -> DataFrame:
@@ -125,42 +128,51 @@ def _cumulative_by_score(df: DataFrame, y: str, score: str) -> DataFrame:
          .groupBy(F.col(score).alias("s"))
          .agg(F.sum(F.col(y).cast("long")).alias("pos"),
               F.sum(1 - F.col(y).cast("long")).alias("neg")))
-    c = cumulative_over_key(g, "s", ["pos", "neg"], descending=True)
+    c = cumulative_over_key(materialize(g, "by-score"), "s", ["pos", "neg"], descending=True)
     return c.withColumnsRenamed({"cum_pos": "tp", "cum_neg": "fp", "total_pos": "P", "total_neg": "N"})
 
 
-def roc_auc(df: DataFrame, y: str = "true_anomaly", score: str = "reconstruction_error") -> DataFrame:
-    """Exact ROC-AUC (trapezoid over distinct thresholds, ties handled)."""
+def ranking(df: DataFrame, y: str = "true_anomaly", score: str = "reconstruction_error") -> DataFrame:
+    """Exact ROC-AUC (trapezoid over distinct thresholds, ties handled) and average precision
+    (sum over thresholds of recall step x precision), from one cumulative table."""
     c = _cumulative_by_score(df, y, score)
-    term = (F.col("neg") / F.col("N")) * (2 * F.col("tp") - F.col("pos")) / (2 * F.col("P"))
-    a = c.agg(F.sum(term).alias("auc"), F.max("P").alias("P"), F.max("N").alias("N"))
-    return a.select(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("auc")).alias("roc_auc"))
+    area = F.try_divide(F.col("neg"), F.col("N")) * F.try_divide(2 * F.col("tp") - F.col("pos"), 2 * F.col("P"))
+    step = F.try_divide(F.col("pos"), F.col("P")) * F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))
+    a = c.agg(F.sum(area).alias("auc"), F.sum(step).alias("ap"), F.max("P").alias("P"), F.max("N").alias("N"))
+    return a.select(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("auc")).alias("roc_auc"),
+                    F.when(F.col("P") > 0, F.col("ap")).alias("average_precision"))
+
+
+def roc_auc(df: DataFrame, y: str = "true_anomaly", score: str = "reconstruction_error") -> DataFrame:
+    return ranking(df, y, score).select("roc_auc")
 
 
 def average_precision(df: DataFrame, y: str = "true_anomaly", score: str = "reconstruction_error") -> DataFrame:
-    """Average precision: sum over thresholds of (recall step) x precision."""
-    c = _cumulative_by_score(df, y, score)
-    term = (F.col("pos") / F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp")))
-    a = c.agg(F.sum(term).alias("ap"), F.max("P").alias("P"))
-    return a.select(F.when(F.col("P") > 0, F.col("ap")).alias("average_precision"))
+    return ranking(df, y, score).select("average_precision")
+
+
+#: Quantiles on either side of the wanted one between which rows are put in order.
+BRACKET = 0.002
 
 
 def percentile_threshold(df: DataFrame, col: str, q: float, alias: str = "threshold") -> DataFrame:
     """Exact linear-interpolated percentile (numpy default), distributed.
 
-    Values are reduced to (value, count), ranked with ``cumulative_over_key``
-    and the two order statistics around rank q * (n - 1) are picked and
-    interpolated.  Nothing is gathered into one task.
-    """
-    g = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v"))
-         .agg(F.count(F.lit(1)).alias("c")))
+    The values are written once.  Approximate quantiles bracket the wanted rank; the
+    values below are counted, and only the distinct values inside are ranked (all of them
+    if the bracket misses, which its counts tell).  NaN counts as no value."""
+    v = materialize(df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(F.col(col).cast("double").alias("v")), "values")
+    n, marks = v.agg(F.count("v"), F.percentile_approx("v", [max(q - BRACKET, 0.0), min(q + BRACKET, 1.0)], 10000)).first()
+    if not n:
+        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias(alias))
+    rank = q * (n - 1)
+    first, last = math.floor(rank), math.ceil(rank)
+    below, inside = v.agg(F.count_if(F.col("v") < marks[0]), F.count_if(F.col("v").between(*marks))).first()
+    if not below <= first or not last < below + inside:
+        below, marks = 0, (float("-inf"), float("inf"))
+    g = materialize(v.where(F.col("v").between(*marks)).groupBy("v").agg(F.count(F.lit(1)).alias("c")), "bracket")
     r = cumulative_over_key(g, "v", ["c"], descending=False)
-    pos = F.lit(q) * (F.col("total_c") - 1)
-    lo_i, hi_i = F.floor(pos), F.ceil(pos)
-    # a distinct value covers 0-based ranks [cum_c - c, cum_c - 1]
-    covers = lambda i: (F.col("cum_c") - F.col("c") <= i) & (i <= F.col("cum_c") - 1)
-    picks = r.where(covers(lo_i) | covers(hi_i)).agg(
-        F.min(F.when(covers(lo_i), F.col("v"))).alias("lo"),
-        F.max(F.when(covers(hi_i), F.col("v"))).alias("hi"),
-        F.max(pos - lo_i).alias("frac"))
-    return picks.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias(alias))
+    # a distinct value covers 0-based ranks [below + cum_c - c, below + cum_c - 1]
+    covers = lambda i: (F.col("cum_c") - F.col("c") <= i - below) & (i - below < F.col("cum_c"))
+    picks = r.agg(F.min(F.when(covers(first), F.col("v"))).alias("lo"), F.max(F.when(covers(last), F.col("v"))).alias("hi"))
+    return picks.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(rank - first)).alias(alias))

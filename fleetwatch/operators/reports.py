@@ -112,7 +112,7 @@ def live_kpis(df: DataFrame, n: int = C.LIVE_STORE_SIZE, order: str = "event_id"
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("anomaly_flag") == -1).alias("anomalies"),
         F.count_if(F.col("anomaly_flag") != -1).alias("normals"),
-        (F.count_if(F.col("anomaly_flag") == -1) / F.count(F.lit(1)) * 100.0).alias("anomaly_pct"),
+        (F.try_divide(F.count_if(F.col("anomaly_flag") == -1), F.count(F.lit(1))) * 100.0).alias("anomaly_pct"),
         F.avg("predicted_RUL").alias("avg_rul"),
         F.avg("risk_score").alias("avg_risk"))
 
@@ -123,7 +123,8 @@ def error_series(df: DataFrame) -> DataFrame:
 
 
 def unit_list(df: DataFrame) -> DataFrame:
-    return df.select("unit_id").distinct()
+    """Units in order."""
+    return df.select("unit_id").distinct().orderBy("unit_id")
 
 
 def axis_max(df: DataFrame, a: str = "RUL", b: str = "predicted_RUL") -> DataFrame:

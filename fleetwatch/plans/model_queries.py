@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import decisions as D
 from ..operators import evaluate as E
-from ..operators.features import ground_truth, scale_features
+from ..operators.features import apply_scaler, ground_truth, scaler_stats
 from ..operators.models import iforest, recon, rul
+from ..session import materialize
 from ..sources import tables as T
 from .catalog import WIDE_FEATURES, query
 
 
 def scaled_wide(spark: SparkSession, sf: str) -> DataFrame:
-    scaled, _, _ = scale_features(T.wide_labeled(spark, sf, materialize=True), WIDE_FEATURES)
-    return scaled
+    wide = T.wide_labeled(spark, sf, materialize=True)
+    return apply_scaler(wide, materialize(scaler_stats(wide, WIDE_FEATURES), "scaler"), WIDE_FEATURES)
+
+
+KEYS = ["unit_id", "time_cycle", "RUL"]
 
 
 @query("iforest_scores")
 def iforest_scores(spark, sf):
-    s = iforest.detect(scaled_wide(spark, sf), WIDE_FEATURES)
-    return s.select("unit_id", "time_cycle", "RUL", "anomaly_score", "anomaly_flag")
+    return iforest.detect(scaled_wide(spark, sf), WIDE_FEATURES, keep=KEYS)
 
 
 @query("iforest_flag_share")
@@ -39,14 +42,12 @@ def iforest_evaluation(spark, sf):
 
 @query("recon_scores")
 def recon_scores(spark, sf):
-    s = recon.detect(scaled_wide(spark, sf), WIDE_FEATURES)
-    return s.select("unit_id", "time_cycle", "RUL", "reconstruction_error", "autoencoder_anomaly_flag")
+    return recon.detect(scaled_wide(spark, sf), WIDE_FEATURES, keep=KEYS)
 
 
 @query("recon_evaluation")
 def recon_evaluation(spark, sf):
-    s = ground_truth(recon_scores(spark, sf))
-    return E.roc_auc(s).crossJoin(E.average_precision(s))
+    return E.ranking(ground_truth(recon_scores(spark, sf)))
 
 
 @query("rul_forest")
