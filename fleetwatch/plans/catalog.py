@@ -66,6 +66,18 @@ query("rolling_features", W(f"SELECT unit_id, time_cycle, sensor_2, sensor_2_rol
 query("wide_features", W(_feature_sql(C.SELECTED_SENSORS, "telemetry_wide"), "telemetry_wide"))(
     lambda spark, sf: add_telemetry_features(T.telemetry_wide(spark, sf)))
 
+def _with_holes(df: DataFrame) -> DataFrame:
+    """Telemetry whose cycles have gaps, short and long."""
+    return df.where((F.col("time_cycle") % 7 != 3) & ~F.col("time_cycle").between(14, 31))
+
+
+HOLES = "time_cycle % 7 <> 3 AND NOT time_cycle BETWEEN 14 AND 31"
+query("rolling_features_gaps", W("SELECT unit_id, time_cycle, sensor_2, sensor_2_rolling_mean, sensor_2_diff FROM "
+                                 f"({_feature_sql(['sensor_2'], f'(SELECT * FROM telemetry WHERE {HOLES}) t')}) f", "telemetry"))(
+    lambda spark, sf: add_telemetry_features(_with_holes(T.telemetry(spark, sf))).select(
+        "unit_id", "time_cycle", "sensor_2", "sensor_2_rolling_mean", "sensor_2_diff"))
+
+
 WIDE_LABELED_SQL = ("(" + _feature_sql(C.SELECTED_SENSORS,
                                        "(SELECT *, max(time_cycle) OVER (PARTITION BY unit_id) - time_cycle AS RUL "
                                        "FROM telemetry_wide) l") + ")")
@@ -106,6 +118,21 @@ for _name, _col in [("action_rules", "recommended_action"), ("risk_score", "risk
         (lambda c: lambda spark, sf: decided(spark, sf).select(
             "unit_id", "time_cycle", "anomaly_flag", "anomaly_score", "predicted_RUL", c))(_col))
 
+_BLANKED = ("(SELECT unit_id, time_cycle, event_id, anomaly_flag, CASE WHEN event_id % 7 = 0 THEN NULL ELSE anomaly_score END "
+            "AS anomaly_score, CASE WHEN event_id % 5 = 0 THEN NULL ELSE predicted_RUL END AS predicted_RUL FROM scored)")
+_BLANK_COLS = (f"{O.action_sql()} AS recommended_action, CASE WHEN anomaly_score IS NULL AND anomaly_flag = -1 OR predicted_RUL IS NULL THEN NULL "
+               f"ELSE {rx(O.raw_risk_sql(), 4)} END AS risk_score, {O.confidence_sql()} AS confidence, {O.justification_sql()} AS justification")
+
+
+@query("decisions_with_nulls", W(f"SELECT unit_id, time_cycle, {_BLANK_COLS} FROM {_BLANKED} b", "scored"))
+def decisions_with_nulls(spark, sf):
+    """Some scores are NULL and some remaining lives NaN: both count as unknown."""
+    s = T.scored(spark, sf)
+    s = s.withColumns({"anomaly_score": F.when(F.col("event_id") % 7 != 0, F.col("anomaly_score")),
+                       "predicted_RUL": F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("predicted_RUL"))})
+    return D.with_decision(s).select("unit_id", "time_cycle", "recommended_action", "risk_score", "confidence", "justification")
+
+
 query("decision_enriched", W("SELECT unit_id, time_cycle, recommended_action, risk_score, confidence, justification "
                              "FROM decided", DEC))(
     lambda spark, sf: decided(spark, sf).select("unit_id", "time_cycle", "recommended_action", "risk_score",
@@ -342,6 +369,12 @@ query("sequence_windows", W(f"SELECT *, (sensor_2__last - sensor_2__first) / CAS
     lambda spark, sf: sequence_summaries(add_rul(T.telemetry_ragged(spark, sf)), ["sensor_2"])
     .withColumn("sensor_2__mean", round_exact("sensor_2__mean", 9)))
 
+_SEQ_FULL = _SEQ.replace("telemetry_ragged", "telemetry")
+query("sequence_windows_full", W(f"SELECT *, (sensor_2__last - sensor_2__first) / CAST({C.SEQUENCE_LENGTH - 1} AS DOUBLE) "
+                                 f"AS sensor_2__slope FROM ({_SEQ_FULL}) w WHERE seq_len = {C.SEQUENCE_LENGTH}", "telemetry"))(
+    lambda spark, sf: sequence_summaries(add_rul(T.telemetry(spark, sf)), ["sensor_2"])
+    .withColumn("sensor_2__mean", round_exact("sensor_2__mean", 9)))
+
 _UNITS = ("(SELECT unit_id, row_number() OVER (ORDER BY md5(CAST(unit_id AS VARCHAR) || ':42')) AS rn, "
           "count(*) OVER () AS n FROM (SELECT DISTINCT unit_id FROM telemetry) d)")
 _TRAIN = f"(SELECT unit_id FROM {_UNITS} u WHERE rn <= floor(n * {1 - C.TEST_SIZE}))"
@@ -388,6 +421,9 @@ _STATS = ("SELECT state, action, next_state, n, mean_reward, n_done, n / sum(n)
 query("transitions", W(_TRANS, DEC))(lambda spark, sf: P.transitions(decided(spark, sf)))
 query("transition_stats", W(_STATS, DEC))(lambda spark, sf: P.transition_stats(P.transitions(decided(spark, sf))))
 
+query("transitions_gaps", W(_TRANS.replace("FROM decided", f"FROM decided WHERE {HOLES}"), DEC))(
+    lambda spark, sf: P.transitions(_with_holes(decided(spark, sf))))
+
 Q_SWEEPS = 10
 
 

@@ -12,24 +12,51 @@ from ..streaming import pipeline as S
 from .catalog import DEC, ORACLE, W, decided, query
 
 
-@query("stream_features", ORACLE["rolling_features"])
-def stream_features(spark, sf):
-    sink = S.run_features(spark, sf, with_dedup=False)
-    return S.read_sink(spark, sink).select("unit_id", "time_cycle", "sensor_2", "sensor_2_rolling_mean",
-                                           "sensor_2_diff")
+def _features(spark, sf):
+    return S.read_sink(spark, S.run_features(spark, sf)).select("unit_id", "time_cycle", "sensor_2", "sensor_2_rolling_mean",
+                                                                "sensor_2_diff")
+
+
+query("stream_features", ORACLE["rolling_features"])(_features)
+
+
+def _in_files(spark, sf, newest_first: bool = False, files: int = 4) -> str:
+    """The events table as a folder of files by time, written one after the other."""
+    events = T.read_table(spark, sf, "events")
+    out = S.scratch(spark, "events-in-files")
+    first, last = (r.cast("timestamp").cast("double") for r in (F.min("ts"), F.max("ts")))
+    low, high = events.agg(first, last).first()
+    part = F.least(F.floor((F.col("ts").cast("timestamp").cast("double") - low) / (max(high - low, 1.0) / files)), F.lit(files - 1))
+    for k in sorted(range(files), reverse=newest_first):
+        events.where(part == k).coalesce(1).write.mode("append").parquet(T.table_path(out, "events"))
+    return out
+
+
+query("stream_features_parts", ORACLE["rolling_features"])(lambda spark, sf: _features(spark, _in_files(spark, sf)))
+
+
+def _deduplicated(spark, sf):
+    """The events table replayed twice (at-least-once delivery): one copy stays."""
+    return S.run_dedup(S.telemetry_stream(spark, sf).unionByName(S.telemetry_stream(spark, sf)))
 
 
 @query("stream_dedup", W("SELECT unit_id, time_cycle, event_id, sensor_2 FROM telemetry", "telemetry"))
 def stream_dedup(spark, sf):
-    """The events table replayed twice (at-least-once delivery); the watermark
-    dedup keeps one copy, and the stateful counter numbers the cycles."""
-    s = S.telemetry_stream(spark, sf)
-    doubled = s.unionByName(S.telemetry_stream(spark, sf))
-    sink, ck = S.scratch(spark, "stream-dedup"), S.scratch(spark, "ckpt-dedup")
-    S.drain(S.stateful_features(S.dedup(doubled).drop("event_type")), sink, ck)
+    """One copy of every event, numbered by the stateful counter."""
+    clean = _deduplicated(spark, sf)
+    once = spark.readStream.schema(spark.read.parquet(clean).schema).option("recursiveFileLookup", "true").parquet(clean)
+    sink, ck = S.scratch(spark, "stream-numbered"), S.scratch(spark, "ckpt-numbered")
+    S.drain(S.stateful_features(once.select("unit_id", "event_id", "ts", "sensor_2")), sink, ck)
     return S.read_sink(spark, sink).select("unit_id", "time_cycle", "event_id", "sensor_2")
 
 
+@query("stream_dedup_out_of_order", "SELECT user_id AS unit_id, event_id, value AS sensor_2 FROM events")
+def stream_dedup_out_of_order(spark, sf):
+    """The newest file comes first, so all other rows are days late."""
+    sink = _deduplicated(spark, _in_files(spark, sf, newest_first=True))
+    return spark.read.parquet(sink).select("unit_id", "event_id", "sensor_2")
+
+
 def _published(spark, sf):
     d = decided(spark, sf)
     body = F.struct(F.col("unit_id"), F.col("time_cycle"), F.col("anomaly_score"), F.col("anomaly_flag"),
@@ -57,13 +84,17 @@ def stream_sink_counts(spark, sf):
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2])
 
 
-@query("stream_rates", ORACLE["rate_windows"])
-def stream_rates(spark, sf):
-    s = S.telemetry_stream(spark, sf)
-    scored = s.withColumn("anomaly_flag", F.when(F.lit(0.1) - F.col("sensor_2") / F.lit(500.0) < 0, F.lit(-1))
-                          .otherwise(F.lit(1)))
-    sink = S.run_rates(spark, scored)
-    return S.read_latest_windows(spark, sink)
+def _flagged(stream):
+    return stream.withColumn("anomaly_flag", F.when(F.lit(0.1) - F.col("sensor_2") / F.lit(500.0) < 0, F.lit(-1))
+                             .otherwise(F.lit(1)))
+
+
+def _rates(spark, sf):
+    return S.read_rates(spark, S.run_rates(spark, _flagged(S.telemetry_stream(spark, sf))))
+
+
+query("stream_rates", ORACLE["rate_windows"])(_rates)
+query("stream_rates_out_of_order", ORACLE["rate_windows"])(lambda spark, sf: _rates(spark, _in_files(spark, sf, newest_first=True)))
 
 
 @query("stream_counters", W("SELECT count(*) AS requests_total, "
@@ -72,9 +103,7 @@ def stream_rates(spark, sf):
 def stream_counters(spark, sf):
     """Cumulative counters over the replayed stream (one-row state, complete mode)."""
     from ..streaming import monitor
-    s = S.telemetry_stream(spark, sf)
-    scored = s.withColumn("anomaly_flag", F.when(F.lit(0.1) - F.col("sensor_2") / F.lit(500.0) < 0, F.lit(-1))
-                          .otherwise(F.lit(1)))
+    scored = _flagged(S.telemetry_stream(spark, sf))
     sink, ck = S.scratch(spark, "stream-counters"), S.scratch(spark, "ckpt-counters")
     S.drain(monitor.counter_totals(scored), sink, ck, mode="complete")
     return S.read_sink(spark, sink, latest_only=True)

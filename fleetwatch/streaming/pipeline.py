@@ -5,11 +5,11 @@
 * ``stateful_features`` per-unit cycle counter, rolling mean and first difference
   kept across micro-batches with ``applyInPandasWithState``; the state per unit
   is the cycle count and the last ``window - 1`` readings (bounded).
-* ``dedup``             ``dropDuplicatesWithinWatermark`` on (unit, event).
+* ``run_dedup``         one row per (unit, event), however late its copies come.
 * ``message_stream``    JSON messages -> typed, validated rows.
 * ``run_scoring``       validated messages -> decision columns -> three sinks from
   one persisted micro-batch: scored, alerts (anomalies) and rejects.
-* ``run_rates``         event-time sliding-window rates, watermark-bounded state.
+* ``run_rates``         event-time sliding-window rates; late rows count in their window.
 
 Every sink is written by ``foreachBatch`` into ``batch_id=<id>`` folders with
 overwrite, so a replayed micro-batch after a failure rewrites the same folder
@@ -30,6 +30,8 @@ from .. import config as C
 from ..functions import decisions as D
 from ..session import shared_path
 from ..sources import payload as PL
+from ..sources.files import path_exists
+from ..sources.tables import table_path
 from . import monitor
 
 EVENTS_SCHEMA = T.StructType([
@@ -43,14 +45,38 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def telemetry_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    raw = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
-           .option("maxFilesPerTrigger", files_per_trigger).parquet(sf_dir))
+    """The events table, one file or a folder of parts, as a stream."""
+    path = table_path(sf_dir, "events")
+    one = f"{path[:-1]}[{path[-1]}]"  # a pattern for just this path: a plain path would have to be a folder
+    return _telemetry(spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(one))
+
+
+def _telemetry(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("user_id").alias("unit_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
                       "event_type", F.col("value").alias("sensor_2"))
 
 
-def dedup(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["unit_id", "event_id"])
+def run_dedup(stream: DataFrame, keys=("unit_id", "event_id"), ts: str = "ts") -> str:
+    """Keep the first copy of every event in a sink partitioned by event day, and no other.
+
+    A micro-batch is compared with what the sink has for the days it touches, so nothing is
+    dropped for being late and no state grows in memory."""
+    spark = stream.sparkSession
+    sink, ck = scratch(spark, "stream-dedup"), scratch(spark, "ckpt-dedup")
+    schema = T.StructType(stream.schema.fields + [T.StructField("batch_id", T.LongType()), T.StructField("day", T.DateType())])
+
+    def write(batch: DataFrame, batch_id: int):
+        new = batch.dropDuplicates(list(keys)).withColumn("day", F.to_date(ts))
+        if path_exists(spark, sink):
+            seen = spark.read.schema(schema).parquet(sink).where(F.col("batch_id") < batch_id)
+            days = new.select("day").distinct()  # prunes the sink's partitions
+            seen = seen.join(F.broadcast(days), "day", "left_semi").select(*keys)
+            new = new.join(seen, list(keys), "left_anti")
+        new.write.mode("overwrite").partitionBy("day").parquet(f"{sink}/batch_id={batch_id}")
+
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", ck)
+     .trigger(availableNow=True).start().awaitTermination())
+    return sink
 
 
 def stateful_features(stream: DataFrame, sensors=("sensor_2",), window: int = C.ROLLING_WINDOW,
@@ -93,7 +119,7 @@ def stateful_features(stream: DataFrame, sensors=("sensor_2",), window: int = C.
             out[f"{s}_rolling_mean"] = np.where(cnt > 0, total / np.maximum(cnt, 1), np.nan)
             prev = vals[keep - 1: keep - 1 + len(x)]
             out[f"{s}_diff"] = np.where(np.isnan(x - prev), 0.0, x - prev)
-            new_tails.append([float(v) for v in vals[len(vals) - keep:] if not np.isnan(v)])
+            new_tails.append([float(v) for v in vals[len(vals) - keep:]])  # missing readings keep their places
         state.update((int(n + len(pdf)), new_tails))
         yield out[names]
 
@@ -114,10 +140,8 @@ def drain(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -
     q.awaitTermination()
 
 
-def run_features(spark: SparkSession, sf_dir: str, with_dedup: bool = True) -> str:
+def run_features(spark: SparkSession, sf_dir: str) -> str:
     s = telemetry_stream(spark, sf_dir)
-    if with_dedup:
-        s = dedup(s)
     sink, ck = scratch(spark, "stream-features"), scratch(spark, "ckpt-features")
     drain(stateful_features(s.drop("event_type")), sink, ck)
     return sink
@@ -166,22 +190,23 @@ def run_scoring(spark: SparkSession, path: str) -> dict:
     return sinks
 
 
-def run_rates(spark: SparkSession, scored_stream: DataFrame, delay: str = "2 hours") -> str:
-    """Windowed rates in ``update`` mode: each micro-batch emits the windows it
-    changed, and windows older than the watermark leave the state store (complete
-    mode would keep every window forever).  Read with ``read_latest_windows``."""
-    rates = monitor.rate_windows(scored_stream.withWatermark("ts", delay))
+def run_rates(spark: SparkSession, scored_stream: DataFrame) -> str:
+    """Windowed rates: each micro-batch adds the counts of its own rows by window, and reading
+    adds them up, so a late row counts in its window and no state is kept.  Read with
+    ``read_rates``."""
     sink, ck = scratch(spark, "stream-rates"), scratch(spark, "ckpt-rates")
-    drain(rates, sink, ck, mode="update")
+
+    def write(batch: DataFrame, batch_id: int):
+        monitor.window_counts(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+
+    (scored_stream.writeStream.foreachBatch(write).option("checkpointLocation", ck)
+     .trigger(availableNow=True).start().awaitTermination())
     return sink
 
 
-def read_latest_windows(spark: SparkSession, path: str, key: str = "window_start") -> DataFrame:
-    """Upsert view of an update-mode sink: the last emitted version of every window."""
-    df = spark.read.parquet(path)
-    cols = [c for c in df.columns if c not in (key, "batch_id")]
-    last = df.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("_v"))
-    return last.select(key, *[F.col(f"_v.{c}").alias(c) for c in cols])
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    counts = spark.read.parquet(path).groupBy("window_start").agg(F.sum("requests").alias("requests"), F.sum("anomalies").alias("anomalies"))
+    return monitor.rates(counts)
 
 
 def read_sink(spark: SparkSession, path: str, latest_only: bool = False) -> DataFrame:

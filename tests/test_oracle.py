@@ -7,9 +7,6 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 
-SLOW = {"policy_apply", "policy_table", "q_values"}
-
-
 def _norm(v):
     if isinstance(v, float):
         return "NaN" if math.isnan(v) else repr(v)
@@ -23,7 +20,7 @@ def _digest(cols, rows):
     return hashlib.sha1("\n".join(sorted("|".join(_norm(r[i]) for i in order) for r in rows)).encode()).hexdigest()
 
 
-NAMES = sorted(n for n in E.oracle_sql() if n not in SLOW and not n.startswith("stream_"))
+NAMES = sorted(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
