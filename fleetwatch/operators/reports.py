@@ -43,7 +43,6 @@ def risk_histogram(df: DataFrame, risk: str = "risk_score", bins: int = C.RISK_H
 
 
 CONFIDENCE_GROUP = ["risk_score", "confidence"]
-AUTOENCODER_GROUP = ["reconstruction_error", "autoencoder_anomaly_flag"]
 
 
 def has_group(df: DataFrame, group: list) -> bool:

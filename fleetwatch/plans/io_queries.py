@@ -26,14 +26,14 @@ def _padded_wide(spark, sf):
                           "telemetry_wide"))
 def raw_text_scan(spark, sf):
     """Whitespace text scan: the wide telemetry written as 26 blank-separated
-    columns (trailing blank), plus a short line and a non-numeric line that must
-    land in the rejects."""
+    columns (trailing blank), plus a short, an overlong and a non-numeric line that
+    must land in the rejects."""
     path = scratch(spark, "raw-text")
     FS.write_whitespace_table(_padded_wide(spark, sf), f"{path}/part=rows")
-    bad = spark.createDataFrame([("1 2 3",), ("1 2 x " + " ".join(["0.5"] * 23),)], "value string")
+    bad = spark.createDataFrame([("1 2 3",), (" ".join(["7"] * 27),), ("1 2 x " + " ".join(["0.5"] * 23),)], "value string")
     bad.write.mode("overwrite").text(f"{path}/part=bad")
     rows, rejects = FS.load_whitespace_table(spark, f"{path}/part=*")
-    if rejects.count() != 2:
+    if rejects.count() != 3:
         raise AssertionError("reject path broken")
     return rows.select("unit_id", "time_cycle", "op_setting_1", "op_setting_2", "op_setting_3", *WIDE_SENSORS,
                        "sensor_1")

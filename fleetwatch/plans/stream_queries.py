@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import reports as R
 from ..sources import tables as T
 from ..streaming import pipeline as S
+from ..streaming.live import LiveStore
 from .catalog import DEC, ORACLE, W, decided, query
 
 
@@ -97,6 +99,26 @@ query("stream_rates", ORACLE["rate_windows"])(_rates)
 query("stream_rates_out_of_order", ORACLE["rate_windows"])(lambda spark, sf: _rates(spark, _in_files(spark, sf, newest_first=True)))
 
 
+@query("stream_live_store", "SELECT event_id, user_id AS unit_id, value AS sensor_2, "
+       "CASE WHEN 0.1 - value / 500.0 < 0 THEN -1 ELSE 1 END AS anomaly_flag FROM events ORDER BY event_id DESC LIMIT 500")
+def stream_live_store(spark, sf):
+    """The newest records of a stream of files in any order, after a compaction."""
+    store = LiveStore(spark, S.scratch(spark, "live"))
+    stream = _flagged(S.telemetry_stream(spark, _in_files(spark, sf, newest_first=True)))
+    (stream.select("event_id", "unit_id", "sensor_2", "anomaly_flag").writeStream.foreachBatch(store.append)
+     .option("checkpointLocation", S.scratch(spark, "ckpt-live")).trigger(availableNow=True).start().awaitTermination())
+    store.compact()
+    return store.read()
+
+
+@query("stream_failures", W("SELECT count(*) AS requests_total, count(*) FILTER (WHERE event_id % 50 = 0) AS failures_total, "
+                            "count(*) FILTER (WHERE event_id % 50 <> 0 AND anomaly_flag = -1) AS anomalies_total FROM decided", DEC))
+def stream_failures(spark, sf):
+    """Requests, failures and anomalies from the sinks of the scoring stream."""
+    sinks = _published(spark, sf)
+    return R.counters(S.read_sink(spark, sinks["scored"]), S.read_sink(spark, sinks["rejects"]))
+
+
 @query("stream_counters", W("SELECT count(*) AS requests_total, "
                             "count(*) FILTER (WHERE 0.1 - sensor_2 / 500.0 < 0) AS anomalies_total FROM telemetry",
                             "telemetry"))
