@@ -52,7 +52,7 @@ def _feature_sql(sensors, src: str, extra: str = "") -> str:
     cols = []
     for s in sensors:
         cols.append(f"avg({s}) OVER (PARTITION BY unit_id ORDER BY time_cycle ROWS BETWEEN "
-                    f"{C.ROLLING_WINDOW - 1} PRECEDING AND CURRENT ROW) AS {s}_rolling_mean")
+                    f"4 PRECEDING AND CURRENT ROW) AS {s}_rolling_mean")
         cols.append(f"coalesce({s} - lag({s}) OVER (PARTITION BY unit_id ORDER BY time_cycle), "
                     f"CAST(0 AS DOUBLE)) AS {s}_diff")
     return f"SELECT *{extra}, {', '.join(cols)} FROM {src}"
@@ -363,21 +363,21 @@ _SEQ = ("SELECT unit_id, time_cycle AS end_cycle, min(time_cycle) OVER f AS seq_
         f"{rx('avg(sensor_2) OVER f', 9)} AS sensor_2__mean, min(sensor_2) OVER f AS sensor_2__min, "
         "max(sensor_2) OVER f AS sensor_2__max FROM (SELECT *, max(time_cycle) OVER (PARTITION BY unit_id) - time_cycle "
         "AS RUL FROM telemetry_ragged) r WINDOW f AS (PARTITION BY unit_id ORDER BY time_cycle "
-        f"ROWS BETWEEN {C.SEQUENCE_LENGTH - 1} PRECEDING AND CURRENT ROW)")
-query("sequence_windows", W(f"SELECT *, (sensor_2__last - sensor_2__first) / CAST({C.SEQUENCE_LENGTH - 1} AS DOUBLE) "
-                            f"AS sensor_2__slope FROM ({_SEQ}) w WHERE seq_len = {C.SEQUENCE_LENGTH}", "telemetry_ragged"))(
+        f"ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
+query("sequence_windows", W(f"SELECT *, (sensor_2__last - sensor_2__first) / CAST(29 AS DOUBLE) "
+                            f"AS sensor_2__slope FROM ({_SEQ}) w WHERE seq_len = 30", "telemetry_ragged"))(
     lambda spark, sf: sequence_summaries(add_rul(T.telemetry_ragged(spark, sf)), ["sensor_2"])
     .withColumn("sensor_2__mean", round_exact("sensor_2__mean", 9)))
 
 _SEQ_FULL = _SEQ.replace("telemetry_ragged", "telemetry")
-query("sequence_windows_full", W(f"SELECT *, (sensor_2__last - sensor_2__first) / CAST({C.SEQUENCE_LENGTH - 1} AS DOUBLE) "
-                                 f"AS sensor_2__slope FROM ({_SEQ_FULL}) w WHERE seq_len = {C.SEQUENCE_LENGTH}", "telemetry"))(
+query("sequence_windows_full", W(f"SELECT *, (sensor_2__last - sensor_2__first) / CAST(29 AS DOUBLE) "
+                                 f"AS sensor_2__slope FROM ({_SEQ_FULL}) w WHERE seq_len = 30", "telemetry"))(
     lambda spark, sf: sequence_summaries(add_rul(T.telemetry(spark, sf)), ["sensor_2"])
     .withColumn("sensor_2__mean", round_exact("sensor_2__mean", 9)))
 
 _UNITS = ("(SELECT unit_id, row_number() OVER (ORDER BY md5(CAST(unit_id AS VARCHAR) || ':42')) AS rn, "
           "count(*) OVER () AS n FROM (SELECT DISTINCT unit_id FROM telemetry) d)")
-_TRAIN = f"(SELECT unit_id FROM {_UNITS} u WHERE rn <= floor(n * {1 - C.TEST_SIZE}))"
+_TRAIN = f"(SELECT unit_id FROM {_UNITS} u WHERE rn <= floor(n * 0.8))"
 
 
 def _unit_split(spark, sf, side: str):
@@ -400,7 +400,7 @@ def _row_split(spark, sf):
 
 query("row_split", W("SELECT unit_id, time_cycle, CAST(('0x' || substr(md5(concat_ws(':', CAST(unit_id AS VARCHAR), "
                      "CAST(time_cycle AS VARCHAR), '42')), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) "
-                     f"< {C.TEST_SIZE} AS is_test FROM telemetry", "telemetry"))(_row_split)
+                     f"< 0.2 AS is_test FROM telemetry", "telemetry"))(_row_split)
 
 # --------------------------------------------------------------- policy
 
@@ -434,7 +434,7 @@ def _q_sql(sweeps: int = Q_SWEEPS) -> str:
     for k in range(1, sweeps + 1):
         ctes.append(
             f"q{k} AS (SELECT sp.state, sp.action, coalesce(u.q, CAST(0 AS DOUBLE)) AS q FROM {spine} sp LEFT JOIN "
-            f"(SELECT st.state, st.action, sum(st.p * (st.mean_reward + CAST({C.Q_GAMMA} AS DOUBLE) * "
+            f"(SELECT st.state, st.action, sum(st.p * (st.mean_reward + CAST(0.9 AS DOUBLE) * "
             f"coalesce(v.v, CAST(0 AS DOUBLE)))) AS q FROM st LEFT JOIN (SELECT state AS next_state, max(q) AS v "
             f"FROM q{k - 1} GROUP BY state) v ON v.next_state = st.next_state GROUP BY st.state, st.action) u "
             f"ON u.state = sp.state AND u.action = sp.action)")
@@ -505,7 +505,7 @@ def success_rate(spark, sf):
     return R.success_rates(R.counters(ok, d.where(~F.col("valid"))))
 
 
-_BOUNDS = [float(b) for b in C.LATENCY_BUCKETS] + [float("inf")]
+_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0, float("inf")]
 _BUCKETS_SQL = ("(SELECT b.idx, b.le, count(s.latency_s) FILTER (WHERE s.latency_s <= b.le) AS cum FROM (VALUES "
                 + ", ".join(f"({i}, CAST('{le}' AS DOUBLE))" for i, le in enumerate(_BOUNDS))
                 + ") b(idx, le) CROSS JOIN scored s GROUP BY b.idx, b.le)")
@@ -577,7 +577,7 @@ def _validation_split(spark, sf):
 
 query("validation_split", W("SELECT unit_id, time_cycle, CAST(('0x' || substr(md5(concat_ws(':', CAST(unit_id AS VARCHAR), "
                             "CAST(time_cycle AS VARCHAR), '43')), 1, 8)) AS BIGINT) / CAST(4294967296 AS DOUBLE) "
-                            f"< {C.VALIDATION_SPLIT} AS is_val FROM telemetry", "telemetry"))(_validation_split)
+                            f"< 0.15 AS is_val FROM telemetry", "telemetry"))(_validation_split)
 
 query("live_records", W("SELECT CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS seq, event_id, unit_id, "
                         "time_cycle, anomaly_flag, predicted_RUL, recommended_action, risk_score, confidence, "

@@ -1,11 +1,11 @@
 """Reference SQL for the correctness gate (runs in DuckDB on the same parquet).
 
 The views are the ones the Spark side builds; the decision rules are written
-out again as CASE expressions, independently of the Spark column code.
+out again as CASE expressions, with their thresholds and texts, independently of
+the Spark column code and its configuration.
 """
 from __future__ import annotations
 
-from .. import config as C
 from ..functions.numeric import format_fixed_sql, round_exact_sql
 
 TELEMETRY = """SELECT user_id AS unit_id,
@@ -43,34 +43,34 @@ def clip_sql(x: str, lo, hi) -> str:
 
 
 def action_sql(f="anomaly_flag", s="anomaly_score", r="predicted_RUL") -> str:
-    return (f"(CASE WHEN {f} = -1 AND {r} <= {C.RUL_CRITICAL} THEN '{C.ACTION_CRITICAL}' "
-            f"WHEN {f} = -1 AND {r} <= {C.RUL_HIGH_RISK} THEN '{C.ACTION_HIGH_RISK}' "
-            f"WHEN {f} = -1 AND {s} < {D(C.SCORE_STRONG_WARNING)} THEN '{C.ACTION_STRONG}' "
-            f"WHEN {f} = -1 THEN '{C.ACTION_MONITOR}' "
-            f"WHEN {r} <= {C.ACTION_CAUTION_RUL} THEN '{C.ACTION_CAUTION}' "
-            f"ELSE '{C.ACTION_NORMAL}' END)")
+    return (f"(CASE WHEN {f} = -1 AND {r} <= 5 THEN 'CRITICAL: Immediate maintenance required' "
+            f"WHEN {f} = -1 AND {r} <= 15 THEN 'HIGH RISK: Schedule urgent inspection' "
+            f"WHEN {f} = -1 AND {s} < {D(-0.1)} THEN 'WARNING: Strong anomaly detected' "
+            f"WHEN {f} = -1 THEN 'WARNING: Monitor this unit closely' "
+            f"WHEN {r} <= 10 THEN 'CAUTION: Unit nearing failure threshold' "
+            f"ELSE 'NORMAL: System operating normally' END)")
 
 
 def raw_risk_sql(f="anomaly_flag", s="anomaly_score", r="predicted_RUL") -> str:
-    rul_risk = f"({D(1.0)} - {clip_sql(r, 0, C.RUL_SAFE)} / {D(C.RUL_SAFE)})"
-    an = f"(CASE WHEN {f} = 1 THEN {D(0.0)} ELSE abs({clip_sql(s, C.RISK_SCORE_FLOOR, 0.0)}) / {D(0.5)} END)"
-    return clip_sql(f"({D(C.RISK_RUL_WEIGHT)} * {rul_risk} + {D(C.RISK_ANOMALY_WEIGHT)} * {an})", 0.0, 1.0)
+    rul_risk = f"({D(1.0)} - {clip_sql(r, 0, 80)} / {D(80)})"
+    an = f"(CASE WHEN {f} = 1 THEN {D(0.0)} ELSE abs({clip_sql(s, -0.5, 0.0)}) / {D(0.5)} END)"
+    return clip_sql(f"({D(0.6)} * {rul_risk} + {D(0.4)} * {an})", 0.0, 1.0)
 
 
 def confidence_sql(f="anomaly_flag", s="anomaly_score", r="predicted_RUL") -> str:
-    strong = f"({f} = -1 AND {s} < {D(C.SCORE_STRONG_ANOMALY)})"
-    near = f"({r} <= {C.RUL_HIGH_RISK})"
+    strong = f"({f} = -1 AND {s} < {D(-0.15)})"
+    near = f"({r} <= 15)"
     return (f"(CASE WHEN {strong} AND {near} THEN 'HIGH' "
-            f"WHEN NOT ({f} = -1) AND {r} > {C.RUL_SAFE} THEN 'HIGH' "
+            f"WHEN NOT ({f} = -1) AND {r} > 80 THEN 'HIGH' "
             f"WHEN {strong} OR {near} THEN 'MEDIUM' ELSE 'LOW' END)")
 
 
 def justification_sql(f="anomaly_flag", s="anomaly_score", r="predicted_RUL") -> str:
     cyc = f"{format_fixed_sql(r, 0)} || ' cycles)'"
     first = f"(CASE WHEN {f} = -1 THEN 'anomaly detected (score=' || {format_fixed_sql(s, 3)} || ')' ELSE 'no anomaly detected' END)"
-    second = (f"(CASE WHEN {r} <= {C.RUL_CRITICAL} THEN 'RUL critically low (' || {cyc} "
-              f"WHEN {r} <= {C.RUL_HIGH_RISK} THEN 'RUL below high-risk threshold (' || {cyc} "
-              f"WHEN {r} <= {C.RUL_CAUTION} THEN 'RUL in caution zone (' || {cyc} "
+    second = (f"(CASE WHEN {r} <= 5 THEN 'RUL critically low (' || {cyc} "
+              f"WHEN {r} <= 15 THEN 'RUL below high-risk threshold (' || {cyc} "
+              f"WHEN {r} <= 30 THEN 'RUL in caution zone (' || {cyc} "
               f"ELSE 'RUL acceptable (' || {cyc} END)")
     return f"({first} || '; ' || {second} || '.')"
 
@@ -106,24 +106,24 @@ def with_views(body: str, *names: str) -> str:
 
 
 def alert_level_sql(a="recommended_action") -> str:
-    words = "|".join(C.ALERT_WORDS)
+    words = "|".join(("HIGH RISK", "WARNING", "CAUTION"))
     return (f"(CASE WHEN contains({a}, 'CRITICAL') THEN 'critical' "
             f"WHEN regexp_matches({a}, '{words}') THEN 'warning' ELSE 'normal' END)")
 
 
 def alert_value_sql(a="recommended_action") -> str:
-    words = "|".join(C.ALERT_WORDS)
+    words = "|".join(("HIGH RISK", "WARNING", "CAUTION"))
     return (f"(CASE WHEN contains({a}, 'CRITICAL') THEN 100 "
             f"WHEN regexp_matches({a}, '{words}') THEN 60 ELSE 20 END)")
 
 
 def risk_band_sql(r="risk_score") -> str:
-    return (f"(CASE WHEN {r} >= {C.RISK_BAND_CRITICAL} THEN 'critical' "
-            f"WHEN {r} >= {C.RISK_BAND_WARNING} THEN 'warning' ELSE 'low' END)")
+    return (f"(CASE WHEN {r} >= 0.7 THEN 'critical' "
+            f"WHEN {r} >= 0.4 THEN 'warning' ELSE 'low' END)")
 
 
 def health_class_sql(h: str) -> str:
-    return f"(CASE WHEN {h} >= {C.HEALTH_GOOD} THEN 'good' WHEN {h} >= {C.HEALTH_MEDIUM} THEN 'medium' ELSE 'bad' END)"
+    return f"(CASE WHEN {h} >= 70 THEN 'good' WHEN {h} >= 40 THEN 'medium' ELSE 'bad' END)"
 
 
 def agreement_sql(f="anomaly_flag", a="autoencoder_anomaly_flag") -> str:
@@ -133,8 +133,8 @@ def agreement_sql(f="anomaly_flag", a="autoencoder_anomaly_flag") -> str:
 
 
 def state_sql(f="anomaly_flag", r="predicted_RUL") -> str:
-    band = (f"(CASE WHEN {r} <= {C.RUL_CRITICAL} THEN 0 WHEN {r} <= {C.RUL_HIGH_RISK} THEN 1 "
-            f"WHEN {r} <= {C.RUL_CAUTION} THEN 2 ELSE 3 END)")
+    band = (f"(CASE WHEN {r} <= 5 THEN 0 WHEN {r} <= 15 THEN 1 "
+            f"WHEN {r} <= 30 THEN 2 ELSE 3 END)")
     return f"(CASE WHEN {f} = -1 THEN 4 ELSE 0 END + {band})"
 
 
