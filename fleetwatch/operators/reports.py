@@ -174,14 +174,22 @@ def latency_buckets(df: DataFrame, latency: str = "latency_s", bounds=C.LATENCY_
     return one.selectExpr(f"stack({len(les)}, {pairs}) AS (idx, le, cum)")
 
 
-def windowed_latency_quantiles(df: DataFrame, ts: str = "ts", width: str = "1 hour",
-                               latency: str = "latency_s", bounds=C.LATENCY_BUCKETS, qs=(0.5, 0.9, 0.99)) -> DataFrame:
+def windowed_latency_quantiles(df: DataFrame, **kw) -> DataFrame:
     """Latency quantiles per event-time window: cumulative bucket counts per window
     (one aggregate), then the same interpolation rule inside each window."""
-    les = [float(b) for b in bounds] + [float("inf")]
+    return window_bucket_quantiles(window_buckets(df, **kw))
+
+
+def window_buckets(df: DataFrame, ts: str = "ts", width: str = "1 hour", latency: str = "latency_s",
+                   bounds=C.LATENCY_BUCKETS) -> DataFrame:
+    """window_start and cumulative counts b0, b1, ... (+Inf last); counts of parts add up."""
     aggs = [F.count_if(F.col(latency) <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
     aggs.append(F.count(F.col(latency)).alias(f"b{len(bounds)}"))
-    per = df.groupBy(F.window(ts, width).start.alias("window_start")).agg(*aggs)
+    return df.groupBy(F.window(ts, width).start.alias("window_start")).agg(*aggs)
+
+
+def window_bucket_quantiles(per: DataFrame, bounds=C.LATENCY_BUCKETS, qs=(0.5, 0.9, 0.99)) -> DataFrame:
+    les = [float(b) for b in bounds] + [float("inf")]
     pairs = ", ".join(f"{i}, CAST('{le}' AS DOUBLE), b{i}" for i, le in enumerate(les))
     long = per.selectExpr("window_start", f"stack({len(les)}, {pairs}) AS (idx, le, cum)")
     w = Window.partitionBy("window_start").orderBy("idx")

@@ -111,6 +111,13 @@ def stream_live_store(spark, sf):
     return store.read()
 
 
+@query("stream_latency_quantiles", ORACLE["latency_quantiles_hourly"])
+def stream_latency_quantiles(spark, sf):
+    """Latency quantiles per window over a stream whose files come newest first."""
+    stream = S.telemetry_stream(spark, _in_files(spark, sf, newest_first=True)).withColumn("latency_s", F.col("sensor_2") / F.lit(1000.0))
+    return S.read_latency_quantiles(spark, S.run_partial_counts(spark, stream, R.window_buckets, "latency"))
+
+
 @query("stream_failures", W("SELECT count(*) AS requests_total, count(*) FILTER (WHERE event_id % 50 = 0) AS failures_total, "
                             "count(*) FILTER (WHERE event_id % 50 <> 0 AND anomaly_flag = -1) AS anomalies_total FROM decided", DEC))
 def stream_failures(spark, sf):

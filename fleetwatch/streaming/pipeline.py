@@ -28,6 +28,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import config as C
 from ..functions import decisions as D
+from ..operators import reports
 from ..session import shared_path
 from ..sources import payload as PL
 from ..sources.files import path_exists
@@ -194,16 +195,28 @@ def run_rates(spark: SparkSession, scored_stream: DataFrame) -> str:
     """Windowed rates: each micro-batch adds the counts of its own rows by window, and reading
     adds them up, so a late row counts in its window and no state is kept.  Read with
     ``read_rates``."""
-    sink, ck = scratch(spark, "stream-rates"), scratch(spark, "ckpt-rates")
+    return run_partial_counts(spark, scored_stream, monitor.window_counts, "rates")
+
+
+def run_partial_counts(spark: SparkSession, stream: DataFrame, counts, name: str) -> str:
+    """Write ``counts`` (an aggregate whose results add up) of every micro-batch."""
+    sink, ck = scratch(spark, f"stream-{name}"), scratch(spark, f"ckpt-{name}")
 
     def write(batch: DataFrame, batch_id: int):
-        monitor.window_counts(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
+        counts(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    (scored_stream.writeStream.foreachBatch(write).option("checkpointLocation", ck)
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", ck)
      .trigger(availableNow=True).start().awaitTermination())
     return sink
 
 
+def read_latency_quantiles(spark: SparkSession, path: str) -> DataFrame:
+    """Quantiles per window from the bucket counts of all micro-batches."""
+    parts = spark.read.parquet(path)
+    buckets = [c for c in parts.columns if c not in ("window_start", "batch_id")]
+    return reports.window_bucket_quantiles(parts.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in buckets]))
+
+
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
     counts = spark.read.parquet(path).groupBy("window_start").agg(F.sum("requests").alias("requests"), F.sum("anomalies").alias("anomalies"))
     return monitor.rates(counts)
