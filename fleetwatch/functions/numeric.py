@@ -78,6 +78,16 @@ def null_to_zero(x) -> Column:
     return F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
 
 
+def format_thousands(x) -> Column:
+    """Whole number with a comma every three digits; NULL stays NULL."""
+    return F.format_number(_c(x).cast("long"), 0)
+
+
+def parse_iso(x) -> Column:
+    """ISO 8601 date or date and time, with or without zone, as a timestamp; NULL if it is none."""
+    return _c(x).try_cast("timestamp")
+
+
 def truncate_text(x, at: int = 30, keep: int = 28) -> Column:
     x = _c(x)
     return F.when(F.length(x) > at, F.concat(F.substring(x, 1, keep), F.lit("…"))).otherwise(x)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import nan_to_null
 from ..operators.ordered import number_rows
 from ..session import materialize as materialize_table
 
@@ -42,7 +43,7 @@ def _with_rul(df: DataFrame) -> DataFrame:
 def telemetry(spark: SparkSession, sf_dir: str, with_rul: bool = False) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("unit_id"), "event_id", "ts", "event_type",
-        F.col("value").alias("sensor_2"))
+        nan_to_null("value").alias("sensor_2"))
     t = number_rows(ev, "unit_id", ["ts", "event_id"], micros("ts"), total_out="_rows" if with_rul else None)
     cols = ["unit_id", "time_cycle", "event_id", "ts", "event_type", "sensor_2"]
     return _with_rul(t.select(*cols, "_rows")) if with_rul else t.select(*cols)

@@ -28,6 +28,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import config as C
 from ..functions import decisions as D
+from ..functions.numeric import nan_to_null
 from ..operators import reports
 from ..session import shared_path
 from ..sources import payload as PL
@@ -54,7 +55,7 @@ def telemetry_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int =
 
 def _telemetry(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("user_id").alias("unit_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
-                      "event_type", F.col("value").alias("sensor_2"))
+                      "event_type", nan_to_null("value").alias("sensor_2"))
 
 
 def run_dedup(stream: DataFrame, keys=("unit_id", "event_id"), ts: str = "ts") -> str:

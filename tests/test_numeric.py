@@ -18,3 +18,11 @@ def test_round_and_format_match_python(spark):
             assert row[f"r{d}"] == round(x, d), (x, d)
         for d in (0, 3, 4):
             assert row[f"f{d}"] == f"{x:.{d}f}", (x, d)
+
+
+def test_thousands_and_iso(spark):
+    from fleetwatch.functions.numeric import format_thousands, parse_iso
+    df = spark.createDataFrame([(1234567, "2024-02-29T12:30:00Z"), (-999, "2024-02-29"), (None, "no time"), (0, None)], "n long, t string")
+    got = df.select(format_thousands("n").alias("n"), parse_iso("t").cast("string").alias("t")).collect()
+    assert [r.n for r in got] == ["1,234,567", "-999", None, "0"]
+    assert [r.t for r in got] == ["2024-02-29 12:30:00", "2024-02-29 00:00:00", None, None]
