@@ -5,6 +5,9 @@ import os
 import re
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +22,8 @@ DEFAULT_CONF = {
 }
 
 
+#: Lists of paths that are being recorded, innermost last.
+_RECORDERS: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
@@ -94,4 +99,25 @@ def materialize(df, name: str):
     import uuid
     path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
+    for paths in _RECORDERS.get():
+        paths.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that ``materialize`` writes inside the block."""
+    paths: list[str] = []
+    token = _RECORDERS.set((*_RECORDERS.get(), paths))
+    try:
+        yield paths
+    finally:
+        _RECORDERS.reset(token)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing will read any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
