@@ -71,7 +71,7 @@ def with_decision(df: DataFrame, flag: str = "anomaly_flag", score: str = "anoma
     """Enriched decision: action, rounded risk, confidence and justification.
 
     A NaN score or remaining life counts as unknown, like NULL: no threshold on it holds."""
-    score, rul = nan_to_null(F.col(score).cast("double")), nan_to_null(F.col(rul).cast("double"))
+    score, rul = nan_to_null(score), nan_to_null(rul)
     staged = df.withColumn("_raw_risk", raw_risk(flag, score, rul))
     return staged.withColumns({
         "recommended_action": recommended_action(flag, score, rul),

@@ -68,8 +68,8 @@ def format_fixed(x, digits: int) -> Column:
 
 
 def nan_to_null(x) -> Column:
-    x = _c(x)
-    return F.when(F.isnan(x), F.lit(None)).otherwise(x)
+    """NaN as NULL (double); ``x`` stands in the plan once, so nested rules stay small."""
+    return F.nanvl(_c(x).cast("double"), F.lit(None).cast("double"))
 
 
 def null_to_zero(x) -> Column:
