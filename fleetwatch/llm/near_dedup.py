@@ -11,10 +11,12 @@ similarity of 0.8 no alignment leaves a diagonal band of ``(a + b) / 9``, so
 matches outside it are cut away, and the longest chain inside it gives ``m``.
 
 Work stays linear in a group of copies: equal texts are one text from the start; then
-every bucket of equal sketches is compared with its smallest member only, and what is
-alike is joined.  Of what is left in different classes, exactly those pairs are
-compared that agree in two sketches or more (at a similarity of 0.8 all but one pair in
-80,000), so no link between different texts is lost to the shortcut.
+every bucket of equal sketches is compared with one hub only, and what is alike is joined.  Buckets that still hold several classes are settled exactly: their
+texts are joined on the rarest fifth of their shingles, one of which two similar texts
+must share, and pairs whose parity bits differ in too many places are passed over; so no
+link between different texts is lost to the shortcut, and texts that have but a passage
+in common, or are edited too far from each other, don't meet.  (At a similarity of 0.8 all but one pair in a
+million agree in some sketch.)
 
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand.  A text of one to four words has itself as its
 only shingle; null, empty and blank texts have no words and are one class.  Repeated
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from ..session import materialize
+from ..session import materialize, recorded, release
 from . import ragged
 from .common import _quoted, prepare
 from .components import components
@@ -41,6 +43,7 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 20
 MINIMA = 3
+PARITY_BITS = 1024
 #: Rows of 8 bytes that may be broadcast; beyond that the same join is shuffled.
 BROADCAST_ROWS = 2_000_000
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -83,6 +86,13 @@ class Shingled:
         occurrence[order] = since.astype(np.uint64)
         return np.where(occurrence > 0, ragged.mix(plain + occurrence * np.uint64(0x9E3779B97F4A7C15)), plain)
 
+    def parity(self) -> np.ndarray:
+        """texts x PARITY_BITS / 64: a bit for each residue of the shingles' hashes, set if an odd
+        number of shingles has it."""
+        at = self.doc * PARITY_BITS + (self.labelled % np.uint64(PARITY_BITS)).astype(np.int64)
+        odd = np.bincount(at, minlength=self.texts * PARITY_BITS).astype(np.uint8) & 1
+        return np.packbits(odd, bitorder="little").view("<i8").reshape(self.texts, -1)
+
     def sketches(self) -> np.ndarray:
         """texts x SKETCHES; texts without words have zeros."""
         out = np.zeros((self.texts, SKETCHES), np.uint64)
@@ -195,14 +205,56 @@ def _alike_in_length(a: str, b: str) -> F.Column:
     return F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
 
 
+def _open_pairs(open_texts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts in different classes that may be similar, by prefix filtering.
+
+    Texts at the similarity share all but a fifth of their shingles, so with the shingles of
+    every text in one order, two such texts share one of the first fifth of each.  The order
+    is by rarity: shingles that no other text has come first and lead to no pair, those of a
+    passage that many texts share come last."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ragged.slices(batch, 3):
+                s = Shingled(part.column(3))
+                edges = np.concatenate([s.at, [len(s.labelled)]]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(s.labelled.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], lists, pa.array(list(s.parity()), pa.list_(pa.int64()))], ["rep", "n", "label", "shingles", "parity"])
+
+    read = open_texts.join(texts, "rep").select("rep", "n", "label", "text").mapInArrow(run, "rep long, n long, label long, shingles array<long>, parity array<long>")
+    read = materialize(read, "open-shingles")
+    rows = read.select("rep", "n", "label", F.explode("shingles").alias("s"))
+    shared = rows.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    own = rows.join(shared, "s").groupBy("rep", "n", "label").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("by_rarity"))
+    alone = F.col("n") - F.size("by_rarity")
+    own = own.withColumn("known", F.size("by_rarity"))
+    first = F.col("n") - F.ceil(F.lit(SIMILARITY - 1e-12) * F.col("n")) + 1 - alone
+    prefix = own.where(first > 0).withColumn("first", first.cast("int")).join(read.select("rep", "parity"), "rep")
+    prefix = prefix.select("rep", "n", "label", "known", "parity", F.explode(F.expr("slice(by_rarity, 1, first)")).alias("x")).select("rep", "n", "label", "known", "parity", "x.s")
+    prefix = materialize(prefix, "prefixes")
+    x, y = (prefix.select(*[F.col(c).alias(f"{c}_{side}") for c in ("s", "rep", "n", "label", "known", "parity")]) for side in "ab")
+    total = F.col("n_a") + F.col("n_b")
+    # both must have enough shingles that some other text has, too, for what the pair must share;
+    # parities differ in no more places than there are shingles that only one of the two has
+    enough = F.least("known_a", "known_b") >= F.lit(SIMILARITY / (1 + SIMILARITY) - 1e-12) * total
+    apart = sum((F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
+    near = apart <= F.lit((1 - SIMILARITY) / (1 + SIMILARITY) + 1e-12) * total
+    met = x.join(y, (F.col("s_a") == F.col("s_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _alike_in_length("n_a", "n_b") & enough & near)
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
 def _classes(sketched: DataFrame, text_field: str) -> DataFrame:
     """(fa, fb, rep, label): each distinct text, its smallest row and that of its class."""
     reps = materialize(sketched.groupBy("fa", "fb").agg(F.min("row_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "texts")
     buckets = reps.where("n > 0").select("rep", "n", F.posexplode("sketches").alias("j", "v"))
-    hubs = buckets.groupBy("j", "v").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = buckets.join(hubs, ["j", "v"])
-    near_hub = shared.where(F.col("rep") > F.col("hub.rep")).where(_alike_in_length("n", "hub.n")) \
-        .select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    sizes = buckets.groupBy("j", "v").agg(F.count("*").alias("members")).where("members > 1")
+    shared = materialize(buckets.join(sizes, ["j", "v"]), "shared-buckets")
+    # the hub of a bucket is the member that meets the most others in all its buckets: in a group
+    # of edited copies, the text that they are copies of rather than one of them
+    meets = shared.groupBy("rep").agg(F.sum("members").alias("meets"))
+    ranked = shared.join(meets, "rep")
+    hubs = ranked.groupBy("j", "v").agg(F.max(F.struct("meets", (-F.col("rep")).alias("first"), "rep", "n")).alias("hub"))
+    near_hub = shared.join(hubs, ["j", "v"]).where(F.col("rep") != F.col("hub.rep")).where(_alike_in_length("n", "hub.n")) \
+        .select(F.least("hub.rep", "rep").alias("a"), F.greatest("hub.rep", "rep").alias("b")).distinct()
     tried = materialize(near_hub, "hub-pairs")
 
     # texts of all that share a bucket, also of those that only meet in the second round
@@ -211,31 +263,28 @@ def _classes(sketched: DataFrame, text_field: str) -> DataFrame:
     links = _verified(tried, texts)
     first = components(links)
 
-    labelled = buckets.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "j", "v", F.coalesce("label", "rep").alias("label"))
+    labelled = shared.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "j", "v", F.coalesce("label", "rep").alias("label"))
     split = materialize(labelled.groupBy("j", "v").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("j", "v"), "open-buckets")
-    rest = labelled.join(split, ["j", "v"])
-    own = rest.groupBy("rep").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_list(F.struct("j", "v"))).alias("s"))
-    # every two sketches of a text that lie in buckets with several classes
-    two = own.select("rep", "n", "label", F.posexplode("s").alias("k", "one"), "s") \
-        .select("rep", "n", "label", "one", F.explode(F.expr("slice(s, k + 2, size(s))")).alias("other")) \
-        .select("rep", "n", "label", F.xxhash64("one", "other").alias("key"))
-    two = materialize(two, "two-sketches")
-    mixed = two.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    two = materialize(two.join(mixed, "key"), "two-sketches")
-    x = two.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = two.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _alike_in_length("na", "nb")).select("a", "b").distinct() \
-        .join(tried, ["a", "b"], "left_anti")
+    open_texts = labelled.join(split, ["j", "v"]).select("rep", "n", "label").distinct()
+    pairs = _open_pairs(materialize(open_texts, "open-texts"), texts).join(tried, ["a", "b"], "left_anti")
     more = _verified(materialize(pairs, "cross-pairs"), texts)
     labels = first if more.isEmpty() else components(links.union(more))
     return reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fa", "fb", "rep", F.coalesce("label", "rep").alias("label"))
 
 
+def _written_classes(sketched: DataFrame, text_field: str) -> DataFrame:
+    """The classes in the shared folder, without the tables that led to them."""
+    with recorded() as tables:
+        found = materialize(_classes(sketched, text_field), "classes")
+    release(sketched.sparkSession, tables[:-1])
+    return found
+
+
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: the id, class_id (a number shared by all rows of a class and no other) and
     class_size."""
     sketched = _sketched(df, id_column, text_column, carry=False)
-    found = materialize(_classes(sketched, "c0"), "classes")
+    found = _written_classes(sketched, "c0")
     rows = sketched.select("id", "fa", "fb").join(found.select("fa", "fb", F.col("label").alias("class_id")), ["fa", "fb"])
     sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))
     return rows.join(sizes, "class_id").select(F.col("id").alias(id_column), "class_id", "class_size")
@@ -245,7 +294,7 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """One row of each class, with all its columns: that with the largest id (null ids are
     smallest; of equal ids the last row)."""
     sketched = _sketched(df, id_column, text_column, carry=True)
-    found = materialize(_classes(sketched, f"c{df.columns.index(text_column)}"), "classes")
+    found = _written_classes(sketched, f"c{df.columns.index(text_column)}")
     rows = sketched.select("row_id", "id", "fa", "fb").join(found.select("fa", "fb", "label"), ["fa", "fb"])
     stays = rows.groupBy("label").agg(F.max(F.struct(F.col("id").isNotNull().alias("known"), "id", "row_id")).alias("best")).select(F.col("best.row_id").alias("row_id"))
     gone = materialize(rows.select("row_id").join(stays, "row_id", "left_anti"), "near-copies")

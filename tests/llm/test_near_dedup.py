@@ -118,3 +118,12 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 160)}, 200: 200}
+
+
+def test_hot_groups_and_a_shared_passage_over_many_partitions(docs):
+    """A third of the rows are copies of one text, another third near copies of one text that
+    are not all alike among themselves."""
+    base, texts = prose(120, seed=77), []
+    for k in range(120):
+        texts += [prose(80, seed=78), _edited(base, 1 + k % 5, 2000 + k), prose(20 + k % 40, seed=k) + " " + prose(60, seed=79)]
+    assert _found(near_dedup.classes(docs(list(enumerate(texts))).repartition(12))) == _expected(texts)
