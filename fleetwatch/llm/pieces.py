@@ -48,6 +48,8 @@ class Pieces:
     """The pieces of a model as sorted arrays, and the ids of the words met so far."""
 
     LIMIT = 1 << 20
+    #: Places for the endings of pieces.
+    ENDINGS = 1 << 18
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -82,6 +84,11 @@ class Pieces:
         by = np.argsort(hashes, kind="stable")
         self.hashes, self.ids_of = hashes[by], np.array(reached)[by]
         self.widest = int(length.max())
+        # which lengths have pieces that end in these three characters
+        long = np.flatnonzero(length >= 3)
+        ends = np.cumsum(length)[long]
+        self.endings = np.zeros(self.ENDINGS, np.int64)
+        np.bitwise_or.at(self.endings, (ragged.span_hashes(flat, ends - 3, ends) % np.uint64(self.ENDINGS)).astype(np.int64), 1 << length[long])
         self.lengths = np.ones(self.size + 1, np.int64)
         self.lengths[reached] = length
         self.blank = number[BLANK]
@@ -129,15 +136,18 @@ class Pieces:
             a, b = np.where(undo_a, self.right[a], a), np.where(undo_a, b, self.left[b])
         return out
 
-    def _equal_length(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Tokens of words of one length (words x characters); unknown characters are ``size``."""
+    def _equal_length(self, codes: np.ndarray) -> np.ndarray:
+        """Tokens of words of one length (words x characters), -1 where a word has no more; unknown
+        characters are ``size``."""
         n, size = codes.shape
         substrings = ragged.Substrings(codes.ravel())
         last = np.full((n, size + 1), -1, np.int64)
         rows = np.arange(n)
         for j in range(1, size + 1):
+            open_ = np.ones(n, bool)
+            lengths = self.endings[(substrings.hashes(rows * size + j - 3, 3) % np.uint64(self.ENDINGS)).astype(np.int64)] if j >= 3 else np.zeros(n, np.int64)
             for k in range(min(j, self.widest), 0, -1):
-                todo = rows[(last[:, j] < 0) & ((last[:, j - k] >= 0) if j > k else True)]
+                todo = rows[open_ & (lengths >> k & 1).astype(bool)] if k >= 3 else rows[open_]
                 if len(todo) == 0:
                     continue
                 start = todo * size + j - k
@@ -150,30 +160,43 @@ class Pieces:
                     fits = self._compatible(last[todo, j - k], piece)
                     todo, piece = todo[fits], piece[fits]
                 last[todo, j] = piece
+                open_[todo] = False
         place, back = np.full(n, size), []
         while (place > 0).any():
             token = np.where(place > 0, last[rows, place], -1)
             back.append(token)
             place = np.where(place > 0, place - self.lengths[token], 0)
-        grid = np.stack(back[::-1], axis=1)
-        return [row[row >= 0] for row in grid]
+        return np.stack(back[::-1], axis=1)
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word after one blank."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word after one blank, one word after the other, and how many each has."""
+        length = np.zeros(len(words), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []  # words, their ids
         size = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(size).tolist():
             where = np.flatnonzero(size == n)
             if n > LONGEST:
                 for w in where.tolist():
-                    out[w] = np.array(self.library.encode(words[w]), np.int32)
+                    ids = np.array(self.library.encode(words[w]), np.int32)
+                    length[w] = len(ids)
+                    parts.append((where[where == w], ids))
                 continue
             for a in range(0, len(where), 1 << 15):
                 part = where[a: a + (1 << 15)]
                 codes = np.frombuffer((BLANK + BLANK.join(words[w] for w in part)).encode("utf-32-le"), np.uint32).reshape(len(part), n + 1)
-                for w, tokens in zip(part.tolist(), self._equal_length(codes), strict=True):
-                    out[w] = self._with_bytes(words[w], tokens) if (tokens == self.size).any() else tokens
-        return out
+                grid = self._equal_length(codes)
+                odd = (grid == self.size).any(axis=1)
+                plain, tokens = part[~odd], grid[~odd]
+                length[plain] = (tokens >= 0).sum(axis=1)
+                parts.append((plain, tokens[tokens >= 0]))
+                for w, row in zip(part[odd].tolist(), grid[odd], strict=True):
+                    ids = self._with_bytes(words[w], row[row >= 0])
+                    length[w] = len(ids)
+                    parts.append((np.array([w]), ids))
+        out, at = np.zeros(int(length.sum()), np.int32), np.cumsum(length) - length
+        for where, ids in parts:
+            out[ragged.ranges(at[where], length[where])] = ids
+        return out, length
 
     def _with_bytes(self, word: str, tokens: np.ndarray) -> np.ndarray:
         ids, at, text = [], 0, BLANK + word
@@ -182,14 +205,12 @@ class Pieces:
             at += int(self.lengths[t])
         return np.array(ids, np.int32)
 
-    def _learn(self, keys: np.ndarray, new: list[np.ndarray]) -> None:
-        length = np.fromiter(map(len, new), np.int64, len(new))
-        total = int(length.sum())
+    def _learn(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        total = len(ids)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if total:
-            self.ids[self.used: self.used + total] = np.concatenate(new)
-        self.found.add(keys, len(self.at) + np.arange(len(new)))
+        self.ids[self.used: self.used + total] = ids
+        self.found.add(keys, len(self.at) + np.arange(len(keys)))
         self.at = np.concatenate([self.at, self.used + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.used += total
@@ -224,11 +245,12 @@ class Pieces:
             self._clear()
         new = np.flatnonzero(~self.found.find(keys)[1])
         if len(new):
-            self._learn(keys[new], self.encode_words(ragged.text_pieces(wide, begin[first[new]], ends[first[new]])))
+            self._learn(keys[new], *self.encode_words(ragged.text_pieces(wide, begin[first[new]], ends[first[new]])))
         for r in (runs - 1).tolist() + runs.tolist():  # runs of blanks by themselves
             key = ragged.mix(np.array([r + (1 << 40)], np.uint64))
             if r and not self.found.find(key)[1][0]:
-                self._learn(key, [np.array(self.library.encode(" " * (r - 1)) if r > 1 else [self.blank], np.int32)])
+                ids = np.array(self.library.encode(" " * (r - 1)) if r > 1 else [self.blank], np.int32)
+                self._learn(key, ids, np.array([len(ids)]))
         word = self.found.find(keys)[0][back]
         at, length = self.at[word], self.length[word]
         alone = begin == ends  # blanks at a text's end

@@ -158,8 +158,8 @@ class HashedValues:
         return self.values[at], self.keys[at] == keys
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Take in new keys, in ascending order."""
         if len(self.keys) + len(keys) > self.limit:
             self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, values = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], values[order]
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values)
