@@ -77,9 +77,9 @@ def _rank(ids: list, rows: list[int]) -> list[tuple]:
     return [(i is not None, i if i is not None else 0, r) for i, r in zip(ids, rows, strict=True)]
 
 
-def _local(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, h, text, doc) to (row_id, id, class_id, n, h, text, doc): only the row that
-    stays here for its text keeps text, doc and n, the number of rows it stands for."""
+def _local(batches: Iterator[pa.RecordBatch], text: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, h, doc) to (row_id, id, class_id, n, h, doc): only the row that stays here for
+    its text, which is field ``text`` of doc, keeps doc and n, the number of rows it stands for."""
     next_row, table = TaskContext.get().partitionId() << 33, ContentTable()
     held: list[tuple[pa.RecordBatch, list[int], list[int]]] = []  # batch, row numbers, classes
     best: list[tuple] = []
@@ -93,7 +93,7 @@ def _local(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.R
             n = pa.array([count[k] if o == r else 0 for k, o, r in zip(classes, owner, rows, strict=True)], pa.int64())
             kept = pa.array(np.where(stays.to_numpy(zero_copy_only=False), np.arange(len(rows)), -1))
             kept = pc.if_else(pc.less(kept, 0), pa.scalar(None, pa.int64()), kept)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), pa.array(owner), n, batch.column(1), *(batch.column(c).take(kept) for c in (2, 3))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), pa.array(owner), n, batch.column(1), batch.column(2).take(kept)], names)
         held.clear()
         best.clear()
         count.clear()
@@ -103,7 +103,7 @@ def _local(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.R
         rows = list(range(next_row, next_row + batch.num_rows))
         next_row += batch.num_rows
         classes = []
-        for h, content, rank in zip(batch.column(1).to_pylist(), _contents(batch.column(2)), _rank(batch.column(0).to_pylist(), rows), strict=True):
+        for h, content, rank in zip(batch.column(1).to_pylist(), _contents(batch.column(2).field(text)), _rank(batch.column(0).to_pylist(), rows), strict=True):
             k = table.number(h, content)
             classes.append(k)
             if k == len(best):
@@ -145,7 +145,7 @@ class _Spill:
             os.remove(path)
 
 
-def _settled(batches: Iterator[pa.RecordBatch], folder: str, level: int, keep: bool, names: list[str], limit: int) -> Iterator[pa.RecordBatch]:
+def _settled(batches: Iterator[pa.RecordBatch], text: int, folder: str, level: int, keep: bool, names: list[str], limit: int) -> Iterator[pa.RecordBatch]:
     """One bucket: held in memory if it fits, else partitioned to files and taken one by one."""
     held, size, spill = [], 0, None
     last = FANOUT_BITS * (level + 1) > 64  # no hash bits left: only equal hashes remain
@@ -162,13 +162,13 @@ def _settled(batches: Iterator[pa.RecordBatch], folder: str, level: int, keep: b
             held.clear()
     if spill is not None:
         for bucket in spill.buckets():
-            yield from _settled(bucket, folder, level + 1, keep, names, limit)
+            yield from _settled(bucket, text, folder, level + 1, keep, names, limit)
         return
     table, best, count, classes = ContentTable(), [], [], []
     for batch in held:
         own = []
         rows = batch.column("row_id").to_pylist()
-        for h, content, rank, n in zip(batch.column("h").to_pylist(), _contents(batch.column("text")), _rank(batch.column("id").to_pylist(), rows), batch.column("n").to_pylist(), strict=True):
+        for h, content, rank, n in zip(batch.column("h").to_pylist(), _contents(batch.column("doc").field(text)), _rank(batch.column("id").to_pylist(), rows), batch.column("n").to_pylist(), strict=True):
             k = table.number(h, content)
             own.append(k)
             if k == len(best):
@@ -188,23 +188,22 @@ def _settled(batches: Iterator[pa.RecordBatch], folder: str, level: int, keep: b
             yield pa.RecordBatch.from_arrays([rows, pa.array(stays), ids, pa.array([count[k] for k in own]), batch.column("sha")], names)
 
 
-def _grace(batches: Iterator[pa.RecordBatch], keep: bool, names: list[str], limit: int) -> Iterator[pa.RecordBatch]:
+def _grace(batches: Iterator[pa.RecordBatch], text: int, keep: bool, names: list[str], limit: int) -> Iterator[pa.RecordBatch]:
     # spill files live and die with the task, beside Spark's own spills
     local = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
     with tempfile.TemporaryDirectory(prefix="grace-", dir=local if local and os.path.isdir(local) else None) as folder:
-        yield from _settled(batches, folder, 0, keep, names, limit)
+        yield from _settled(batches, text, folder, 0, keep, names, limit)
 
 
 def _representatives(df: DataFrame, id_column: str, text_column: str, keep: bool) -> DataFrame:
     """Step 1, written to the shared folder: its row numbers hold for everything after."""
     prepare(df.sparkSession)
-    text = df[_quoted(text_column)]
-    doc = F.struct(*[df[_quoted(c)] for c in df.columns]) if keep else F.lit(None).cast("int")
-    rows = df.select(df[_quoted(id_column)].alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.coalesce(text, F.lit("")).alias("text"), doc.alias("doc"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    names = ["row_id", "id", "class_id", "n", "h", "text", "doc"]
-    schema = _schema({"row_id": "long", "id": kinds["id"], "class_id": "long", "n": "long", "h": "long", "text": "string"}, rows, doc=True)
-    return materialize(rows.mapInArrow(lambda b: _local(b, names), schema), "grace-representatives")
+    carried = df.columns if keep else [text_column]
+    doc = F.struct(*[df[_quoted(c)] for c in carried])
+    rows = df.select(df[_quoted(id_column)].alias("id"), F.xxhash64(F.coalesce(df[_quoted(text_column)], F.lit(""))).alias("h"), doc.alias("doc"))
+    names, text = ["row_id", "id", "class_id", "n", "h", "doc"], carried.index(text_column)
+    schema = _schema({"row_id": "long", "id": rows.schema["id"].dataType.simpleString(), "class_id": "long", "n": "long", "h": "long"}, rows, doc=True)
+    return materialize(rows.mapInArrow(lambda b: _local(b, text, names), schema), "grace-representatives")
 
 
 def _schema(fields: dict[str, str], rows: DataFrame, doc: bool):
@@ -218,8 +217,9 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     table = _representatives(df, id_column, text_column, keep=False)
     kind = table.schema["id"].dataType.simpleString()
     names = ["class_id", "keep_row", "keep_id", "group_size", "text_sha256"]
-    reps = table.where("n > 0").select("row_id", "id", "n", "h", "text", F.sha2("text", 256).alias("sha"))
-    found = reps.repartition("h").mapInArrow(lambda b: _grace(b, False, names, limit), f"class_id long, keep_row long, keep_id {kind}, group_size long, text_sha256 string")
+    text = F.coalesce(table["doc"][text_column], F.lit(""))
+    reps = table.where("n > 0").select("row_id", "id", "n", "h", "doc", F.sha2(text, 256).alias("sha"))
+    found = reps.repartition("h").mapInArrow(lambda b: _grace(b, 0, False, names, limit), f"class_id long, keep_row long, keep_id {kind}, group_size long, text_sha256 string")
     return table.select("row_id", "id", "class_id").join(found, "class_id").select(
         F.col("id").alias(id_column), "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
 
@@ -227,6 +227,6 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: int = HELD_BYTES) -> DataFrame:
     """The rows that stay, with all their columns."""
     table = _representatives(df, id_column, text_column, keep=True)
-    reps = table.where("n > 0").select("row_id", "id", "n", "h", "text", "doc")
-    kept = reps.repartition("h").mapInArrow(lambda b: _grace(b, True, ["doc"], limit), _schema({}, reps, doc=True))
+    reps, text = table.where("n > 0").select("row_id", "id", "n", "h", "doc"), df.columns.index(text_column)
+    kept = reps.repartition("h").mapInArrow(lambda b: _grace(b, text, True, ["doc"], limit), _schema({}, reps, doc=True))
     return kept.select("doc.*")
