@@ -48,7 +48,7 @@ from .elias_fano import EliasFano
 CHUNK_TOKENS = 1 << 21
 CHUNK_TEXTS = 1 << 16
 #: Tokens that a shard of bigrams stands for.
-SHARD_TOKENS = 4 << 20
+SHARD_TOKENS = 2 << 20
 #: Pseudo words; a hash of a word is as unlikely to equal them as another word's.
 END, START = np.uint64(0xE17D00000000E17D), np.uint64(0x57A2700000057A27)
 #: At most so many frequent words (each at least 1/FREQUENT of all tokens) have short codes.
@@ -220,7 +220,10 @@ class _Model:
         self.discount = n1 / (n1 + 2 * n2) if n1 else 0.0
         words = np.concatenate([np.zeros(0, np.uint64), *(p[1] for p in parts)])
         counts = np.concatenate([np.zeros(0, np.uint64), *(p[2] for p in parts)]).astype(np.int64)
-        self.frequent = np.sort(words[counts * FREQUENT >= n][:FREQUENT]) if n else words[:0]
+        often = np.flatnonzero(counts * FREQUENT >= n)[:FREQUENT] if n else np.zeros(0, np.int64)
+        often = often[np.argsort(words[often])]
+        #: Frequent words in order of their hashes, and the codes of their probabilities.
+        self.frequent, self.frequent_prior = words[often], log_code(self.prior(counts[often]))
 
     def prior(self, counts: np.ndarray) -> np.ndarray:
         if not self.tokens:
@@ -236,7 +239,7 @@ def _bigram_queries(model: _Model, id_kind: pa.DataType):
     """Per chunk a row for each bigram shard, and one (kind 0) with what is known by now."""
     def run(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
-        words, tokens = unpack(row["vocabulary"])[0], unpack(row["tokens"])[0].astype(np.int64)
+        words, tokens = unpack(row["vocabulary"])[0], unpack(row["tokens"])[0].astype(np.int32)
         sizes, held = unpack(row["sizes"])[0].astype(np.int64), unpack(row["held"])[0].astype(bool)
         shards = model.shards
         shard = _shard_of(words, shards)
@@ -245,16 +248,18 @@ def _bigram_queries(model: _Model, id_kind: pa.DataType):
         edge = np.searchsorted(shard[order], np.arange(shards + 1))
         for s, data in zip(answers["shard"].to_pylist(), answers["data"].to_pylist(), strict=True):
             counts[order[edge[s]: edge[s + 1]]] = unpack(data)[0]
-        docs = np.repeat(np.arange(len(sizes)), sizes)
+        docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         base = np.bincount(docs, weights=model.base(counts)[tokens], minlength=len(sizes))
         n_known = np.bincount(docs, weights=counts[tokens] > 0, minlength=len(sizes)).astype(np.int64)
         # bigrams: the context of a text's first token is its start
         words, counts = np.append(words, START), np.append(counts, model.texts)
         context = np.roll(tokens, 1)
         context[np.cumsum(sizes) - sizes] = len(words) - 1
-        pair = context * len(words) + tokens
+        pair = context.astype(np.int64) * len(words) + tokens
         by = np.argsort(pair, kind="stable")
-        opens = np.flatnonzero(np.r_[True, pair[by][1:] != pair[by][:-1]])
+        pair = pair[by]
+        opens = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        del pair
         occurrences = np.diff(np.r_[opens, len(by)])
         c, w = context[by[opens]], tokens[by[opens]]
         trained = np.add.reduceat((~held[docs[by]]).astype(np.int64), opens)
@@ -273,7 +278,7 @@ def _bigram_queries(model: _Model, id_kind: pa.DataType):
             own = c[g][first]
             code = short[w[g]]
             posts = docs[by[ragged.ranges(opens[g], occurrences[g])]]
-            out.append(pack(words[own], counts[own], np.diff(np.r_[first, len(g)]), code, words[w[g]][code == FREQUENT], prior[w[g]], trained[g], occurrences[g], posts))
+            out.append(pack(words[own], counts[own], np.diff(np.r_[first, len(g)]), code, words[w[g]][code == FREQUENT], prior[w[g]][code == FREQUENT], trained[g], occurrences[g], posts))
         known = pa.table({"shard": pa.array([row["chunk_id"] % shards], pa.int64()), "kind": pa.array([0], pa.int32()), "chunk_id": pa.array([row["chunk_id"]]), "data": pa.array([pack(held.astype(np.uint8), sizes, n_known)], pa.binary()),
                           "sums": pa.array([base.tobytes()], pa.binary()), "ids": pa.array([row["ids"]], pa.list_(id_kind))})
         asked = pa.table({"shard": pa.array(np.arange(shards)), "kind": pa.array([1] * shards, pa.int32()), "chunk_id": pa.array([row["chunk_id"]] * shards), "data": pa.array(out, pa.binary()),
@@ -291,12 +296,14 @@ def _bigram_sums(model: _Model):
             return passed
         parts = []
         for data in asked["data"].to_pylist():
-            context, total, fan, code, spelled, prior, trained, occurrences, posts = unpack(data)
-            word = np.zeros(len(code), np.uint64)
+            context, total, fan, code, spelled, rare, trained, occurrences, posts = unpack(data)
+            word, prior = np.zeros(len(code), np.uint64), np.zeros(len(code), np.uint16)
             long = code == FREQUENT
-            word[long] = spelled
-            word[~long] = model.frequent[code[~long].astype(np.int64)]
-            parts.append((np.repeat(context, fan.astype(np.int64)), np.repeat(total, fan.astype(np.int64)).astype(np.float64), word, prior.astype(np.uint16), trained.astype(np.int64), occurrences.astype(np.int64), posts.astype(np.int64)))
+            word[long], prior[long] = spelled, rare
+            short = code[~long].astype(np.int64)
+            word[~long], prior[~long] = model.frequent[short], model.frequent_prior[short]
+            fan = fan.astype(np.int64)
+            parts.append((np.repeat(context, fan), np.repeat(total.astype(np.float64), fan), word, prior, trained.astype(np.int32), occurrences.astype(np.int32), posts.astype(np.int32)))
         context, total, word, prior, trained = (np.concatenate([p[k] for p in parts]) for k in range(5))
         seen = trained > 0
         contexts, at = np.unique(context[seen], return_index=True)
@@ -313,7 +320,7 @@ def _bigram_sums(model: _Model):
             trie = Trie(folder, contexts, totals, words, pairs, counts, priors, model.m)
             for context, total, word, prior, _, occurrences, posts in parts:
                 codes = trie.codes(context, word, prior, log_code(model.m / (total + model.m)))
-                sums.append(np.bincount(posts, weights=np.repeat(codes * -STEP, occurrences)).tobytes())
+                sums.append(pack(np.bincount(posts, weights=np.repeat(codes, occurrences)).astype(np.int64)))
         n = asked.num_rows
         found = pa.table({"kind": pa.array([1] * n, pa.int32()), "chunk_id": asked["chunk_id"].combine_chunks(), "data": pa.array([None] * n, pa.binary()), "sums": pa.array(sums, pa.binary()), "ids": pa.array([None] * n, table.schema.field("ids").type)})
         return pa.concat_tables([passed.cast(found.schema), found])
@@ -325,13 +332,14 @@ def _documents(model: _Model, names: list[str]):
         rows = table.to_pylist()
         known = next(r for r in rows if r["kind"] == 0)
         held, sizes, n_known = unpack(known["data"])
-        score = np.zeros(len(sizes))
-        for r in sorted((r["sums"] for r in rows if r["kind"] == 1)):  # the same order of adding in every run
-            part = np.frombuffer(r, np.float64)
-            score[: len(part)] += part
+        codes = np.zeros(len(sizes), np.int64)  # whole numbers: the order of adding doesn't matter
+        for r in rows:
+            if r["kind"] == 1:
+                part = unpack(r["sums"])[0].astype(np.int64)
+                codes[: len(part)] += part
         ids = table["ids"].combine_chunks().type.value_type
         return pa.table([pa.array(known["ids"], ids), pa.array(held.astype(bool)), pa.array(sizes.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(np.full(len(sizes), model.tokens)),
-                         pa.array(np.frombuffer(known["sums"], np.float64)), pa.array(score)], names=names)
+                         pa.array(np.frombuffer(known["sums"], np.float64)), pa.array(codes * -STEP)], names=names)
     return run
 
 
