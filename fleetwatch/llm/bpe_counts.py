@@ -33,6 +33,8 @@ PRE_TOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: Below this every Unicode version agrees on letters and digits.
 PLAIN = 0x250
+#: Pre-tokens whose counts are kept; a Python object each.
+KEPT_TOKENS = 1 << 17
 _loaded: dict[str, "ByteMerges"] = {}
 
 
@@ -128,7 +130,7 @@ class ByteMerges:
             else:
                 cut.append(self._pre_tokens(s))
         new = list({t for ts in cut for t in ts if t not in self.tokens})
-        if len(self.tokens) + len(new) > 1 << 20:
+        if len(self.tokens) + len(new) > KEPT_TOKENS:
             self.tokens = {}
             new = list({t for ts in cut for t in ts})
         for a in range(0, len(new), 1 << 16):

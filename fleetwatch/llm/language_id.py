@@ -105,13 +105,12 @@ class Filters:
     def positions(self, grams: np.ndarray) -> np.ndarray:
         return _positions(grams, len(self.masks))
 
-    def hits(self, grams: np.ndarray) -> np.ndarray:
-        """n-grams x languages: whether the language may contain the n-gram."""
+    def sets(self, grams: np.ndarray) -> np.ndarray:
+        """The bitmask of all languages that may contain each n-gram."""
         out = np.full((len(grams), self.masks.shape[1]), ~np.uint64(0))
         for p in self.positions(grams):
             out &= self.masks[p]
-        bits = np.arange(64, dtype=np.uint64)
-        return (((out[:, :, None] >> bits) & np.uint64(1)).reshape(len(grams), -1)[:, : len(self.languages)]).astype(np.int64)
+        return out
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of the language (-1: unknown) and score of each text."""
@@ -124,9 +123,11 @@ class Filters:
         order = np.argsort(w.owner, kind="stable")
         owner = w.owner[order]
         for a in range(0, len(order), step):  # bounded temporary arrays
-            part, own = self.hits(w.grams[order[a: a + step]]), owner[a: a + step]
+            found, own = self.sets(w.grams[order[a: a + step]]), owner[a: a + step]
             edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            per[own[edge], :k] += np.add.reduceat(part, edge, axis=0)
+            for c in range(k):
+                bit = (found[:, c // 64] >> np.uint64(c % 64) & np.uint64(1)).astype(np.int64)
+                per[own[edge], c] += np.add.reduceat(bit, edge)
             per[own[edge], k] += np.diff(np.r_[edge, len(own)])
         counts = np.stack([ragged.sums(per[w.back, c], w.docs, n) for c in range(k + 1)], axis=1)
         letters = ragged.sums(w.letters[w.back], w.docs, n) > 0
@@ -206,7 +207,7 @@ def _predicted(spark, rows: DataFrame, filters: Filters) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(shared.value.languages + [UNKNOWN], object)
         for batch in batches:
-            for part in ragged.slices(batch, 0):
+            for part in ragged.slices(batch, 0, 1 << 20):
                 best, score = shared.value.predict(part.column(0))
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(names[best], pa.string()), pa.array(score)], ["doc", "lang_pred", "lang_score"])
 

@@ -45,7 +45,9 @@ class WordIds:
 
     #: The cut of a word before the merges.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-    LIMIT = 1 << 21
+    LIMIT = 1 << 18
+    #: Parts of words whose ids are kept; a Python object each.
+    PARTS_LIMIT = 1 << 15
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -72,6 +74,8 @@ class WordIds:
         for part in self.PARTS.findall(word.lower()):
             ids = self.parts.get(part)
             if ids is None:
+                if len(self.parts) >= self.PARTS_LIMIT:
+                    self.parts.clear()
                 ids = self.parts[part] = [t.id for t in self.model.tokenize(part.translate(self.symbols))]
             out += ids
         return out

@@ -23,16 +23,17 @@ from datetime import date, timedelta
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import ragged
 from .common import _quoted, prepare
 
 ROUNDS = 8
-#: Used where no key is given (tests, the registered query); production passes its own.
+#: Used where neither the caller nor the session gives a key, as in tests.
 DEFAULT_KEY = b"fleetwatch pseudonyms"
+KEY_SETTING = "spark.fleetwatch.pii.key"
 #: Values whose pseudonyms a worker remembers.
-CACHE = 1 << 18
+CACHE = 1 << 16
 
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -40,6 +41,11 @@ UPPER = LOWER.upper()
 HEX = "0123456789abcdef"
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The secret key of the session's settings."""
+    return spark.conf.get(KEY_SETTING, DEFAULT_KEY.decode()).encode("utf-8")
+
+
 class Cycle:
     """Keyed permutations without fixed points of 0 .. size-1."""
 

@@ -11,7 +11,7 @@ from .common import documents, fold, pages
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymise(documents(spark, sf_dir))
+    found = pii.pseudonymise(documents(spark, sf_dir), key=pii.session_key(spark))
     return found.select("doc_id", "text", F.size("pii_spans").alias("n_replaced"), "pii_spans")
 
 

@@ -51,6 +51,7 @@ def slices(batch: pa.RecordBatch, column: int | str, limit: int = BATCH_BYTES) -
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # workers live on, with the next operator's tasks
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,7 +148,7 @@ class HashedValues:
     Only a cache of what can be worked out again: at ``limit`` entries it starts
     afresh, so a worker's memory is bounded however many words it meets."""
 
-    def __init__(self, limit: int = 1 << 21):
+    def __init__(self, limit: int = 1 << 19):
         self.keys, self.values, self.limit = np.zeros(0, np.uint64), np.zeros(0, np.int64), limit
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
