@@ -5,11 +5,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def prepare(spark: SparkSession) -> None:
     """Workers get the package; the shared folder is known."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
+    # texts are long: Spark's default of 10,000 rows makes batches of tens of MB, several times
+    # in each task; a setting of the caller's own stays
+    if spark.conf.get(ROWS_PER_BATCH, "10000") == "10000":
+        spark.conf.set(ROWS_PER_BATCH, "1000")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
