@@ -3,10 +3,12 @@
 One pass over the texts gives each document's base counts and the hashes of its
 normalised lines (A-Z lower-cased, digits alike, white space between words as one
 blank); it is written to the shared folder.  Lines are then counted per host over
-distinct texts, so that copies of one text count once.  A line in more than
-``max_share`` of its host's texts, and in more than ``min_docs`` of them, is boilerplate
-and is removed; a document of which less than ``keep_share`` of its words is left is
-depleted and rejected, as is one that fails the base rules.
+distinct texts, so that copies of one text count once.  A line is boilerplate and is
+removed if it is in more than ``max_share`` of its host's texts (and in at least ``FEW``), or, as
+``LONG`` words and more do not repeat by chance, if it has as many and is in more than
+``min_docs`` texts, however large the host.  A document of which less than ``keep_share``
+of its words is left is depleted and rejected, as is one that fails the base rules.  Near
+copies are distinct texts: the long lines shared by more than ``min_docs`` of them go.
 
 Null and empty texts have no words and fail the base rules.  A null host is a host of
 its own.  Repeated rows get the same verdict each; an empty table gives an empty
@@ -29,6 +31,10 @@ from .common import _quoted, prepare
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
+#: Texts that a line must be in to be boilerplate of a small host.
+FEW = 3
+#: Words of a line that is boilerplate by its number of texts alone.
+LONG = 8
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 #: Bytes as they count for a normalised line.
@@ -127,9 +133,11 @@ def _boilerplate(counted: DataFrame, min_docs: int, max_share: float) -> DataFra
     """(row_id, removed_words, removed: hashes) of rows that have a line above the limits."""
     host = F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host")
     texts = counted.select(*host, "whole").distinct().groupBy("host", "no_host").agg(F.count("*").alias("texts"))
-    per_text = counted.select(*host, "whole", F.explode("lines").alias("line")).distinct()
-    often = per_text.groupBy("host", "no_host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    limits = often.join(texts, ["host", "no_host"]).where(F.col("n") > F.lit(max_share) * F.col("texts")).select("host", "no_host", "line")
+    each = counted.select(*host, "whole", F.explode(F.arrays_zip("lines", "line_words")).alias("l"))
+    per_text = each.select("host", "no_host", "whole", F.col("l.lines").alias("line"), (F.col("l.line_words") >= LONG).alias("long")).distinct()
+    often = per_text.groupBy("host", "no_host", "line", "long").agg(F.count("*").alias("n")).where(F.col("n") >= FEW)
+    above = (F.col("n") > F.lit(max_share) * F.col("texts")) | (F.col("long") & (F.col("n") > min_docs))
+    limits = often.join(texts, ["host", "no_host"]).where(above).select("host", "no_host", "line")
     limits = materialize(limits, "frequent-lines")
     lines = counted.select("row_id", *host, F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row_id", "host", "no_host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     hit = lines.join(limits, ["host", "no_host", "line"])

@@ -74,3 +74,35 @@ def test_verdicts_against_brute_force(docs):
 
 def test_empty_table(docs):
     assert line_rules.judge(docs([], SCHEMA)).count() == 0 and line_rules.clean(docs([], SCHEMA)).count() == 0
+
+
+def test_planted_boilerplate_on_hosts_of_any_size(docs):
+    """Host size -> texts with the long line, the passage, the short line; what goes."""
+    plants = {10: (4, 3, 3), 500: (21, 25, 41), 5000: (21, 25, 401)}
+    long_line, passage, short = "All rights reserved by the publisher of these pages", prose(70, seed=77), "Read more"
+    rows = []
+    for size, (n_long, n_passage, n_short) in plants.items():
+        for k in range(size):
+            lines = [prose(30, seed=size * 10_000 + k), prose(30, seed=size * 10_000 + k + 5_000)]
+            if k < n_long:
+                lines.insert(1, long_line)
+            if k >= size - n_passage:
+                lines = [passage, prose(20, seed=size * 10_000 + k)]
+            if n_long <= k < n_long + n_short:
+                lines.append(short)
+            if size == 5000 and 1000 <= k < 1400:
+                lines.append("Next page")  # 400 of 5000 are not above 8 %
+            if size == 5000 and 2000 <= k < 2020:
+                lines.append("one line that no more than twenty texts have in common")
+            rows.append((size * 10_000 + k, "\n".join(lines), f"host{size}"))
+    got = {r.doc_id: (r.removed_words, r.kept) for r in line_rules.judge(docs(rows, SCHEMA)).collect()}
+    for size, (n_long, n_passage, n_short) in plants.items():
+        for k in range(size):
+            want = (0, True)
+            if k >= size - n_passage:
+                want = (70, False)
+            elif k < n_long:
+                want = (9, True)
+            if n_long <= k < n_long + n_short:
+                want = (want[0] + 2, want[1])
+            assert got[size * 10_000 + k] == want, (size, k)
