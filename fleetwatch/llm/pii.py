@@ -9,12 +9,19 @@ The permutation is a Feistel network on the bits of the set's size, repeated unt
 falls inside the set, and used as ``P^-1(P(x) + 1)``: a keyed cycle through the whole
 set, so no value is its own pseudonym.
 
+Digits behind a plus sign are a phone, or a card if 16 and more stand together.  IBANs, cards
+and phones end where country or grouping says, or else at the longest match or a shorter one
+at a group border (for cards up to five groups) that validates; a search that finds nothing
+goes on one character later.  A pseudonym is taken further along
+its cycle until it is found at the same end in front of what follows, so the key turns it back.
+
 Null texts stay null and empty texts empty; texts without such values are unchanged
 to the byte.  Repeated rows are treated alike; an empty table gives an empty table;
 other columns are carried in one struct, whatever their names.
 """
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -212,6 +219,30 @@ def _iban(m: re.Match, cycle: Cycle, back: bool) -> str | None:
     return "".join(c if c == " " else next(new) for c in m[0])
 
 
+#: Characters of an IBAN by country.
+IBAN_SIZES = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "HR LV LI CH",
+    22: "BH BG CR GE DE IE ME RS GB VA", 23: "TL GI IQ IL OM SO AE", 24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MR MC SM", 28: "AL AZ BY CY DO SV GT HU LB NI PL", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+#: How cards are grouped: not at all, 4-4-4-4, 4-6-5, 4-6-4.
+GROUPED = re.compile(r"[0-9]{13,19}(?![0-9])|[0-9]{4}([ \-])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{4,5})(?![0-9])")
+
+
+def _ends(kind: str, value: str) -> list[int]:
+    """Where in a match the value may end, the likeliest first."""
+    if kind not in ("iban", "card", "phone"):
+        return [len(value)]
+    ends = [len(value), *(k for k in range(len(value) - 1, 0, -1) if value[k - 1].isalnum() and not value[k].isalnum())]
+    if kind == "iban" and value[:2] in IBAN_SIZES:
+        return list(dict.fromkeys([*(e for e in ends if e - value.count(" ", 0, e) == IBAN_SIZES[value[:2]]), len(value)]))
+    if kind == "card":
+        known = GROUPED.match(value)
+        few = [e for e in ends[1:] if len(re.split(r"[ \-]", value[:e])) <= 5]
+        ends = [*([known.end()] if known else []), len(value), *few]
+    return list(dict.fromkeys(ends))
+
+
 def _email(m: re.Match, cycle: Cycle, back: bool) -> str | None:
     local, domain = m[0].rsplit("@", 1)
     if not any(_classes(local)):
@@ -233,9 +264,10 @@ KINDS: list[tuple[str, re.Pattern, Handler]] = [
     ("email", re.compile(r"[\w.%+\-]{0,63}[^\W_]@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"), _email),
     ("secret", re.compile(r"""(?i:((?:token|secret|password|passwd|api_?key|access_?key|key)["']?\s{0,3}[:=]\s{0,3}["']))([A-Za-z0-9+/_=\-]{12,512})(?=["'])"""), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban),
-    ("card", re.compile(r"(?<![0-9])(?<![0-9][ .\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"), _card),
-    ("card", re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])"), _card),
-    ("card", re.compile(r"(?<![0-9])[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"), _card),
+    ("card", re.compile(r"(?<![0-9+])(?<![0-9][ .\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"), _card),
+    ("card", re.compile(r"(?<![0-9])(?:(?<!\+)[0-9]{13,15}|[0-9]{16,19})(?![0-9])"), _card),
+    ("card", re.compile(r"(?<![0-9+])[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"), _card),
+    ("card", re.compile(r"(?<![0-9+])[0-9]{4}([ \-])[0-9]{6}\1[0-9]{4,5}(?![0-9])"), _card),
     ("ssn", re.compile(r"(?<![0-9\-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9\-])"), _ssn),
     ("ip", re.compile(r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"), _ip),
     ("date", re.compile(r"(?<![0-9])(?:([0-9]{4})([\-/.])([0-9]{2})\2([0-9]{2})|([0-9]{2})([\-/.])([0-9]{2})\6([0-9]{4}))(?![0-9])"), _date),
@@ -257,19 +289,45 @@ class Pseudonyms:
         for kind, pattern, handler in KINDS:
             if kind == "email" and "@" not in text:
                 continue
-            for m in pattern.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b, _, _ in found):
+            at = 0
+            while m := pattern.search(text, at):
+                a, k = m.start(), bisect.bisect_right(found, m.start(), key=lambda f: f[0])
+                if k and found[k - 1][1] > a:
+                    at = found[k - 1][1]
                     continue
-                known = (pattern.pattern, m[0], back)
-                new = self.cache.get(known)
-                if new is None:
-                    new = handler(m, self.cycle, back) or ""
-                    if len(self.cache) >= CACHE:
-                        self.cache.clear()
-                    self.cache[known] = new
+                free = (found[k][0] if k < len(found) else len(text)) - a
+                size, new = self._value(kind, pattern, handler, m, free, back)
                 if new:
-                    found.append((m.start(), m.end(), kind, new))
-        return sorted(found)
+                    found.insert(k, (a, a + size, kind, new))
+                at = a + size if new else a + 1
+        return found
+
+    def _value(self, kind: str, pattern: re.Pattern, handler: Handler, m: re.Match, free: int, back: bool) -> tuple[int, str]:
+        """Length and pseudonym of the value that begins with the match; "" if there is none."""
+        whole, tried = m[0], []
+
+        def pseudonym(part: str, found: re.Match | None) -> str:
+            known = (pattern.pattern, part, back)
+            new = self.cache.get(known)
+            if new is None:
+                new = found and handler(found, self.cycle, back) or ""
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[known] = new
+            return new
+
+        for end in _ends(kind, whole):
+            if end > free:
+                continue
+            part = whole[:end]
+            new = pseudonym(part, m if end == len(whole) else pattern.fullmatch(part))
+            if new:
+                # only what is found again at this end, with the same text behind
+                while any(pseudonym(x, pattern.fullmatch(x)) for x in ((new + whole[end:])[:e] for e in tried)):
+                    new = pseudonym(new, pattern.fullmatch(new))
+                return end, new
+            tried.append(end)
+        return 0, ""
 
     def replace(self, text: str, back: bool = False) -> tuple[str, list[tuple[int, int, str, str]]]:
         found, out, at = self.find(text, back), [], 0

@@ -67,3 +67,37 @@ def test_table(docs):
     back = pii.pseudonymise(out.drop("pii_spans"), back=True, spans=False)
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     assert pii.pseudonymise(docs([])).count() == 0 and pii.pseudonymise(docs([("q",)], "text string")).columns == ["text", "pii_spans"]
+
+
+BEHIND = [(kind, value, behind) for kind, value, behinds in [
+    ("iban", "DE89 3704 0044 0532 0130 00", [" BIC COBADEFF", " EUR 500", " 2021", " I paid", " PLEASE PAY THIS TO THE ACCOUNT NOW"]),
+    ("iban", "DE89370400440532013000", [" EUR 500", " 12345678", " I paid"]),
+    ("iban", "NO9386011117947", [" NOK 20 AND MORE"]),
+    ("card", "3782 822463 10005", [" 12/25", " 123", " 1 2 3 4"]),
+    ("card", "378282246310005", [" 12/25", " 99"]),
+    ("card", "4111 1111 1111 1111", [" 12/25", " 123"]),
+    ("card", "41111111 11111111", [" 12/25"]),
+    ("phone", "+44 20 7946 0958", [" 12345 67890", " 2021 2022 2023"]),
+    ("phone", "+49 30 123456", [" 10115 10117 10119"]),
+] for behind in behinds]
+
+
+@pytest.mark.parametrize("kind,value,behind", BEHIND)
+def test_words_and_numbers_behind_a_value(kind, value, behind):
+    for key in (b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h"):
+        names = pii.Pseudonyms(key)
+        text = f"pay {value}{behind} now"
+        new, found = names.replace(text)
+        assert [(f[0], f[2]) for f in found] == [(4, kind)] and found[0][1] >= 4 + len(value)
+        if kind != "phone":
+            assert found[0][1] == 4 + len(value) and new.endswith(behind + " now")
+        assert names.replace(new, back=True)[0] == text
+        assert [f[:3] for f in names.replace(new)[1]] == [f[:3] for f in found]
+
+
+def test_search_goes_on_behind_a_failed_start():
+    names = pii.Pseudonyms()
+    for text, at, value in [("AB12 DE89 3704 0044 0532 0130 00 x", 5, "DE89 3704 0044 0532 0130 00"), ("no 1234 4111 1111 1111 1111", 8, "4111 1111 1111 1111"),
+                            ("no 99 3782 822463 10005", 6, "3782 822463 10005")]:
+        new, found = names.replace(text)
+        assert [(f[0], f[1]) for f in found] == [(at, at + len(value))] and names.replace(new, back=True)[0] == text
