@@ -15,6 +15,16 @@ at a group border (for cards up to five groups) that validates; a search that fi
 goes on one character later.  A pseudonym is taken further along
 its cycle until it is found at the same end in front of what follows, so the key turns it back.
 
+Forms that are looked for: emails (the last character before the @ a letter, digit or one of
+_%+-); secrets of 12 to 512 characters with a digit behind a keyword and : or =, in quotes, or
+without them up to white space or one of "'<>,;&; dates as year-month-day or with the year
+last, apart by - / or ., days and months of one or two digits, years of four.  Two-digit years are
+read as 1930 to 2029, with days and months of two digits, or of one with slashes.  Left out are
+dates with month names, with a two-digit year first, with dots or hyphens and one-digit
+parts before a two-digit year (version numbers), or with more numbers joined to a short form;
+secrets without a keyword, with white space or without a digit; unquoted URLs behind a keyword;
+IBANs in small letters; and IPv6 addresses.
+
 Null texts stay null and empty texts empty; texts without such values are unchanged
 to the byte.  Repeated rows are treated alike; an empty table gives an empty table;
 other columns are carried in one struct, whatever their names.
@@ -161,10 +171,13 @@ FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 def _date(m: re.Match, cycle: Cycle, back: bool) -> str | None:
     """One permutation of the days for all notations.  With slashes the day comes first
     where that is possible, else the month; the pseudonym of a month-first date is one
-    that is read month first again."""
+    that is read month first again, and that of a short form (one-digit parts, two-digit year)
+    one that is as short."""
     a, s, b, c = (m[k] or m[k + 4] for k in (1, 2, 3, 4))
     for how in ("ymd",) if len(a) == 4 else ("dmy", "mdy") if s == "/" else ("dmy",):
-        parts = dict(zip(how, map(int, (a, b, c)), strict=True))
+        parts, width = dict(zip(how, map(int, (a, b, c)), strict=True)), dict(zip(how, map(len, (a, b, c)), strict=True))
+        if width["y"] == 2:
+            parts["y"] += 1900 if parts["y"] >= 30 else 2000
         try:
             day = (date(parts["y"], parts["m"], parts["d"]) - FIRST_DAY).days
         except ValueError:
@@ -174,10 +187,11 @@ def _date(m: re.Match, cycle: Cycle, back: bool) -> str | None:
         while True:
             day = cycle.step("date", day, DAYS, back)
             new = FIRST_DAY + timedelta(day)
-            if how != "mdy" or new.day > 12:
+            fits = new.day < 10 ** width["d"] and new.month < 10 ** width["m"] and (width["y"] == 4 or 1930 <= new.year < 2030)
+            if fits and (how != "mdy" or new.day > 12):
                 break
-        shown = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return s.join(shown[k] for k in how)
+        shown = {"y": new.year % 10 ** width["y"], "m": new.month, "d": new.day}
+        return s.join(f"{shown[k]:0{width[k]}d}" for k in how)
     return None
 
 
@@ -252,18 +266,32 @@ def _email(m: re.Match, cycle: Cycle, back: bool) -> str | None:
 
 def _secret(m: re.Match, cycle: Cycle, back: bool) -> str | None:
     v = m[2]
-    alphabets = [HEX] * len(v) if all(c in HEX for c in v) else _classes(v)
-    if not any(c in DIGITS for c in v) or sum(map(bool, alphabets)) < 12:
+
+    def form(x: str) -> tuple[bool, bool, bool]:
+        return all(c in HEX for c in x), any(c in DIGITS for c in x), any(c in LOWER + UPPER for c in x)
+
+    alphabets = [HEX] * len(v) if form(v)[0] else _classes(v)
+    if not form(v)[1] or sum(map(bool, alphabets)) < 12:
         return None
-    return m[1] + _mixed(cycle, "secret", v, alphabets, back)
+    new = _mixed(cycle, "secret", v, alphabets, back)
+    while form(new) != form(v):
+        new = _mixed(cycle, "secret", new, alphabets, back)
+    return m[1] + new
+
+
+def _open_secret(m: re.Match, cycle: Cycle, back: bool) -> str | None:
+    """Without quotes; digits alone are left to the other kinds first."""
+    return _secret(m, cycle, back) if any(c in LOWER + UPPER for c in m[2]) else None
 
 
+_OPEN = re.compile(r"""(?i:((?:token|secret|password|passwd|api_?key|access_?key|key)["']?\s{0,3}[:=]\s{0,3}))(?![A-Za-z]+://)([^\s"'<>,;&@]{12,512})(?![^\s"'<>,;&])""")
 Handler = Callable[[re.Match, Cycle, bool], str | None]
 #: Kind, what to look for, handler; where matches overlap, the earlier kind is taken.
 KINDS: list[tuple[str, re.Pattern, Handler]] = [
-    ("email", re.compile(r"[\w.%+\-]{0,63}[^\W_]@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"), _email),
+    ("email", re.compile(r"[\w.%+\-]{0,63}[\w%+\-]@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"), _email),
     ("secret", re.compile(r"""(?i:((?:token|secret|password|passwd|api_?key|access_?key|key)["']?\s{0,3}[:=]\s{0,3}["']))([A-Za-z0-9+/_=\-]{12,512})(?=["'])"""), _secret),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban),
+    ("secret", _OPEN, _open_secret),
     ("card", re.compile(r"(?<![0-9+])(?<![0-9][ .\-])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"), _card),
     ("card", re.compile(r"(?<![0-9])(?:(?<!\+)[0-9]{13,15}|[0-9]{16,19})(?![0-9])"), _card),
     ("card", re.compile(r"(?<![0-9+])[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"), _card),
@@ -274,6 +302,9 @@ KINDS: list[tuple[str, re.Pattern, Handler]] = [
     ("phone", re.compile(r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])"), _phone),
     ("phone", re.compile(r"\+(?!1[^0-9])[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,5}(?:[ .\-]?[0-9]{2,5}){1,5}(?![0-9])"), _phone),
     ("phone", re.compile(r"(?<![0-9+])(?:1[ .\-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])"), _phone),
+    ("date", re.compile(r"(?<![0-9])(?<![0-9][\-/.])(?:([0-9]{4})([\-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([\-/.])([0-9]{1,2})\6"
+                        r"([0-9]{4}|(?:(?<=/)|(?<=[0-9]{2}[\-.][0-9]{2}[\-.]))[0-9]{2}))(?![\-/.]?[0-9])"), _date),
+    ("secret", _OPEN, _secret),
 ]
 #: Texts without a match of this have none of the kinds.
 CANDIDATE = r"@|[0-9][ .()/\-]*[0-9]|(?i:token|secret|passw|key)"
@@ -307,7 +338,7 @@ class Pseudonyms:
         whole, tried = m[0], []
 
         def pseudonym(part: str, found: re.Match | None) -> str:
-            known = (pattern.pattern, part, back)
+            known = (handler, pattern.pattern, part, back)
             new = self.cache.get(known)
             if new is None:
                 new = found and handler(found, self.cycle, back) or ""

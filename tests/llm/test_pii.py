@@ -101,3 +101,32 @@ def test_search_goes_on_behind_a_failed_start():
                             ("no 99 3782 822463 10005", 6, "3782 822463 10005")]:
         new, found = names.replace(text)
         assert [(f[0], f[1]) for f in found] == [(at, at + len(value))] and names.replace(new, back=True)[0] == text
+
+
+FORMS = [("date", v) for v in ["3/7/1985", "1985-3-7", "03/07/85", "3/7/85", "13/7/1985", "7/13/1985", "03.07.85", "3.7.1985", "29/2/00", "1985/12/7"]] \
+    + [("secret", v) for v in ["api_key=0123456789abcdef", "password: 0123456789abcdef", "token=abc-DEF-123-xyz-99", "secret = Pa$$w0rd!Pa$$w0rd!", "password: 123456789012"]] \
+    + [("email", v) for v in ["jane_@mail.example.com", "j.doe-@a.io", "x+@a.io"]]
+
+
+@pytest.mark.parametrize("kind,value", FORMS)
+def test_short_dates_open_secrets_and_emails(kind, value):
+    for key in (b"a", b"b", b"c", b"d"):
+        names = pii.Pseudonyms(key)
+        for text in (value, f"on {value} and", f"({value}, x"):
+            new, found = names.replace(text)
+            assert [f[2] for f in found] == [kind] and new != text and len(new) == len(text)
+            assert names.replace(new, back=True)[0] == text
+            assert [f[:3] for f in names.replace(new)[1]] == [f[:3] for f in found]
+            if kind == "date":
+                assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", text)
+
+
+@pytest.mark.parametrize("value", ["1.2.10", "version 1.10.2", "3/7", "32/1/85", "1/2/3/4", "key: short1", "password: nodigitsinthisone", "key: https://example.com/a1"])
+def test_what_is_no_short_form_stays(value):
+    assert pii.Pseudonyms().replace(f"a {value} b")[0] == f"a {value} b"
+
+
+def test_known_kinds_behind_keywords_stay_linked():
+    names = pii.Pseudonyms()
+    for value in ("4111111111111111", "GB29NWBK60161331926819", "219-09-9999"):
+        assert names.replace(f"key: {value}")[0] == f"key: {names.replace(value)[0]}"
