@@ -58,23 +58,34 @@ def _telemetry(raw: DataFrame) -> DataFrame:
                       "event_type", nan_to_null("value").alias("sensor_2"))
 
 
+#: Parts of the key table, by hash.
+KEY_BUCKETS = 32
+
+
 def run_dedup(stream: DataFrame, keys=("unit_id", "event_id"), ts: str = "ts") -> str:
     """Keep the first copy of every event in a sink partitioned by event day, and no other.
 
-    A micro-batch is compared with what the sink has for the days it touches, so nothing is
-    dropped for being late and no state grows in memory."""
+    The keys of all rows in the sink are in a table of their own, in buckets of their hash; a
+    micro-batch is compared with the buckets it touches.  So a copy is found whatever its
+    timestamp (another day, or none), nothing is dropped for being late, and no state grows in
+    memory.  Null keys are equal."""
     spark = stream.sparkSession
     sink, ck = scratch(spark, "stream-dedup"), scratch(spark, "ckpt-dedup")
-    schema = T.StructType(stream.schema.fields + [T.StructField("batch_id", T.LongType()), T.StructField("day", T.DateType())])
+    known = scratch(spark, "stream-dedup-keys")
+    schema = T.StructType([stream.schema[k] for k in keys] + [T.StructField("batch_id", T.LongType()), T.StructField("key_bucket", T.IntegerType())])
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int").alias("key_bucket")
 
     def write(batch: DataFrame, batch_id: int):
         new = batch.dropDuplicates(list(keys)).withColumn("day", F.to_date(ts))
-        if path_exists(spark, sink):
-            seen = spark.read.schema(schema).parquet(sink).where(F.col("batch_id") < batch_id)
-            days = new.select("day").distinct()  # prunes the sink's partitions
-            seen = seen.join(F.broadcast(days), "day", "left_semi").select(*keys)
-            new = new.join(seen, list(keys), "left_anti")
-        new.write.mode("overwrite").partitionBy("day").parquet(f"{sink}/batch_id={batch_id}")
+        if path_exists(spark, known):
+            touched = [r.key_bucket for r in batch.select(bucket).distinct().collect()]  # at most KEY_BUCKETS
+            seen = spark.read.schema(schema).parquet(known).where((F.col("batch_id") < batch_id) & F.col("key_bucket").isin(touched))
+            seen = seen.select(*[F.col(k).alias(f"seen_{k}") for k in keys])
+            new = new.join(seen, [F.col(k).eqNullSafe(F.col(f"seen_{k}")) for k in keys], "left_anti")
+        out = f"{sink}/batch_id={batch_id}"
+        new.write.mode("overwrite").partitionBy("day").parquet(out)
+        written = spark.read.schema(T.StructType([stream.schema[k] for k in keys])).parquet(out)
+        written.select(*keys, bucket).repartition("key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(f"{known}/batch_id={batch_id}")
 
     (stream.writeStream.foreachBatch(write).option("checkpointLocation", ck)
      .trigger(availableNow=True).start().awaitTermination())
