@@ -101,7 +101,7 @@ class Pieces:
         self._clear()
 
     def _clear(self) -> None:
-        self.found = ragged.HashedValues(self.LIMIT + 1)
+        self.found = ragged.HashedValues(self.LIMIT)
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -215,6 +215,13 @@ class Pieces:
         self.length = np.concatenate([self.length, length])
         self.used += total
 
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys that have been learned."""
+        places, known = self.found.find(keys)
+        if not known.all():
+            raise LookupError("a word of the batch is not in the cache")
+        return places
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one text after the other, and their offsets."""
         texts = pc.fill_null(texts, "")
@@ -241,17 +248,21 @@ class Pieces:
         begin = starts + run
         keys, first, back = np.unique(ragged.span_hashes(wide, begin, ends), return_index=True, return_inverse=True)
         runs = np.unique(run)
-        if len(self.at) + len(keys) + len(runs) > self.LIMIT:
+        lone = np.union1d(runs, runs - 1)  # runs of blanks by themselves
+        lone = lone[lone > 0].tolist()
+        need = len(keys) + len(lone)
+        if len(self.at) + need > self.LIMIT:
             self._clear()
+            self.found.limit = max(self.LIMIT, need)  # a slice is not split: its words are kept together, however many
         new = np.flatnonzero(~self.found.find(keys)[1])
         if len(new):
             self._learn(keys[new], *self.encode_words(ragged.text_pieces(wide, begin[first[new]], ends[first[new]])))
-        for r in (runs - 1).tolist() + runs.tolist():  # runs of blanks by themselves
+        for r in lone:
             key = ragged.mix(np.array([r + (1 << 40)], np.uint64))
-            if r and not self.found.find(key)[1][0]:
+            if not self.found.find(key)[1][0]:
                 ids = np.array(self.library.encode(" " * (r - 1)) if r > 1 else [self.blank], np.int32)
                 self._learn(key, ids, np.array([len(ids)]))
-        word = self.found.find(keys)[0][back]
+        word = self._places(keys)[back]
         at, length = self.at[word], self.length[word]
         alone = begin == ends  # blanks at a text's end
         opens = np.where(length > 0, self.ids[np.minimum(at, max(self.used - 1, 0))] == self.blank, False)
@@ -260,7 +271,7 @@ class Pieces:
         lead_at, lead_length = np.zeros(len(run), np.int64), np.zeros(len(run), np.int64)
         some = np.flatnonzero(lead > 0)
         if len(some):
-            w = self.found.find(ragged.mix(lead[some].astype(np.uint64) + np.uint64(1 << 40)))[0]
+            w = self._places(ragged.mix(lead[some].astype(np.uint64) + np.uint64(1 << 40)))
             lead_at[some], lead_length[some] = self.at[w], self.length[w]
         at, length = at + joins, np.where(alone, 0, length - joins)
         where, size = np.stack([lead_at, at], 1).ravel(), np.stack([lead_length, length], 1).ravel()

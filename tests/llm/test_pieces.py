@@ -44,3 +44,14 @@ def test_empty_table_and_clashing_columns(docs):
     assert pieces.encode(docs([]), PATH).count() == 0
     rows = docs([(None, "one", 1), (2, None, 2), (2, None, 2)], "doc_id long, text string, ids int")
     assert sorted(r.n_pieces for r in pieces.encode(rows, PATH).collect())[:2] == [0, 0]
+
+
+@pytest.mark.parametrize("limit", [1, 4, 50])
+def test_ids_do_not_depend_on_the_cache_limit(library, monkeypatch, limit):
+    monkeypatch.setattr(pieces.Pieces, "LIMIT", limit)
+    table = pieces.Pieces(PATH)
+    many = " ".join(f"word{k}  x{k}" for k in range(60))
+    for texts in ([many, "a  b   c"], ["plain text"], MORE, [many], ["one   two", " "]):
+        ids, edges = table.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [library.encode(t) for t in texts]
+        assert len(table.at) <= max(limit, 200)
