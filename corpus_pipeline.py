@@ -40,7 +40,8 @@ def _stage(function: Stage) -> Stage:
 @_stage
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts that are null, have no letter or look
-    like no language go."""
+    like no language go.  The languages are those of the input's own labels; without any
+    label all documents with a letter stay."""
     return language_id.keep_known(docs, language_id.learn(docs))
 
 

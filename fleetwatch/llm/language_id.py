@@ -186,13 +186,25 @@ def learn(train: DataFrame, text_column: str = "text", label_column: str = "lang
 
 
 def keep_known(df: DataFrame, filters: Filters, text_column: str = "text", min_score: float = 0.3) -> DataFrame:
-    """The rows of ``df`` whose language is known with at least ``min_score``; one narrow pass."""
+    """The rows of ``df`` whose language is known with at least ``min_score``; one narrow pass.
+    Where nothing could be learned, no language can be told from another, and all rows whose
+    text has a letter are kept."""
     prepare(df.sparkSession)
     rows = df.select(df[_quoted(text_column)].alias("text"), F.struct(*[df[_quoted(c)] for c in df.columns]).alias("doc"))
+    if not filters.languages:
+        return rows.mapInArrow(_with_letters, rows.select("doc").schema).select("doc.*")
     found = _predicted(df.sparkSession, rows, filters)
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= min_score)).select("doc.*")
 
 
+def _with_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in ragged.slices(batch, 0, 1 << 20):
+            w = distinct_words(part.column(0))
+            letters = ragged.sums(w.letters[w.back], w.docs, part.num_rows) > 0
+            yield part.select(["doc"]).filter(pa.array(letters))
+
+
 def predictions(df: DataFrame, filters: Filters, text_column: str, **columns: Column) -> DataFrame:
     """The given columns, lang_pred and lang_score per row."""
     prepare(df.sparkSession)

@@ -44,3 +44,10 @@ def test_filter_has_no_false_negatives_and_many_languages(docs):
     assert len(filters.languages) == 90 and filters.masks.shape[1] == 2
     best, score = filters.predict(pa.array([t for _, t, _ in rows]))
     assert [filters.languages[b] for b in best] == [lang for _, _, lang in rows] and np.all(score > 0.9)
+
+
+def test_without_labels_all_texts_with_letters_are_kept(docs):
+    rows = [(1, "some words", None), (2, None, None), (3, "", None), (4, "12345 !!", None), (5, "日本語", None), (6, "7 a", None)]
+    df = docs(rows, "doc_id long, text string, lang string")
+    kept = language_id.keep_known(df, language_id.learn(df))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5, 6]
