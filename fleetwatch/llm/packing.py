@@ -5,8 +5,8 @@ at a time, so nothing is shuffled and no group of documents has to meet in one t
 In a chunk each document gives full sequences and one rest; the rests are taken
 longest first, and each goes to the sequence of lowest estimated cost that has room.
 A piece costs ``linear * n + quadratic * n**2``: attention within a piece grows with
-its square.  When none of the cheapest sequences has room, the piece is cut and
-fills the cheapest one.  A chunk opens as many sequences as its tokens need, so at
+its square.  Only when no sequence has room, the piece is cut and fills the cheapest
+one.  A chunk opens as many sequences as its tokens need, so at
 most one sequence's worth of padding is left in a chunk.
 
 A null text counts as empty and gives just the end id.  Repeated rows are packed each;
@@ -31,8 +31,6 @@ from .common import only, prepare
 
 #: Tokens after which a task packs what it has.
 CHUNK_TOKENS = 4 << 20
-#: Cheapest sequences that are asked for room before a piece is cut.
-TRIES = 16
 #: Letters of one case folding and one composition everywhere.
 PLAIN = 0x250
 _loaded: dict[str, "WordIds"] = {}
@@ -122,6 +120,44 @@ def word_ids(path: str) -> WordIds:
     return _loaded[path]
 
 
+class Rooms:
+    """Sequences by the room they have left: a heap by cost for each room, and a tree over the
+    rooms of the cheapest sequence in each, so the cheapest with enough room is found exactly."""
+
+    NONE = (float("inf"), -1)
+
+    def __init__(self, capacity: int):
+        self.width = 1 << capacity.bit_length()
+        self.levels: dict[int, list[tuple[float, int]]] = {}
+        self.best = [self.NONE] * (2 * self.width)
+
+    def _update(self, room: int) -> None:
+        at, level = self.width + room, self.levels[room]
+        self.best[at] = level[0] if level else self.NONE
+        while at > 1:
+            at >>= 1
+            self.best[at] = min(self.best[2 * at], self.best[2 * at + 1])
+
+    def put(self, room: int, cost: float, sequence: int) -> None:
+        heapq.heappush(self.levels.setdefault(room, []), (cost, sequence))
+        self._update(room)
+
+    def cheapest(self, room: int) -> tuple[float, int]:
+        """Cost and number of the cheapest sequence with at least this room, else NONE."""
+        at = self.width + room
+        found = self.best[at]
+        while at > 1:
+            if at % 2 == 0:
+                found = min(found, self.best[at + 1])
+            at >>= 1
+        return found
+
+    def take(self, room: int) -> None:
+        """Remove the cheapest sequence of exactly this room."""
+        heapq.heappop(self.levels[room])
+        self._update(room)
+
+
 def balance(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Pieces ``(document, start, length, sequence, offset)`` of documents of these lengths."""
     out, rests, sequences = [], [], 0
@@ -134,22 +170,22 @@ def balance(lengths: list[int], capacity: int, linear: float, quadratic: float)
     rests.sort(key=lambda r: (-r[0], r[1]))
     opened = -(-sum(r[0] for r in rests) // capacity)
     filled = [0] * opened
-    heap = [(0.0, s) for s in range(opened)]
+    rooms = Rooms(capacity)
+    for s in range(opened):
+        rooms.put(capacity, 0.0, s)
     for n, d, start in rests:
         while n:
-            passed = []
-            while heap and len(passed) < TRIES and capacity - filled[heap[0][1]] < n:
-                passed.append(heapq.heappop(heap))
-            fits = heap and capacity - filled[heap[0][1]] >= n
-            cost, s = heapq.heappop(heap) if fits else passed.pop(0)
-            part = min(n, capacity - filled[s])
+            cost, s = rooms.cheapest(n)
+            if s < 0:
+                cost, s = rooms.cheapest(1)
+            room = capacity - filled[s]
+            rooms.take(room)
+            part = min(n, room)
             out.append((d, start, part, sequences + s, filled[s]))
             filled[s] += part
             start, n = start + part, n - part
             if filled[s] < capacity:
-                passed.append((cost + linear * part + quadratic * part * part, s))
-            for p in passed:
-                heapq.heappush(heap, p)
+                rooms.put(room - part, cost + linear * part + quadratic * part * part, s)
     return out
 
 

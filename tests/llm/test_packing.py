@@ -59,3 +59,26 @@ def test_empty_table_null_ids_and_clashing_columns(docs):
     assert packing.pack(docs([]), PATH).count() == 0
     rows = docs([(None, "one two", 1), (None, None, 2)], "doc_id long, text string, offset int")
     assert sorted(r.length for r in packing.pack(rows, PATH).collect()) == [1, 3]
+
+
+def _greedy(lengths, capacity, linear, quadratic):
+    """Rests longest first to the cheapest of all sequences with room; lengths below the capacity."""
+    out, opened = [], -(-sum(lengths) // capacity)
+    filled, cost = [0] * opened, [0.0] * opened
+    for d in sorted(range(len(lengths)), key=lambda d: (-lengths[d], d)):
+        start, n = 0, lengths[d]
+        while n:
+            s = min((s for s in range(opened) if filled[s] < capacity), key=lambda s: (capacity - filled[s] < n, cost[s], s))
+            part = min(n, capacity - filled[s])
+            out.append((d, start, part, s, filled[s]))
+            filled[s], cost[s] = filled[s] + part, cost[s] + linear * part + quadratic * part * part
+            start, n = start + part, n - part
+    return out
+
+
+def test_a_piece_is_cut_only_when_no_sequence_has_room():
+    import random
+    for seed, (least, most) in enumerate([(1, 99), (30, 99), (1, 40), (20, 60), (50, 99)] * 3):
+        rnd = random.Random(seed)
+        lengths = [rnd.randint(least, most) for _ in range(400)]
+        assert packing.balance(lengths, 100, 1.0, 1 / 1024) == _greedy(lengths, 100, 1.0, 1 / 1024)
