@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_counts, exact_dedup, language_id, line_rules, near_dedup, ngram_lm, packing, pieces, pii, warc_bundles
+from . import bpe_counts, conversations, exact_dedup, language_id, line_rules, near_dedup, ngram_lm, packing, pieces, pii, warc_bundles
 from .common import documents, fold, pages
 
 
@@ -58,8 +58,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hurt = conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversations.repair(hurt, present=hurt["present"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_pii, op2_ngram_lm, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op8_pieces, op9_exact_dedup, op10_token_counts)
+    q.__name__: q for q in (op1_pii, op2_ngram_lm, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op8_pieces, op9_exact_dedup, op10_token_counts, op11_conversations)
 }
 
 ORACLE: dict[str, str] = {
