@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_counts, conversations, exact_dedup, language_id, line_rules, near_dedup, ngram_lm, packing, pieces, pii, warc_bundles
+from . import bpe_counts, conversations, exact_dedup, language_id, line_rules, near_dedup, ngram_lm, packing, pieces, pii, vector_codes, warc_bundles
 from .common import documents, fold, pages
 
 
@@ -63,8 +63,13 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(hurt, present=hurt["present"])
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.errors_by_label(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.withColumn("codebooks_sha256", F.lit(books.digest()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_pii, op2_ngram_lm, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op8_pieces, op9_exact_dedup, op10_token_counts, op11_conversations)
+    q.__name__: q for q in (op1_pii, op2_ngram_lm, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op8_pieces, op9_exact_dedup, op10_token_counts, op11_conversations, op12_vector_codes)
 }
 
 ORACLE: dict[str, str] = {
