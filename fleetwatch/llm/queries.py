@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_counts, conversations, exact_dedup, language_id, line_rules, near_dedup, ngram_lm, packing, pieces, pii, vector_codes, warc_bundles
+from . import bpe_counts, conversations, exact_dedup, language_id, line_rules, near_dedup, ngram_lm, packing, pieces, pii, simhash_dedup, vector_codes, warc_bundles
 from .common import documents, fold, pages
 
 
@@ -68,8 +68,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.withColumn("codebooks_sha256", F.lit(books.digest()))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.classes(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_pii, op2_ngram_lm, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op8_pieces, op9_exact_dedup, op10_token_counts, op11_conversations, op12_vector_codes)
+    q.__name__: q for q in (op1_pii, op2_ngram_lm, op3_packing, op4_line_rules, op5_warc, op6_near_dedup, op7_language_id, op8_pieces, op9_exact_dedup, op10_token_counts, op11_conversations, op12_vector_codes, op13_simhash)
 }
 
 ORACLE: dict[str, str] = {
