@@ -95,11 +95,24 @@ def _whole(values: list[int], shape: tuple[int, ...]) -> np.ndarray:
     return np.array(values, np.int64 if all(abs(v) < 1 << 52 for v in values) else object).reshape(shape)
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int = 8192) -> Iterator[pa.RecordBatch]:
+    """Batches of at least ``rows`` rows (but for the last): a walk through the trees costs as much for a few."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _sums(batches: Iterator[pa.RecordBatch], books: Codebooks) -> Iterator[pa.RecordBatch]:
     """One task's sums and counts by slot, in signed limbs of 40 bits."""
     trees, n, step = books.trees(), len(books.books[0]), books.books[0].shape[1]
     total = np.zeros((len(trees), n, step + 1), object)
-    for batch in batches:
+    for batch in _together(batches):
         rows = _matrix(batch.column("vector"), books.width)
         for p, (mine, index, _) in enumerate(books.nearest(trees, rows)):
             part = np.zeros((n, step + 1), mine.dtype)
@@ -144,7 +157,7 @@ def learn(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedd
 
 def _coded(batches: Iterator[pa.RecordBatch], books: Codebooks, names: list[str]) -> Iterator[pa.RecordBatch]:
     trees = books.trees()
-    for batch in batches:
+    for batch in _together(batches):
         rows = _matrix(batch.column("vector"), books.width)
         codes, error = np.zeros((len(rows), len(trees)), np.uint8), np.zeros(len(rows), object)
         for p, (_, index, distance) in enumerate(books.nearest(trees, rows)):
