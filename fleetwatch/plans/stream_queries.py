@@ -23,20 +23,46 @@ query("stream_features", ORACLE["rolling_features"])(_features)
 
 
 def _in_files(spark, sf, newest_first: bool = False, files: int = 4) -> str:
-    """The events table as a folder of files by time, written one after the other."""
+    """The events table as a folder of files by time, each time range written after the other."""
     events = T.read_table(spark, sf, "events")
     out = S.scratch(spark, "events-in-files")
     first, last = (r.cast("timestamp").cast("double") for r in (F.min("ts"), F.max("ts")))
     low, high = events.agg(first, last).first()
     part = F.least(F.floor((F.col("ts").cast("timestamp").cast("double") - low) / (max(high - low, 1.0) / files)), F.lit(files - 1))
     for k in sorted(range(files), reverse=newest_first):
-        events.where(part == k).coalesce(1).write.mode("append").parquet(T.table_path(out, "events"))
+        events.where(part == k).write.mode("append").parquet(T.table_path(out, "events"))
     return out
 
 
+def _closing(spark, folder):
+    return lambda: S.end_of_stream(spark, T.table_path(folder, "events"), days=400)
+
+
 query("stream_features_parts", ORACLE["rolling_features"])(lambda spark, sf: _features(spark, _in_files(spark, sf)))
 
 
+@query("stream_features_any_order", ORACLE["rolling_features"])
+def stream_features_any_order(spark, sf):
+    """Files newest first: rows wait in state until the watermark has passed them."""
+    files = _in_files(spark, sf, newest_first=True)
+    sink = S.run_ordered_features(spark, S.telemetry_stream(spark, files), delay="366 days", slot="5 days", close=_closing(spark, files))
+    return S.read_sink(spark, sink).select("unit_id", "time_cycle", "sensor_2", "sensor_2_rolling_mean", "sensor_2_diff")
+
+
+def _redelivered(spark, sf):
+    """The events in files, and then all of them once more in files that come later."""
+    out = _in_files(spark, sf)
+    T.read_table(spark, sf, "events").write.mode("append").parquet(T.table_path(out, "events"))
+    return out
+
+
+@query("stream_dedup_later_batches", "SELECT user_id AS unit_id, event_id, value AS sensor_2 FROM events")
+def stream_dedup_later_batches(spark, sf):
+    """Every event comes again in a later micro-batch and is found among the stored keys."""
+    sink = S.run_dedup(S.telemetry_stream(spark, _redelivered(spark, sf)))
+    return spark.read.parquet(sink).select("unit_id", "event_id", "sensor_2")
+
+
 def _deduplicated(spark, sf):
     """The events table replayed twice (at-least-once delivery): one copy stays."""
     return S.run_dedup(S.telemetry_stream(spark, sf).unionByName(S.telemetry_stream(spark, sf)))
@@ -91,12 +117,14 @@ def _flagged(stream):
                              .otherwise(F.lit(1)))
 
 
-def _rates(spark, sf):
-    return S.read_rates(spark, S.run_rates(spark, _flagged(S.telemetry_stream(spark, sf))))
+def _rates(spark, sf, newest_first=False):
+    """All windows of a stream of files, after a last row that closes them."""
+    files = _in_files(spark, sf, newest_first)
+    return S.read_rates(spark, S.run_rates(spark, _flagged(S.telemetry_stream(spark, files)), close=_closing(spark, files)))
 
 
 query("stream_rates", ORACLE["rate_windows"])(_rates)
-query("stream_rates_out_of_order", ORACLE["rate_windows"])(lambda spark, sf: _rates(spark, _in_files(spark, sf, newest_first=True)))
+query("stream_rates_out_of_order", ORACLE["rate_windows"])(lambda spark, sf: _rates(spark, sf, newest_first=True))
 
 
 @query("stream_live_store", "SELECT event_id, user_id AS unit_id, value AS sensor_2, "
@@ -114,8 +142,9 @@ def stream_live_store(spark, sf):
 @query("stream_latency_quantiles", ORACLE["latency_quantiles_hourly"])
 def stream_latency_quantiles(spark, sf):
     """Latency quantiles per window over a stream whose files come newest first."""
-    stream = S.telemetry_stream(spark, _in_files(spark, sf, newest_first=True)).withColumn("latency_s", F.col("sensor_2") / F.lit(1000.0))
-    return S.read_latency_quantiles(spark, S.run_partial_counts(spark, stream, R.window_buckets, "latency"))
+    files = _in_files(spark, sf, newest_first=True)
+    stream = S.telemetry_stream(spark, files).withColumn("latency_s", F.col("sensor_2") / F.lit(1000.0))
+    return S.read_latency_quantiles(spark, S.run_latency(spark, stream, close=_closing(spark, files)))
 
 
 @query("stream_failures", W("SELECT count(*) AS requests_total, count(*) FILTER (WHERE event_id % 50 = 0) AS failures_total, "

@@ -5,11 +5,13 @@
 * ``stateful_features`` per-unit cycle counter, rolling mean and first difference
   kept across micro-batches with ``applyInPandasWithState``; the state per unit
   is the cycle count and the last ``window - 1`` readings (bounded).
-* ``run_dedup``         one row per (unit, event), however late its copies come.
+* ``run_ordered_features``  the same in event-time order, for files in any order: rows wait
+  in state until the watermark passes (``event_time``).
+* ``run_dedup``         one row per (unit, event), however late its copies come (``seen_keys``).
 * ``message_stream``    JSON messages -> typed, validated rows.
 * ``run_scoring``       validated messages -> decision columns -> three sinks from
   one persisted micro-batch: scored, alerts (anomalies) and rejects.
-* ``run_rates``         event-time sliding-window rates; late rows count in their window.
+* ``run_rates``, ``run_latency``  event-time windows with bounded state; late rows are corrections.
 
 Every sink is written by ``foreachBatch`` into ``batch_id=<id>`` folders with
 overwrite, so a replayed micro-batch after a failure rewrites the same folder
@@ -30,11 +32,12 @@ from .. import config as C
 from ..functions import decisions as D
 from ..functions.numeric import nan_to_null
 from ..operators import reports
-from ..session import shared_path
+from ..session import release, shared_path
 from ..sources import payload as PL
-from ..sources.files import path_exists
 from ..sources.tables import table_path
 from . import monitor
+from .event_time import ordered_features, state_on_disk, window_sums
+from .seen_keys import TARGET, SeenKeys
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -58,36 +61,30 @@ def _telemetry(raw: DataFrame) -> DataFrame:
                       "event_type", nan_to_null("value").alias("sensor_2"))
 
 
-#: Parts of the key table, by hash.
-KEY_BUCKETS = 32
+#: Event type of a row that only moves the watermark.
+HEARTBEAT = "heartbeat"
 
 
-def run_dedup(stream: DataFrame, keys=("unit_id", "event_id"), ts: str = "ts") -> str:
+def run_dedup(stream: DataFrame, keys=("unit_id", "event_id"), ts: str = "ts", path: str | None = None, target: int = TARGET) -> str:
     """Keep the first copy of every event in a sink partitioned by event day, and no other.
 
-    The keys of all rows in the sink are in a table of their own, in buckets of their hash; a
-    micro-batch is compared with the buckets it touches.  So a copy is found whatever its
-    timestamp (another day, or none), nothing is dropped for being late, and no state grows in
-    memory.  Null keys are equal."""
+    Copies within a micro-batch go by grouping; those of earlier micro-batches are found among the
+    keys of all rows in the sink (see ``seen_keys``).  So a copy is found whatever its timestamp
+    (another day, or none) and however late it comes.  Null keys are equal."""
     spark = stream.sparkSession
-    sink, ck = scratch(spark, "stream-dedup"), scratch(spark, "ckpt-dedup")
-    known = scratch(spark, "stream-dedup-keys")
-    schema = T.StructType([stream.schema[k] for k in keys] + [T.StructField("batch_id", T.LongType()), T.StructField("key_bucket", T.IntegerType())])
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(KEY_BUCKETS)).cast("int").alias("key_bucket")
+    base = path or scratch(spark, "stream-dedup")
+    sink, seen = f"{base}/sink", SeenKeys(spark, f"{base}/keys", list(keys), target)
 
     def write(batch: DataFrame, batch_id: int):
-        new = batch.dropDuplicates(list(keys)).withColumn("day", F.to_date(ts))
-        if path_exists(spark, known):
-            touched = [r.key_bucket for r in batch.select(bucket).distinct().collect()]  # at most KEY_BUCKETS
-            seen = spark.read.schema(schema).parquet(known).where((F.col("batch_id") < batch_id) & F.col("key_bucket").isin(touched))
-            seen = seen.select(*[F.col(k).alias(f"seen_{k}") for k in keys])
-            new = new.join(seen, [F.col(k).eqNullSafe(F.col(f"seen_{k}")) for k in keys], "left_anti")
-        out = f"{sink}/batch_id={batch_id}"
-        new.write.mode("overwrite").partitionBy("day").parquet(out)
+        once, out = f"{base}/once/batch_id={batch_id}", f"{sink}/batch_id={batch_id}"
+        batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(once)  # read several times
+        new, read = seen.unseen(spark.read.schema(stream.schema).parquet(once), batch_id)
+        new.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(out)
         written = spark.read.schema(T.StructType([stream.schema[k] for k in keys])).parquet(out)
-        written.select(*keys, bucket).repartition("key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(f"{known}/batch_id={batch_id}")
+        seen.add(written, batch_id, read)
+        release(spark, [f"{base}/once/batch_id={batch_id}"])
 
-    (stream.writeStream.foreachBatch(write).option("checkpointLocation", ck)
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
      .trigger(availableNow=True).start().awaitTermination())
     return sink
 
@@ -160,6 +157,32 @@ def run_features(spark: SparkSession, sf_dir: str) -> str:
     return sink
 
 
+def end_of_stream(spark: SparkSession, folder: str, days: int = 2) -> None:
+    """A last file for a stream of event files, whose only row moves the watermark past all others."""
+    files = spark.read.schema(EVENTS_SCHEMA).parquet(folder)
+    last = files.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.make_dt_interval(F.lit(days))).alias("ts"), F.lit(HEARTBEAT).alias("event_type"))
+    row = last.select(*[(F.col(f.name) if f.name in ("ts", "event_type") else F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENTS_SCHEMA])
+    row.write.mode("append").parquet(folder)
+
+
+def _drained(spark: SparkSession, stream: DataFrame, name: str, close) -> str:
+    """Sink of a stream with event-time state; ``close`` then moves the watermark, so that what waits comes out."""
+    sink, ck = scratch(spark, f"stream-{name}"), scratch(spark, f"ckpt-{name}")
+    with state_on_disk(spark):
+        drain(stream, sink, ck)
+        if close:
+            close()
+            drain(stream, sink, ck)
+    return sink
+
+
+def run_ordered_features(spark: SparkSession, stream: DataFrame, delay: str, slot: str, close=None, **kw) -> str:
+    """Features in event-time order (see ``event_time``), for files in any order; rows later than
+    ``delay`` are in the sink as ``late``."""
+    beat = F.col("event_type") == HEARTBEAT
+    return _drained(spark, ordered_features(stream, delay=delay, slot=slot, heartbeat=beat, **kw), "ordered", close)
+
+
 # --- messages -> decisions ---------------------------------------------------------
 
 SCORE_FIELDS = ["unit_id", "time_cycle", "anomaly_score", "anomaly_flag", "predicted_RUL"]
@@ -203,35 +226,35 @@ def run_scoring(spark: SparkSession, path: str) -> dict:
     return sinks
 
 
-def run_rates(spark: SparkSession, scored_stream: DataFrame) -> str:
-    """Windowed rates: each micro-batch adds the counts of its own rows by window, and reading
-    adds them up, so a late row counts in its window and no state is kept.  Read with
-    ``read_rates``."""
-    return run_partial_counts(spark, scored_stream, monitor.window_counts, "rates")
+def run_rates(spark: SparkSession, scored_stream: DataFrame, delay: str = "1 hour", close=None) -> str:
+    """Counts per sliding window (see ``event_time.window_sums``).  Read with ``read_rates``."""
+    real = F.coalesce(F.col("event_type") != HEARTBEAT, F.lit(True))
+    counts = {"requests": real, "anomalies": real & F.coalesce(F.col("anomaly_flag") == -1, F.lit(False))}
+    return _drained(spark, window_sums(scored_stream, counts, monitor.WIDTH, monitor.SLIDE, delay), "rates", close)
 
 
-def run_partial_counts(spark: SparkSession, stream: DataFrame, counts, name: str) -> str:
-    """Write ``counts`` (an aggregate whose results add up) of every micro-batch."""
-    sink, ck = scratch(spark, f"stream-{name}"), scratch(spark, f"ckpt-{name}")
+def run_latency(spark: SparkSession, stream: DataFrame, delay: str = "1 hour", close=None, bounds=C.LATENCY_BUCKETS) -> str:
+    """Cumulative latency bucket counts b0, b1, ... (+Inf last) per hour.  Read with ``read_latency_quantiles``."""
+    real, x = F.coalesce(F.col("event_type") != HEARTBEAT, F.lit(True)), F.col("latency_s")
+    counts = {f"b{i}": real & F.coalesce(x <= b, F.lit(False)) for i, b in enumerate(bounds)} | {f"b{len(bounds)}": real & x.isNotNull(), "rows": real}
+    return _drained(spark, window_sums(stream, counts, "1 hour", delay=delay), "latency", close)
 
-    def write(batch: DataFrame, batch_id: int):
-        counts(batch).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
-    (stream.writeStream.foreachBatch(write).option("checkpointLocation", ck)
-     .trigger(availableNow=True).start().awaitTermination())
-    return sink
+def _window_totals(spark: SparkSession, path: str, rows: str) -> DataFrame:
+    """Sums per window over its first row and its corrections."""
+    parts = spark.read.parquet(path)
+    sums = [c for c in parts.columns if c not in ("window_start", "late", "batch_id")]
+    return parts.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in sums]).where(F.col(rows) > 0)
 
 
 def read_latency_quantiles(spark: SparkSession, path: str) -> DataFrame:
-    """Quantiles per window from the bucket counts of all micro-batches."""
-    parts = spark.read.parquet(path)
-    buckets = [c for c in parts.columns if c not in ("window_start", "batch_id")]
-    return reports.window_bucket_quantiles(parts.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in buckets]))
+    """Quantiles per window."""
+    per = _window_totals(spark, path, "rows").drop("rows")
+    return reports.window_bucket_quantiles(per.withColumn("window_start", F.to_timestamp("window_start")))
 
 
 def read_rates(spark: SparkSession, path: str) -> DataFrame:
-    counts = spark.read.parquet(path).groupBy("window_start").agg(F.sum("requests").alias("requests"), F.sum("anomalies").alias("anomalies"))
-    return monitor.rates(counts)
+    return monitor.rates(_window_totals(spark, path, "requests"))
 
 
 def read_sink(spark: SparkSession, path: str, latest_only: bool = False) -> DataFrame:
