@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,81 +37,127 @@ PLAIN = 0x250
 _loaded: dict[str, "WordIds"] = {}
 
 
+class _Generation:
+    """Ids of words by hash, as flat arrays."""
+
+    def __init__(self, limit: int):
+        self.found = ragged.HashedValues(limit)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """New words in ascending order of ``keys``, with their ids one after the other."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used: self.used + len(ids)] = ids
+        self.found.add(keys, len(self.at) + np.arange(len(keys)))
+        self.at = np.concatenate([self.at, self.used + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.used += len(ids)
+
+
 class WordIds:
     """Token ids by word, from the vocabulary's library; a word never depends on its
-    neighbours in a vocabulary that drops white space.  Kept per worker as one flat
-    array, so that a batch of texts is looked up without a Python object per word."""
+    neighbours in a vocabulary that drops white space.  Kept per worker in two generations of
+    flat arrays: words go to the younger one; when that is full it becomes the older one,
+    and words that are met again move up, so only what was not met for a whole generation is
+    forgotten.
+
+    The library looks for special strings in the raw text, before lower-casing, so
+    words with the beginning of one keep their case until they are encoded."""
 
     #: The cut of a word before the merges.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-    LIMIT = 1 << 18
-    #: Parts of words whose ids are kept; a Python object each.
-    PARTS_LIMIT = 1 << 15
+    #: Words of a generation (some 40 bytes each).
+    LIMIT = 1 << 19
+    #: Parts of words of a generation; a Python object each.
+    PARTS_LIMIT = 1 << 16
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: The first two bytes of every special string.
+        self.marks = sorted({tuple(s.encode()[:2].ljust(2)) for s in self.special})
         names = byte_symbols()
         #: Letters below PLAIN as the symbols of their bytes, two at most.
         self.symbols = {c: "".join(names[b] for b in chr(c).encode("utf-8")) for c in range(PLAIN)}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.found = ragged.HashedValues(self.LIMIT + 1)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.young, self.old = _Generation(self.LIMIT), _Generation(self.LIMIT)
         self.parts: dict[str, list[int]] = {}
+        self.old_parts: dict[str, list[int]] = {}
 
     def encode(self, word: str) -> list[int]:
         """As the library's ``encode(word, add_special_tokens=False).ids``; plain words skip
         its per-call work and go to its merge model part by part."""
-        if not (word.isascii() or max(word) < chr(PLAIN) and "İ" not in word) or any(s in word for s in self.special):
+        ascii = word.isascii()
+        if not (ascii or max(word) < chr(PLAIN) and "İ" not in word) or ("<" in word and any(s in word for s in self.special)):
             return self.library.encode(word, add_special_tokens=False).ids
+        low = word.lower()
+        if low.isalpha():
+            return self._part(low)
         out: list[int] = []
-        for part in self.PARTS.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) >= self.PARTS_LIMIT:
-                    self.parts.clear()
-                ids = self.parts[part] = [t.id for t in self.model.tokenize(part.translate(self.symbols))]
-            out += ids
+        for part in self.PARTS.findall(low):
+            out += self._part(part)
         return out
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        new = [self.encode(w) for w in texts]
-        length = np.fromiter(map(len, new), np.int64, len(new))
-        total = int(length.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used: self.used + total] = [i for ids in new for i in ids]
-        self.found.add(keys, len(self.at) + np.arange(len(new)))
-        self.at = np.concatenate([self.at, self.used + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.used += total
+    def _part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.old_parts.get(part)
+            if ids is None:
+                plain = part.isascii() and part.isprintable()  # its own symbols
+                ids = [t.id for t in self.model.tokenize(part if plain else part.translate(self.symbols))]
+            if len(self.parts) >= self.PARTS_LIMIT:
+                self.old_parts, self.parts = self.parts, {}
+            self.parts[part] = ids
+        return ids
+
+    def _known(self, buf: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """All ``keys`` are in the younger generation after this; their places there."""
+        if len(self.young.at) + len(keys) > self.LIMIT and len(self.young.at):
+            self.old, self.young = self.young, _Generation(self.LIMIT)
+        if len(keys) > self.young.found.limit:  # one text with more words than a generation
+            self.young.found.limit = len(keys)
+        young, old = self.young, self.old
+        missing = np.flatnonzero(~young.found.find(keys)[1])
+        place, again = old.found.find(keys[missing])
+        moved, new = missing[again], missing[~again]
+        at, length = old.at[place[again]], old.length[place[again]]
+        if len(moved):
+            young.add(keys[moved], old.ids[ragged.ranges(at, length)], length)
+        if len(new):
+            ids = [self.encode(w) for w in ragged.text_pieces(buf, starts[new], ends[new])]
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            young.add(keys[new], np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), length)
+        return young.found.find(keys)[0]
+
+    def _lowered(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes in lower case, but for words that may hold a special string, and the words."""
+        starts, ends, docs = ragged.words(buf, offs)
+        low = ragged.LOWER[buf]
+        for a, b in self.marks:
+            at = np.flatnonzero((buf[:-1] == a) & (buf[1:] == b))
+            w = np.unique(np.searchsorted(starts, at, "right") - 1)
+            w = w[w >= 0]
+            keep = ragged.ranges(starts[w], ends[w] - starts[w])
+            low[keep] = buf[keep]
+        return low, starts, ends, docs
 
     def documents(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, each followed by ``end_id``, and their offsets."""
         buf, offs = ragged.flat(texts)
-        buf = ragged.LOWER[buf]
-        starts, ends, docs = ragged.words(buf, offs)
+        buf, starts, ends, docs = self._lowered(buf, offs)
         keys, first, back = np.unique(ragged.span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.at) + len(keys) > self.LIMIT:
-            self._clear()
-        _, known = self.found.find(keys)
-        new = np.flatnonzero(~known)
-        if len(new):
-            self._learn(keys[new], ragged.text_pieces(buf, starts[first[new]], ends[first[new]]))
-        where = self.found.find(keys)[0][back] if len(keys) else np.zeros(0, np.int64)
-        length = self.length[where]
+        where = self._known(buf, keys, starts[first], ends[first])[back] if len(keys) else np.zeros(0, np.int64)
+        length = self.young.length[where]
         n = len(texts)
         per = ragged.sums(length, docs, n) + 1
         edges = np.concatenate([[0], np.cumsum(per)])
         out = np.full(int(edges[-1]), end_id, np.uint32)
         inner = np.ones(len(out), bool)
         inner[edges[1:] - 1] = False
-        out[inner] = self.ids[ragged.ranges(self.at[where], length)]
+        out[inner] = self.young.ids[ragged.ranges(self.young.at[where], length)]
         return out, edges
 
 

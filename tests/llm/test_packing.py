@@ -82,3 +82,37 @@ def test_a_piece_is_cut_only_when_no_sequence_has_room():
         rnd = random.Random(seed)
         lengths = [rnd.randint(least, most) for _ in range(400)]
         assert packing.balance(lengths, 100, 1.0, 1 / 1024) == _greedy(lengths, 100, 1.0, 1 / 1024)
+
+
+def _words(seed, n):
+    import random
+    rnd = random.Random(seed)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|", "|>", "<", "end", "OF", "text", "'s", "'LL", "don't", "É", "ß", "İ", "ſ", "ª²", "½", "日本", "12", "9", "!", "...", "#$%", "\x07", "\x7f",
+            "​", "́", "a", "Z", "th", "ing", "QUE", "éè"]
+    return [" ".join("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(1, 6))) for _ in range(n)]
+
+
+def test_ids_of_random_texts_are_the_librarys(monkeypatch):
+    """Special strings in any case and glued to words, with caches that turn over often."""
+    import pyarrow as pa
+    library = Tokenizer.from_file(PATH)
+    monkeypatch.setattr(packing.WordIds, "LIMIT", 300)
+    monkeypatch.setattr(packing.WordIds, "PARTS_LIMIT", 50)
+    words = packing.WordIds(PATH)
+    for seed in range(20):
+        texts = _words(seed, 500)
+        ids, edges = words.documents(pa.array(texts), 1)
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert all(ids[a: b - 1].tolist() == w.ids and ids[b - 1] == 1 for a, b, w in zip(edges[:-1], edges[1:], want, strict=True))
+
+
+def test_words_that_are_met_again_are_kept(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(packing.WordIds, "LIMIT", 100)
+    words = packing.WordIds(PATH)
+    asked = []
+    encode = words.encode
+    monkeypatch.setattr(words, "encode", lambda w: asked.append(w) or encode(w))
+    for k in range(30):
+        words.documents(pa.array([f"often {' '.join(f'w{k}x{j}' for j in range(40))}"]), 1)
+    assert asked.count("often") == 1 and len(asked) == 1 + 30 * 40
