@@ -9,11 +9,21 @@ The permutation is a Feistel network on the bits of the set's size, repeated unt
 falls inside the set, and used as ``P^-1(P(x) + 1)``: a keyed cycle through the whole
 set, so no value is its own pseudonym.
 
-Digits behind a plus sign are a phone, or a card if 16 and more stand together.  IBANs, cards
-and phones end where country or grouping says, or else at the longest match or a shorter one
-at a group border (for cards up to five groups) that validates; a search that finds nothing
-goes on one character later.  A pseudonym is taken further along
-its cycle until it is found at the same end in front of what follows, so the key turns it back.
+A pseudonym depends on kind, value and key alone, never on the text around it.  So where a
+value ends is settled first, by rules that look at nothing behind that end: an IBAN has its
+country's length; a card ends with its grouping, or else at the first group border that
+validates (cards begin with four digits together and have one kind of separator); a phone at the border where its country's number is complete, or else at the first
+with eight digits behind the country code (none: the last).  In an odd grouping the
+pseudonym is taken further along its cycle until none of its own earlier borders validates, so
+that it is found at the same end and the key turns it back.  Digits behind a plus sign are a
+phone, or a card if 16 and more stand together; a search that finds nothing goes on one
+character later.
+
+These notations of a value are linked: a date in all its forms (it is permuted among the dates
+that can be written in the same forms: days up to 9, 10 to 12 or above, months up to 9 or
+above, years of 1930 to 2029 or others); cards, IBANs and phones with and without separators, and
+North American phones with and without +1 or 1.  Not linked: cards in odd groupings whose earlier borders validate,
+emails that differ in case, and dates with slashes that could be read either way, which are day first.
 
 Forms that are looked for: emails (the last character before the @ a letter, digit or one of
 _%+-); secrets of 12 to 512 characters with a digit behind a keyword and : or =, in quotes, or
@@ -32,8 +42,10 @@ other columns are carried in one struct, whatever their names.
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
@@ -46,8 +58,6 @@ from . import ragged
 from .common import _quoted, prepare
 
 ROUNDS = 8
-#: Used where neither the caller nor the session gives a key, as in tests.
-DEFAULT_KEY = b"fleetwatch pseudonyms"
 KEY_SETTING = "spark.fleetwatch.pii.key"
 #: Values whose pseudonyms a worker remembers.
 CACHE = 1 << 16
@@ -58,9 +68,16 @@ UPPER = LOWER.upper()
 HEX = "0123456789abcdef"
 
 
+_drawn: dict[str, bytes] = {}
+
+
 def session_key(spark: SparkSession) -> bytes:
-    """The secret key of the session's settings."""
-    return spark.conf.get(KEY_SETTING, DEFAULT_KEY.decode()).encode("utf-8")
+    """The secret key of the session's settings; without one, a random key for this application,
+    which links values within it and is forgotten with it."""
+    known = spark.conf.get(KEY_SETTING, None)
+    if known:
+        return known.encode("utf-8")
+    return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 class Cycle:
@@ -135,6 +152,8 @@ def _card(m: re.Match, cycle: Cycle, back: bool) -> str | None:
     d = "".join(c for c in m[0] if c in DIGITS)
     if not 13 <= len(d) <= 19 or luhn(d[:-1]) != int(d[-1]) or d[0] == "0":
         return None
+    if not m[0][:4].isdigit() or " " in m[0] and "-" in m[0]:  # other numbers side by side
+        return None
     body = d[0] + _mixed(cycle, "card" + d[0], d[1:-1], [DIGITS] * (len(d) - 2), back)
     return _into(m[0], body + str(luhn(body)))
 
@@ -168,28 +187,37 @@ def _ip(m: re.Match, cycle: Cycle, back: bool) -> str | None:
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
+def _forms(day: date) -> tuple[int, bool, bool]:
+    """What decides in which notations a date can be written: its day, month and year."""
+    return (day.day > 9) + (day.day > 12), day.month > 9, 1930 <= day.year < 2030
+
+
+@functools.cache
+def _alike() -> dict[tuple, tuple[list[int], dict[int, int]]]:
+    """By ``_forms``, the dates from 1900 to 2099 in order, and the place of each."""
+    groups: dict[tuple, list[int]] = {}
+    for k in range(DAYS):
+        groups.setdefault(_forms(FIRST_DAY + timedelta(k)), []).append(k)
+    return {f: (days, {d: k for k, d in enumerate(days)}) for f, days in groups.items()}
+
+
 def _date(m: re.Match, cycle: Cycle, back: bool) -> str | None:
     """One permutation of the days for all notations.  With slashes the day comes first
-    where that is possible, else the month; the pseudonym of a month-first date is one
-    that is read month first again, and that of a short form (one-digit parts, two-digit year)
-    one that is as short."""
+    where that is possible, else the month."""
     a, s, b, c = (m[k] or m[k + 4] for k in (1, 2, 3, 4))
     for how in ("ymd",) if len(a) == 4 else ("dmy", "mdy") if s == "/" else ("dmy",):
         parts, width = dict(zip(how, map(int, (a, b, c)), strict=True)), dict(zip(how, map(len, (a, b, c)), strict=True))
         if width["y"] == 2:
             parts["y"] += 1900 if parts["y"] >= 30 else 2000
         try:
-            day = (date(parts["y"], parts["m"], parts["d"]) - FIRST_DAY).days
+            day = date(parts["y"], parts["m"], parts["d"])
         except ValueError:
             continue
-        if not 0 <= day < DAYS:
+        number = (day - FIRST_DAY).days
+        if not 0 <= number < DAYS:
             return None
-        while True:
-            day = cycle.step("date", day, DAYS, back)
-            new = FIRST_DAY + timedelta(day)
-            fits = new.day < 10 ** width["d"] and new.month < 10 ** width["m"] and (width["y"] == 4 or 1930 <= new.year < 2030)
-            if fits and (how != "mdy" or new.day > 12):
-                break
+        days, place = _alike()[_forms(day)]
+        new = FIRST_DAY + timedelta(days[cycle.step("date%d%d%d" % _forms(day), place[number], len(days), back)])
         shown = {"y": new.year % 10 ** width["y"], "m": new.month, "d": new.day}
         return s.join(f"{shown[k]:0{width[k]}d}" for k in how)
     return None
@@ -200,13 +228,23 @@ def _dialled(n: str) -> bool:
     return n[0] not in "01" and n[3] not in "01"
 
 
+#: Country codes of two digits; those beginning with 1 or 7 have one, the others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Digits behind the country code, where all of a country's numbers have as many.
+NUMBER_SIZES = {c: n for n, cs in {8: "45 47 65 852", 9: "27 31 33 34 40 41 48 56 61 351 380 420 421 966", 10: "1 7 30 44 52 57 58 63 90 91 92 98"}.items() for c in cs.split()}
+LEAST_NUMBER = 8
+
+
+def _country(digits: str) -> str:
+    return digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
 def _phone(m: re.Match, cycle: Cycle, back: bool) -> str | None:
     d = "".join(c for c in m[0] if c in DIGITS)
     if m[0].startswith("+") and not (d[0] == "1" and len(d) == 11):
         if not 8 <= len(d) <= 15 or d[0] == "0":
             return None
-        code = re.match(r"\+(\d{1,3})(?!\d)", m[0])
-        k = len(code[1]) if code else 2
+        k = len(_country(d))
         return _into(m[0], d[:k] + _mixed(cycle, "phone" + d[:k], d[k:], [DIGITS] * (len(d) - k), back))
     lead, n = d[:-10], d[-10:]
     if lead not in ("", "1") or not _dialled(n) and not m[0].startswith("+"):
@@ -244,17 +282,23 @@ GROUPED = re.compile(r"[0-9]{13,19}(?![0-9])|[0-9]{4}([ \-])(?:[0-9]{4}\1[0-9]{4
 
 
 def _ends(kind: str, value: str) -> list[int]:
-    """Where in a match the value may end, the likeliest first."""
+    """Where in a match the value may end; the first end that validates is taken."""
     if kind not in ("iban", "card", "phone"):
         return [len(value)]
-    ends = [len(value), *(k for k in range(len(value) - 1, 0, -1) if value[k - 1].isalnum() and not value[k].isalnum())]
-    if kind == "iban" and value[:2] in IBAN_SIZES:
-        return list(dict.fromkeys([*(e for e in ends if e - value.count(" ", 0, e) == IBAN_SIZES[value[:2]]), len(value)]))
+    borders = [*(k for k in range(1, len(value)) if value[k - 1].isalnum() and not value[k].isalnum()), len(value)]
+    if kind == "iban":
+        size = IBAN_SIZES.get(value[:2])
+        return [e for e in borders if size is None or e - value.count(" ", 0, e) == size]
     if kind == "card":
         known = GROUPED.match(value)
-        few = [e for e in ends[1:] if len(re.split(r"[ \-]", value[:e])) <= 5]
-        ends = [*([known.end()] if known else []), len(value), *few]
-    return list(dict.fromkeys(ends))
+        return list(dict.fromkeys([*([known.end()] if known else []), *borders]))
+    if not value.startswith("+"):
+        return [len(value)]
+    digits = "".join(c for c in value if c in DIGITS)
+    code = _country(digits)
+    number = {e: sum(c in DIGITS for c in value[:e]) - len(code) for e in borders}
+    whole = [e for e in borders if number[e] == NUMBER_SIZES.get(code)] or [e for e in borders if number[e] >= LEAST_NUMBER]
+    return [*whole, borders[-1]][:1]
 
 
 def _email(m: re.Match, cycle: Cycle, back: bool) -> str | None:
@@ -311,7 +355,7 @@ CANDIDATE = r"@|[0-9][ .()/\-]*[0-9]|(?i:token|secret|passw|key)"
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes = DEFAULT_KEY):
+    def __init__(self, key: bytes):
         self.cycle, self.cache = Cycle(key), {}
 
     def find(self, text: str, back: bool = False) -> list[tuple[int, int, str, str]]:
@@ -353,8 +397,8 @@ class Pseudonyms:
             part = whole[:end]
             new = pseudonym(part, m if end == len(whole) else pattern.fullmatch(part))
             if new:
-                # only what is found again at this end, with the same text behind
-                while any(pseudonym(x, pattern.fullmatch(x)) for x in ((new + whole[end:])[:e] for e in tried)):
+                # none of its own earlier borders may validate, so that it is found again at this end
+                while any(pseudonym(x, pattern.fullmatch(x)) for x in (new[:e] for e in tried if e < end)):
                     new = pseudonym(new, pattern.fullmatch(new))
                 return end, new
             tried.append(end)
@@ -371,12 +415,14 @@ class Pseudonyms:
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
 
 
-def pseudonymise(df: DataFrame, text_column: str = "text", key: bytes = DEFAULT_KEY, back: bool = False, spans: bool = True) -> DataFrame:
-    """The rows of ``df`` with the text replaced and, if asked for, a further column
-    ``pii_spans`` (which must be free): kind, start and length in characters, the same in the
+def pseudonymise(df: DataFrame, key: bytes, text_column: str = "text", back: bool = False, spans: bool = True) -> DataFrame:
+    """The rows of ``df`` with the text replaced and, if asked for, a last column
+    ``pii_spans`` (in place of one of that name): kind, start and length in characters, the same in the
     old and the new text.  ``back`` turns pseudonyms into the values they stand for.  One narrow pass."""
     from pyspark.sql.types import StructType, _parse_datatype_string
     prepare(df.sparkSession)
+    if spans:
+        df = df.select(*[df[_quoted(c)] for c in df.columns if c != "pii_spans"])
     others = [c for c in df.columns if c != text_column]
     rows = df.select(df[_quoted(text_column)].alias("text"), F.struct(*[df[_quoted(c)].alias(f"c{k}") for k, c in enumerate(others)] or [F.lit(0).alias("c")]).alias("rest"))
 

@@ -22,7 +22,7 @@ def _brute(spark, rows):
         kept[r.text] = r.doc_id
     texts = sorted((i, t) for t, i in kept.items())
     near = [max(texts[k][0] for k in g) for g in _expected([t for _, t in texts])]
-    names = pii.Pseudonyms()
+    names = pii.Pseudonyms(pii.session_key(spark))
     return {i: names.replace(t)[0] for i, t in texts if i in set(near)}
 
 
