@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from . import ragged
 from .common import _quoted, prepare
 
 #: Bytes of rows that a task holds at once, in step 1 and in a bucket of step 2.
@@ -97,6 +98,7 @@ def _local(batches: Iterator[pa.RecordBatch], text: int, names: list[str]) -> It
         held.clear()
         best.clear()
         count.clear()
+        ragged.give_back()
 
     size = 0
     for batch in batches:
@@ -186,6 +188,8 @@ def _settled(batches: Iterator[pa.RecordBatch], text: int, folder: str, level: i
         else:
             ids = pa.array([best[k][1] if best[k][0] else None for k in own], batch.schema.field("id").type)
             yield pa.RecordBatch.from_arrays([rows, pa.array(stays), ids, pa.array([count[k] for k in own]), batch.column("sha")], names)
+    table, held, batch = None, None, None
+    ragged.give_back()
 
 
 def _grace(batches: Iterator[pa.RecordBatch], text: int, keep: bool, names: list[str], limit: int) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ a Python object per word.
 """
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ LOWER[ord("A"): ord("Z") + 1] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: glibc's; other libraries give freed memory back on their own.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -51,7 +54,14 @@ def slices(batch: pa.RecordBatch, column: int | str, limit: int = BATCH_BYTES) -
     cuts = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # workers live on, with the next operator's tasks
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that is free again goes back to the system: workers live on, with the next operator's tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
