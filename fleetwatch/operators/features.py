@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from .ordered import ordered_rows
+from .ordered import BLK, COPY, POS, number_rows, ordered_rows, with_halo
 
 
 def add_rul(df: DataFrame, unit: str = "unit_id", cycle: str = "time_cycle") -> DataFrame:
@@ -104,3 +104,24 @@ def sequence_summaries(df: DataFrame, features: list, length: int = C.SEQUENCE_L
     return out.select(unit, F.col(cycle).alias("end_cycle"), "seq_start", "seq_len", label,
                       *[c for f in features for c in (f"{f}__first", f"{f}__last", f"{f}__mean",
                                                       f"{f}__min", f"{f}__max", f"{f}__slope")])
+
+
+def sequence_blocks(df: DataFrame, features: list, length: int = C.SEQUENCE_LENGTH, block: int = 128,
+                    unit: str = "unit_id", cycle: str = "time_cycle", label: str = "RUL") -> DataFrame:
+    """The windows of ``sequence_summaries`` as blocks of consecutive rows.
+
+    A block has up to ``block`` rows of its own and the ``length - 1`` rows before them, so a
+    reading is stored ``1 + (length - 1) / block`` times instead of once for each of its
+    ``length`` windows; every row from place ``length`` of the block on ends a window.  Groups are
+    bounded, so a hot unit is just many blocks.  Per block: its number, the cycles and labels of
+    its rows in order, and their readings one row after the other.  Blocks without a window are left out."""
+    if block < length:
+        raise ValueError("a block must be as long as a window")
+    numbered = number_rows(df, unit, [cycle], F.col(cycle).cast("double"), out=POS)
+    rows = with_halo(numbered, unit, POS, length - 1, block)
+    row = F.struct(F.col(POS).alias("p"), F.col(COPY).alias("copy"), F.col(cycle).cast("long").alias("c"), F.col(label).cast("double").alias("y"),
+                   F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    blocks = rows.groupBy(unit, F.col(BLK).cast("long").alias("block")).agg(F.sort_array(F.collect_list(row)).alias("r"))
+    own = F.exists("r", lambda r: r["copy"] == 0)
+    return (blocks.where(own & (F.size("r") >= length))
+            .select(unit, "block", F.col("r.c").alias("cycles"), F.col("r.y").alias("labels"), F.flatten("r.x").alias("readings")))

@@ -26,18 +26,19 @@ def fleet_kpis(df: DataFrame) -> DataFrame:
         F.count_if(D.is_critical("recommended_action")).alias("critical_cases"))
 
 
-def value_counts(df: DataFrame, value, name: str = "value") -> DataFrame:
-    """Frequency of each non-null value (pandas ``value_counts``)."""
+def value_counts(df: DataFrame, value, name: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+    """Frequency of each non-null value (pandas ``value_counts``), of all rows or for each ``by``
+    (the dashboard's selected unit, for all units at once)."""
     v = F.col(value) if isinstance(value, str) else value
-    return (df.select(v.alias(name)).where(F.col(name).isNotNull())
-            .groupBy(name).agg(F.count(F.lit(1)).alias("n")))
+    return (df.select(*by, v.alias(name)).where(F.col(name).isNotNull())
+            .groupBy(*by, name).agg(F.count(F.lit(1)).alias("n")))
 
 
-def risk_histogram(df: DataFrame, risk: str = "risk_score", bins: int = C.RISK_HISTOGRAM_BINS) -> DataFrame:
-    """Fixed ``bins`` equal bins on [0, 1]; the last bin is closed."""
+def risk_histogram(df: DataFrame, risk: str = "risk_score", bins: int = C.RISK_HISTOGRAM_BINS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Fixed ``bins`` equal bins on [0, 1], of all rows or for each ``by``; the last bin is closed."""
     b = F.least(F.floor(F.col(risk) * bins), F.lit(bins - 1)).cast("long")
-    return (df.where(F.col(risk).isNotNull()).select(b.alias("bin"))
-            .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return (df.where(F.col(risk).isNotNull()).select(*by, b.alias("bin"))
+            .groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
             .withColumn("bin_low", F.col("bin") / F.lit(float(bins)))
             .withColumn("bin_high", (F.col("bin") + 1) / F.lit(float(bins))))
 

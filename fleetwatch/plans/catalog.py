@@ -198,6 +198,26 @@ query("risk_histogram", W("SELECT bin, count(*) AS n, bin / CAST(30 AS DOUBLE) A
                           "AS BIGINT) AS bin FROM decided WHERE risk_score IS NOT NULL) b GROUP BY bin", DEC))(
     lambda spark, sf: R.risk_histogram(decided(spark, sf)))
 
+
+def _unit_vc(name: str, sql_value: str, value):
+    """The counts of the dashboard's unit pages, for every unit."""
+    sql = W(f"SELECT unit_id, value, count(*) AS n FROM (SELECT unit_id, {sql_value} AS value FROM decided) v WHERE value IS NOT NULL "
+            "GROUP BY unit_id, value", DEC)
+    query(name, sql)(lambda spark, sf: R.value_counts(decided(spark, sf), value(), by=("unit_id",)))
+
+
+_unit_vc("unit_action_counts", "recommended_action", lambda: F.col("recommended_action"))
+_unit_vc("unit_flag_counts", "CASE WHEN anomaly_flag = 1 THEN 'Normal' WHEN anomaly_flag = -1 THEN 'Anomaly' END",
+         lambda: D.flag_label("anomaly_flag"))
+_unit_vc("unit_ae_flag_counts", "CASE WHEN autoencoder_anomaly_flag = 0 THEN 'Normal' WHEN autoencoder_anomaly_flag = 1 THEN 'Anomaly' END",
+         lambda: D.ae_flag_label("autoencoder_anomaly_flag"))
+_unit_vc("unit_confidence_counts", "confidence", lambda: F.col("confidence"))
+_unit_vc("unit_model_agreement", O.agreement_sql(), lambda: D.agreement("anomaly_flag", "autoencoder_anomaly_flag"))
+query("unit_risk_histogram", W("SELECT unit_id, bin, count(*) AS n, bin / CAST(30 AS DOUBLE) AS bin_low, "
+                               "(bin + 1) / CAST(30 AS DOUBLE) AS bin_high FROM (SELECT unit_id, CAST(least(floor(risk_score * 30), 29) "
+                               "AS BIGINT) AS bin FROM decided WHERE risk_score IS NOT NULL) b GROUP BY unit_id, bin", DEC))(
+    lambda spark, sf: R.risk_histogram(decided(spark, sf), by=("unit_id",)))
+
 query("recent_anomalies", W("SELECT * FROM (SELECT unit_id, time_cycle, risk_score, confidence, recommended_action, "
                             "justification, row_number() OVER (PARTITION BY unit_id ORDER BY time_cycle DESC) "
                             "AS rank_from_latest FROM decided WHERE anomaly_flag = -1) a WHERE rank_from_latest <= 10", DEC))(
@@ -229,6 +249,10 @@ query("dashboard_sample", W("SELECT unit_id, time_cycle, RUL, predicted_RUL FROM
                             "md5(concat_ws(':', CAST(unit_id AS VARCHAR), CAST(time_cycle AS VARCHAR), '42')) LIMIT 5000",
                             "scored"))(
     lambda spark, sf: R.hash_sample(T.scored(spark, sf)).select("unit_id", "time_cycle", "RUL", "predicted_RUL"))
+query("sample_axis_max", W("SELECT greatest(max(CAST(RUL AS DOUBLE)), max(predicted_RUL)) AS axis_max FROM (SELECT RUL, predicted_RUL "
+                           "FROM scored ORDER BY md5(concat_ws(':', CAST(unit_id AS VARCHAR), CAST(time_cycle AS VARCHAR), '42')) "
+                           "LIMIT 5000) s", "scored"))(
+    lambda spark, sf: R.axis_max(R.hash_sample(T.scored(spark, sf))))
 query("sample_stream", W("SELECT unit_id, time_cycle, sensor_2, RUL, anomaly_flag, recommended_action FROM decided "
                          "ORDER BY unit_id, time_cycle LIMIT 200", DEC))(
     lambda spark, sf: R.head_rows(decided(spark, sf)).select("unit_id", "time_cycle", "sensor_2", "RUL", "anomaly_flag",

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.numeric import round_exact
 from ..operators import evaluate as E
+from ..operators import sketches as K
+from ..operators.features import add_rul, add_telemetry_features
+from ..session import materialize
 from ..sources import files as FS
 from ..sources import tables as T
 from ..streaming.pipeline import scratch
@@ -63,3 +66,32 @@ def metric_text_roundtrip(spark, sf):
     path = scratch(spark, "metrics-text")
     FS.write_metric_text(E.metrics_long(m, "RF"), path, "RUL Model Evaluation on Test Data")
     return FS.read_metric_text(spark, path, "RUL")
+
+
+@query("bucketed_features", W("SELECT unit_id, time_cycle, sensor_2, max(time_cycle) OVER (PARTITION BY unit_id) - time_cycle AS RUL, "
+                              "avg(sensor_2) OVER w AS sensor_2_rolling_mean, "
+                              "coalesce(sensor_2 - lag(sensor_2) OVER (PARTITION BY unit_id ORDER BY time_cycle), CAST(0 AS DOUBLE)) AS sensor_2_diff "
+                              "FROM telemetry WINDOW w AS (PARTITION BY unit_id ORDER BY time_cycle ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
+                              "telemetry"))
+def bucketed_features(spark, sf):
+    """Telemetry stored by unit; labels and features from it without an exchange."""
+    stored = FS.write_bucketed(T.telemetry(spark, sf), scratch(spark, "bucketed"), buckets=16)
+    return add_telemetry_features(add_rul(stored)).select("unit_id", "time_cycle", "sensor_2", "RUL", "sensor_2_rolling_mean", "sensor_2_diff")
+
+
+SKETCHED = [0.05, 0.5, 0.9, 0.95, 0.99]
+
+
+@query("latency_sketches", W("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, q.quantile, count(latency_s) AS n, TRUE AS within_bound "
+                             "FROM scored CROSS JOIN (VALUES " + ", ".join(f"(CAST({q} AS DOUBLE))" for q in SKETCHED) + ") q(quantile) "
+                             "GROUP BY 1, 2 UNION ALL SELECT 'all', q.quantile, count(latency_s), TRUE FROM scored CROSS JOIN (VALUES "
+                             + ", ".join(f"(CAST({q} AS DOUBLE))" for q in SKETCHED) + ") q(quantile) GROUP BY 2", "scored"))
+def latency_sketches(spark, sf):
+    """Stored sketches per day and unit group, merged to days and to the whole, and whether
+    the rank of each estimate is within the stated error (over all rows)."""
+    rows = T.scored(spark, sf).select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.pmod("unit_id", F.lit(8)).alias("unit_group"), "latency_s")
+    rows = materialize(rows, "latencies")
+    stored = materialize(K.sketches(rows, "latency_s", ["day", "unit_group"]), "latency-sketches")
+    by_day = K.rank_errors(rows, "latency_s", K.quantiles(K.merged(stored, ["day"]).drop("n"), SKETCHED), ["day"])
+    whole = K.rank_errors(rows, "latency_s", K.quantiles(K.merged(stored, []).drop("n"), SKETCHED), []).select(F.lit("all").alias("day"), "*")
+    return by_day.unionByName(whole).select("day", "quantile", "n", (F.col("rank_error") <= K.RANK_ERROR).alias("within_bound"))

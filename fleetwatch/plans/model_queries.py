@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import decisions as D
 from ..operators import evaluate as E
-from ..operators.features import apply_scaler, ground_truth, scaler_stats
-from ..operators.models import iforest, recon, rul
+from ..operators.features import add_rul, apply_scaler, ground_truth, scaler_stats
+from ..operators.features import sequence_blocks as blocks_of
+from ..operators.models import autoencoder, iforest, lstm, recon, rul
 from ..session import materialize
 from ..sources import tables as T
-from .catalog import WIDE_FEATURES, query
+from .catalog import WIDE_FEATURES, W, query
 
 
 def scaled_wide(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,13 +59,100 @@ def rul_forest(spark, sf):
 
 @query("rul_sequence")
 def rul_sequence(spark, sf):
+    """Window summaries and gradient-boosted trees."""
     _, metrics, _ = rul.sequence_run(T.wide_labeled(spark, sf), C.SELECTED_SENSORS)
+    return E.metrics_long(metrics, "GBT")
+
+
+#: Passes over the training windows in the registered queries.
+LSTM_EPOCHS = 3
+
+
+def _lstm(spark, sf):
+    return lstm.run(scaled_wide(spark, sf), C.SELECTED_SENSORS, epochs=LSTM_EPOCHS)
+
+
+@query("rul_lstm")
+def rul_lstm(spark, sf):
+    """Recurrent network over windows of 30 cycles, on the test units."""
+    _, metrics, _ = _lstm(spark, sf)
     return E.metrics_long(metrics, "LSTM")
 
 
 @query("model_comparison_fitted")
 def model_comparison_fitted(spark, sf):
-    return E.model_comparison(rul_forest(spark, sf).unionByName(rul_sequence(spark, sf)))
+    return E.model_comparison(rul_forest(spark, sf).unionByName(rul_lstm(spark, sf)))
+
+
+@query("sequence_blocks", W("SELECT unit_id, (time_cycle - 1) // 32 AS block, count(*) FILTER (WHERE time_cycle >= 30) AS n_windows, "
+                            "CAST(sum(RUL) FILTER (WHERE time_cycle >= 30) AS BIGINT) AS label_sum, max(time_cycle) AS last_cycle, "
+                            "count(*) + CASE WHEN (min(time_cycle) - 1) // 32 > 0 THEN 29 ELSE 0 END AS n_rows FROM "
+                            "(SELECT *, max(time_cycle) OVER (PARTITION BY unit_id) - time_cycle AS RUL FROM telemetry) t "
+                            "GROUP BY unit_id, (time_cycle - 1) // 32 HAVING count(*) FILTER (WHERE time_cycle >= 30) > 0", "telemetry"))
+def sequence_blocks(spark, sf):
+    """The blocks that hold all 30-cycle windows, 32 rows and their 29 predecessors each."""
+    b = blocks_of(add_rul(T.telemetry(spark, sf)), ["sensor_2"], block=32)
+    ends = F.slice("labels", 30, F.size("labels"))
+    return b.select("unit_id", "block", F.size(ends).cast("long").alias("n_windows"),
+                    F.aggregate(ends, F.lit(0.0), lambda a, y: a + y).cast("long").alias("label_sum"),
+                    F.array_max("cycles").alias("last_cycle"), F.size("cycles").cast("long").alias("n_rows"))
+
+
+# What must hold of fitted models whatever they have learned; SQL states it without the model.
+
+_WIDE = "FROM (SELECT *, max(time_cycle) OVER (PARTITION BY unit_id) - time_cycle AS RUL FROM telemetry_wide) t"
+_FACTS = "count(*) AS n_rows, count(DISTINCT unit_id) AS units, count(DISTINCT unit_id * 1000000 + time_cycle) AS n_keys"
+
+
+def _facts(df):
+    key = F.col("unit_id") * 1_000_000 + F.col("time_cycle")
+    return [F.count(F.lit(1)).alias("n_rows"), F.count_distinct("unit_id").alias("units"), F.count_distinct(key).alias("n_keys")]
+
+
+@query("iforest_facts", W(f"SELECT {_FACTS}, TRUE AS share_ok, TRUE AS flags_by_sign {_WIDE}", "telemetry_wide"))
+def iforest_facts(spark, sf):
+    """Every row scored once, about 5 % flagged, and those are the negative scores."""
+    s = iforest_scores(spark, sf)
+    low = F.col("anomaly_score") < 0
+    share = F.avg((F.col("anomaly_flag") == -1).cast("double"))
+    return s.agg(*_facts(s), (F.abs(share - 0.05) < 0.005).alias("share_ok"), F.every((F.col("anomaly_flag") == -1) == low).alias("flags_by_sign"))
+
+
+_HEALTHY = ("count(*) FILTER (WHERE RUL > 50) AS healthy, "
+            "count(*) FILTER (WHERE RUL > 50) - 1 - 95 * (count(*) FILTER (WHERE RUL > 50) - 1) // 100 AS healthy_flagged")
+
+
+def _error_facts(s):
+    healthy = F.col("RUL") > C.AUTOENCODER_RUL_THRESHOLD
+    flagged = F.count_if(healthy & (F.col("autoencoder_anomaly_flag") == 1))
+    return s.agg(*_facts(s), F.count_if(healthy).alias("healthy"), flagged.alias("healthy_flagged"),
+                 F.every(F.col("reconstruction_error") >= 0).alias("errors_ok"))
+
+
+@query("recon_facts", W(f"SELECT {_FACTS}, {_HEALTHY}, TRUE AS errors_ok {_WIDE}", "telemetry_wide"))
+def recon_facts(spark, sf):
+    """Every row has an error, and as many healthy rows are flagged as lie above their 95th percentile."""
+    return _error_facts(recon_scores(spark, sf))
+
+
+@query("autoencoder_facts", W(f"SELECT {_FACTS}, {_HEALTHY}, TRUE AS errors_ok {_WIDE}", "telemetry_wide"))
+def autoencoder_facts(spark, sf):
+    return _error_facts(autoencoder_scores(spark, sf))
+
+
+_RESULT = f"SELECT {_FACTS}, count(*) FILTER (WHERE RUL <= 15) AS true_anomalies, 0 AS decision_mismatches {_WIDE}"
+
+
+def _result_facts(s):
+    """Decisions follow from the scores in the table: worked out again from them."""
+    again = D.with_decision(s.select("unit_id", "time_cycle", "true_anomaly", "anomaly_flag", "anomaly_score", "predicted_RUL",
+                                     F.struct("recommended_action", "risk_score", "confidence", "justification").alias("told")))
+    same = F.struct("recommended_action", "risk_score", "confidence", "justification").eqNullSafe(F.col("told"))
+    return again.agg(*_facts(s), F.sum("true_anomaly").alias("true_anomalies"), F.count_if(~same).alias("decision_mismatches"))
+
+
+query("model_results_facts", W(_RESULT, "telemetry_wide"))(lambda spark, sf: _result_facts(model_results(spark, sf)))
+query("pipeline_facts", W(_RESULT, "telemetry_wide"))(lambda spark, sf: _result_facts(pipeline_results(spark, sf)))
 
 
 @query("model_results")
@@ -104,9 +192,11 @@ def stream_model_scoring(spark, sf):
     return S.read_sink(spark, sinks["scored"]).drop("timestamp")
 
 
+#: Passes over the healthy rows in the registered query; the batch job takes the usual 50.
+AUTOENCODER_EPOCHS = 10
+
+
 @query("autoencoder_scores")
 def autoencoder_scores(spark, sf):
     """Data-parallel dense autoencoder (healthy rows, early stopping) -> error and flag."""
-    from ..operators.models import autoencoder
-    s = autoencoder.detect(scaled_wide(spark, sf), WIDE_FEATURES)
-    return s.select("unit_id", "time_cycle", "RUL", "reconstruction_error", "autoencoder_anomaly_flag")
+    return autoencoder.detect(scaled_wide(spark, sf), WIDE_FEATURES, keep=KEYS, epochs=AUTOENCODER_EPOCHS)

@@ -150,9 +150,8 @@ def stream_latency_quantiles(spark, sf):
 @query("stream_failures", W("SELECT count(*) AS requests_total, count(*) FILTER (WHERE event_id % 50 = 0) AS failures_total, "
                             "count(*) FILTER (WHERE event_id % 50 <> 0 AND anomaly_flag = -1) AS anomalies_total FROM decided", DEC))
 def stream_failures(spark, sf):
-    """Requests, failures and anomalies from the sinks of the scoring stream."""
-    sinks = _published(spark, sf)
-    return R.counters(S.read_sink(spark, sinks["scored"]), S.read_sink(spark, sinks["rejects"]))
+    """Requests, failures and anomalies, observed while the scoring stream wrote its sinks."""
+    return S.read_counters(spark, _published(spark, sf)["counts"])
 
 
 @query("stream_counters", W("SELECT count(*) AS requests_total, "

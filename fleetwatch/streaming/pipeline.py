@@ -23,7 +23,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -204,19 +204,30 @@ def message_stream(spark: SparkSession, path: str, files_per_trigger: int = 4) -
     return PL.decode(raw, message_schema())
 
 
+COUNTERS = "requests_total long, failures_total long, anomalies_total long"
+
+
 def run_scoring(spark: SparkSession, path: str) -> dict:
     """Decisions for every valid message; anomalies also to an alert sink; invalid
-    messages to a reject sink.  One persisted micro-batch feeds the three writes."""
-    sinks = {k: scratch(spark, f"stream-{k}") for k in ("scored", "alerts", "rejects")}
+    messages to a reject sink.  One persisted micro-batch feeds the three writes, and the counts
+    are observed on their way there and kept as one row a micro-batch (``counts``; a replay
+    overwrites it), so counters never read the sinks again."""
+    sinks = {k: scratch(spark, f"stream-{k}") for k in ("scored", "alerts", "rejects", "counts")}
 
     def write(batch: DataFrame, batch_id: int):
         batch.persist()
         try:
+            good, bad = Observation(), Observation()
             ok = D.with_decision(batch.where("valid").drop("valid"))
-            ok.write.mode("overwrite").parquet(f"{sinks['scored']}/batch_id={batch_id}")
-            ok.where(F.col("anomaly_flag") == -1).write.mode("overwrite").parquet(
+            ok = ok.observe(good, F.count(F.lit(1)).alias("n"), F.count_if(F.col("anomaly_flag") == -1).alias("anomalies"))
+            out = f"{sinks['scored']}/batch_id={batch_id}"
+            ok.write.mode("overwrite").parquet(out)
+            spark.read.schema(ok.schema).parquet(out).where(F.col("anomaly_flag") == -1).write.mode("overwrite").parquet(
                 f"{sinks['alerts']}/batch_id={batch_id}")
-            batch.where(~F.col("valid")).write.mode("overwrite").parquet(f"{sinks['rejects']}/batch_id={batch_id}")
+            rejects = batch.where(~F.col("valid")).observe(bad, F.count(F.lit(1)).alias("n"))
+            rejects.write.mode("overwrite").parquet(f"{sinks['rejects']}/batch_id={batch_id}")
+            row = (good.get["n"] + bad.get["n"], bad.get["n"], good.get["anomalies"])
+            spark.createDataFrame([row], COUNTERS).coalesce(1).write.mode("overwrite").parquet(f"{sinks['counts']}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
@@ -226,6 +237,12 @@ def run_scoring(spark: SparkSession, path: str) -> dict:
     return sinks
 
 
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    """Totals of all micro-batches: a row a micro-batch is read."""
+    names = [f.split()[0] for f in COUNTERS.split(", ")]
+    return spark.read.parquet(path).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
+
 def run_rates(spark: SparkSession, scored_stream: DataFrame, delay: str = "1 hour", close=None) -> str:
     """Counts per sliding window (see ``event_time.window_sums``).  Read with ``read_rates``."""
     real = F.coalesce(F.col("event_type") != HEARTBEAT, F.lit(True))
