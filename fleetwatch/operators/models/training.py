@@ -1,16 +1,21 @@
-"""Synchronous data-parallel training of small networks.
+"""Data-parallel training of small networks.
 
 The training rows are dealt to as many buckets as there are tasks, in a random order, and
-written once; every epoch is a job that reads each bucket as a stream of mini-batches.  The tasks of an
-epoch run together (barrier execution): at each step every task works out the gradient of its own
-mini-batch, all exchange them with ``allGather``, and all take the same Adam step on the
-gradient of all mini-batches together.  So the result is that of one process on the joined
-mini-batches; there is no averaging of models that have gone different ways.
-
-The exchange is ``tasks`` messages of the size of the model per step and task, so there are at
-most ``MAX_TASKS``; up to that they grow with the rows.  A task holds ``BUFFER`` items and the model.
-Weights and optimiser state come back after each epoch: a lost executor costs the epoch at hand.  Barrier
-execution needs a slot for every task, and a cluster without dynamic allocation.
+written once; every epoch is a job that reads each bucket as a stream of mini-batches.
+
+* ``Schedule(exchange="epoch")``, the default: every task takes its own Adam steps from the
+  common state, and weights and moments are averaged by rows after the epoch.
+* ``Schedule(exchange="step")``: the tasks of an epoch run together (barrier execution); at each
+  step all exchange the gradients of their mini-batches with ``allGather`` and take the
+  same step on all of them together, which is what one process does on the joined
+  mini-batches.  It needs a slot for every task and a cluster without dynamic allocation, and
+  each exchange takes a second, as Spark's barrier looks for its answer once a second: for small
+  tables and few, large steps.
+
+With one task both are the same.  There are at most ``MAX_TASKS`` tasks, as averaging more
+models (or exchanging more gradients) helps no further; up to that they grow with the rows.  A task
+holds ``BUFFER`` items and the model; states of some 100 KB a task come back after each
+epoch, so a lost executor costs the epoch at hand.
 
 A holdout of ``validation_flag`` gives the validation loss of the weights at the start of each
 epoch, in the same pass; training stops after ``patience`` epochs without a better one.
@@ -27,7 +32,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark import BarrierTaskContext
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +85,7 @@ class Schedule:
     batch_size: int = 256
     patience: int = 5
     seed: int = RANDOM_STATE
+    exchange: str = "epoch"
     adam: Adam = field(default_factory=Adam)
 
 
@@ -129,7 +135,8 @@ def _heard(messages: list[str]) -> tuple[int, np.ndarray | None]:
 
 
 def _epoch(batches: Iterator[pa.RecordBatch], network: Network, plan: Schedule, epoch: int, state: np.ndarray) -> Iterator[pa.RecordBatch]:
-    context = BarrierTaskContext.get()
+    together = plan.exchange == "step"
+    context = BarrierTaskContext.get() if together else TaskContext.get()
     task, size = context.partitionId(), (len(state) - 1) // 3
     before, seen, loss, n_val = state[:size].copy(), 0, 0.0, 0
     rng = np.random.default_rng([plan.seed, epoch, task])
@@ -147,14 +154,15 @@ def _epoch(batches: Iterator[pa.RecordBatch], network: Network, plan: Schedule,
     own = mini_batches(training(), plan.batch_size, rng)
     while True:
         items = next(own, None)
-        n = 0 if items is None else len(items[0])
+        n = total = 0 if items is None else len(items[0])
         g = network.gradient(state[:size], items, rng) if n else None
-        total, g = _heard(context.allGather(_told(n, g)))
-        if not total:  # every task has come to its end
+        if together:
+            total, g = _heard(context.allGather(_told(n, g)))
+        if not total:  # this task, or every task, has come to its end
             break
         seen += n
         state = plan.adam.step(state, g / total)
-    told = state.tolist() if task == 0 else None
+    told = None if together and task else state.tolist()
     yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([seen], pa.int64()), pa.array([loss]), pa.array([n_val], pa.int64()), pa.array([told], pa.list_(pa.float64()))], ["task", "n", "loss", "n_val", "state"])
 
 
@@ -191,7 +199,7 @@ def train(rows: DataFrame, key: list[str], network: Network, plan: Schedule, tas
     best, least, waited, history = state[:size], math.inf, 0, []
     with _dealt(rows, key, tasks or tasks_for(spark, rows.count()), plan.seed) as table:
         for epoch in range(plan.epochs + 1):  # the last one measures the weights of the one before it
-            told = table.mapInArrow(lambda b, epoch=epoch, state=state: _epoch(b, network, plan, epoch, state), _OUT, barrier=True).collect()
+            told = table.mapInArrow(lambda b, epoch=epoch, state=state: _epoch(b, network, plan, epoch, state), _OUT, barrier=plan.exchange == "step").collect()  # a row a task
             n_val = sum(r.n_val for r in told)
             history.append(sum(r.loss for r in told) / n_val if n_val else math.inf)
             if history[-1] < least or not n_val:
@@ -200,5 +208,6 @@ def train(rows: DataFrame, key: list[str], network: Network, plan: Schedule, tas
                 waited += 1
             if waited >= plan.patience or not sum(r.n for r in told):
                 break
-            state = np.array(next(r.state for r in told if r.task == 0))
+            ran = [r for r in sorted(told, key=lambda r: r.task) if r.state is not None and (r.n or plan.exchange == "step")]
+            state = np.average([r.state for r in ran], axis=0, weights=[max(r.n, 1) for r in ran])
     return Trained(best, history)
