@@ -5,10 +5,13 @@ batch SQL oracle.
 """
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import reports as R
+from ..session import materialize
 from ..sources import tables as T
+from ..sources import topic
 from ..streaming import pipeline as S
 from ..streaming.live import LiveStore
 from .catalog import DEC, ORACLE, W, decided, query
@@ -112,6 +115,22 @@ def stream_sink_counts(spark, sf):
     return counts[0].crossJoin(counts[1]).crossJoin(counts[2])
 
 
+@query("stream_topic", W("SELECT unit_id, time_cycle, sensor_2, TRUE AS in_order FROM telemetry", "telemetry"))
+def stream_topic(spark, sf):
+    """Telemetry published to a topic in two goes, read by a query that is stopped in between: every
+    message once, and those of a unit in the order of their cycles."""
+    t = materialize(T.telemetry(spark, sf), "telemetry")
+    body = F.struct("unit_id", "time_cycle", "sensor_2")
+    messages = t.select(F.col("unit_id").cast("string").alias("key"), F.to_json(body, {"ignoreNullFields": "false"}).alias("value"), "time_cycle")
+    path, sink, ck = (S.scratch(spark, n) for n in ("topic", "topic-read", "ckpt-topic"))
+    for early in (True, False):
+        topic.publish(messages.where((F.col("time_cycle") <= 30) == early), path, ["time_cycle"])
+        S.drain(topic.stream(spark, path, group="telemetry"), sink, ck)
+    read = S.read_sink(spark, sink).withColumn("m", F.from_json("value", "unit_id long, time_cycle long, sensor_2 double"))
+    before = F.lag("m.time_cycle").over(Window.partitionBy("partition", "m.unit_id").orderBy("offset"))
+    return read.select("m.*", F.coalesce(before < F.col("m.time_cycle"), F.lit(True)).alias("in_order"))
+
+
 def _flagged(stream):
     return stream.withColumn("anomaly_flag", F.when(F.lit(0.1) - F.col("sensor_2") / F.lit(500.0) < 0, F.lit(-1))
                              .otherwise(F.lit(1)))
