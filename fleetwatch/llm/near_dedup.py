@@ -285,9 +285,13 @@ def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     class_size."""
     sketched = _sketched(df, id_column, text_column, carry=False)
     found = _written_classes(sketched, "c0")
-    rows = sketched.select("id", "fa", "fb").join(found.select("fa", "fb", F.col("label").alias("class_id")), ["fa", "fb"])
-    sizes = rows.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return rows.join(sizes, "class_id").select(F.col("id").alias(id_column), "class_id", "class_size")
+    # counted by text first: a class of many texts meets its size once a text, and both sides of that join
+    # are written tables, so Spark splits the part of a class with very many
+    rows_of = sketched.groupBy("fa", "fb").agg(F.count("*").alias("n_rows"))
+    texts = materialize(found.select("fa", "fb", "label").join(rows_of, ["fa", "fb"]), "text-sizes")
+    sizes = materialize(texts.groupBy("label").agg(F.sum("n_rows").alias("class_size")), "class-sizes")
+    sized = materialize(texts.join(sizes, "label").select("fa", "fb", F.col("label").alias("class_id"), "class_size"), "sized-texts")
+    return sketched.select("id", "fa", "fb").join(sized, ["fa", "fb"]).select(F.col("id").alias(id_column), "class_id", "class_size")
 
 
 def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

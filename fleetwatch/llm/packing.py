@@ -69,7 +69,7 @@ class WordIds:
     #: The cut of a word before the merges.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
     #: Words of a generation (some 40 bytes each).
-    LIMIT = 1 << 19
+    LIMIT = 1 << 18
     #: Parts of words of a generation; a Python object each.
     PARTS_LIMIT = 1 << 16
 
