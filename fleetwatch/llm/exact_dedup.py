@@ -13,7 +13,8 @@
 Null text counts as empty.  Of equal texts the row with the largest id stays; a null
 id is smaller than any other, and among rows with the same id the last row read
 stays, so that exactly one row per distinct text is kept.  Repeated rows are copies;
-an empty table gives an empty table; columns of any name are carried in one struct.
+an empty table gives an empty table; columns of any name are carried in one struct.  A text may
+be as long as a row may be; a task holds a few of the longest ones.
 """
 from __future__ import annotations
 

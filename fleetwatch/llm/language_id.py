@@ -11,7 +11,9 @@ the filling of its bit slice leads to expect, and the largest count decides.
 Null texts, empty texts and texts without a letter are ``und`` with score 0, and so is
 every text if nothing could be learned (an empty table, no labels).  Ties go to the
 language with more training texts, then to the first by name.  Rows with a null label
-are not learned from, but predicted; repeated rows are predicted each.
+are not learned from, but predicted; repeated rows are predicted each.  Rows with a null id are all in
+the sample or all out of it, as it is drawn by id.  Columns that a prediction carries may have any
+name.  A text is worked on whole, however long: a task needs some fifty times its bytes for it.
 """
 from __future__ import annotations
 

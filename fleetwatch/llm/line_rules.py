@@ -12,7 +12,7 @@ copies are distinct texts: the long lines shared by more than ``min_docs`` of th
 
 Null and empty texts have no words and fail the base rules.  A null host is a host of
 its own.  Repeated rows get the same verdict each; an empty table gives an empty
-table; columns of any name are carried in one struct.
+table; columns of any name are carried in one struct.  A text is worked on whole, however long: a task needs some fifty times its bytes for it.
 """
 from __future__ import annotations
 

@@ -21,7 +21,7 @@ million agree in some sketch.)
 Words are ``[^\\x20\\x09-\\x0D]+`` as they stand.  A text of one to four words has itself as its
 only shingle; null, empty and blank texts have no words and are one class.  Repeated
 rows are copies; an empty table gives an empty table; columns of any name are
-carried in one struct.
+carried in one struct.  A text is worked on whole, however long: a task needs some fifty times its bytes for it.
 """
 from __future__ import annotations
 

@@ -24,7 +24,8 @@ starts with its own context and ends with a token that is counted as any other.
 
 Null and empty texts are just the end token.  Without training texts every token is
 unknown and has probability 1.  Rows with a null id are in the fold of the empty text;
-repeated rows are learned from and scored each; an empty table gives an empty table.
+repeated rows are learned from and scored each; an empty table gives an empty table.  Only the
+named columns are read, whatever the others' names.  A text is worked on whole, however long: a task needs some fifty times its bytes for it.
 """
 from __future__ import annotations
 

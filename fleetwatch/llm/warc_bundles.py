@@ -11,11 +11,13 @@ Of records with equal payloads (by SHA-256) of at least ``min_revisit`` bytes, t
 the smallest page id is a response with the payload and the others are revisits without;
 a null id is larger than any other, and among rows with the same id the first by url
 is the response.  Null payloads count as empty; null urls leave the header out; repeated
-rows have a record each; an empty table gives an empty table.
+rows have a record each, with an identifier of its own; an empty table gives an empty table.  Only the named
+columns are read, whatever the others' names; a payload may be as long as a row, and has a frame of its own then.
 """
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 import uuid
@@ -175,7 +177,9 @@ def write(df: DataFrame, id_column: str = "page_id", url_column: str = "url", pa
             for k in range(0, batch.num_rows, 256):
                 for row in batch.slice(k, 256).to_pylist():
                     seen += 1
-                    writer.add(*record(row["id"], row["url"], row["payload"], row["digest"], row["first"], row["revisit"], base + seen if row["revisit"] else 0))
+                    # only responses that revisits may refer to have an identifier that follows from their id
+                    own = row["revisit"] or len(row["payload"]) < min_revisit
+                    writer.add(*record(row["id"], row["url"], row["payload"], row["digest"], row["first"], row["revisit"], base + seen if own else 0))
                     if writer.bytes >= BUNDLE_BYTES:
                         yield bundle()
                         writer, number = BundleWriter(), number + 1
@@ -197,13 +201,16 @@ def record_index(bundles: DataFrame) -> DataFrame:
 def fetch(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
     """(record_id, record) of the rows of ``wanted`` (record_id, bundle_id, frame, offset,
     length, as in the index), unpacking only the frames they lie in."""
-    asked = wanted.groupBy("bundle_id", "frame").agg(F.collect_list(F.struct("record_id", "offset", "length")).alias("asked"))
+    asked = wanted.groupBy("bundle_id").agg(F.sort_array(F.collect_list(F.struct("frame", "record_id", "offset", "length"))).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                plain = frame(row["data"], seek_table(row["data"])[row["frame"]])
-                yield pa.RecordBatch.from_arrays([pa.array([a["record_id"] for a in row["asked"]], pa.string()), pa.array([plain[a["offset"]: a["offset"] + a["length"]] for a in row["asked"]], pa.binary())], ["record_id", "record"])
+            for k in range(batch.num_rows):  # a bundle at a time, which goes there once
+                row = batch.slice(k, 1).to_pylist()[0]
+                places = seek_table(row["data"])
+                for number, some in itertools.groupby(row["asked"], key=lambda a: a["frame"]):
+                    plain, some = frame(row["data"], places[number]), list(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([a["record_id"] for a in some], pa.string()), pa.array([plain[a["offset"]: a["offset"] + a["length"]] for a in some], pa.binary())], ["record_id", "record"])
 
     return asked.join(bundles.select("bundle_id", "data"), "bundle_id").mapInArrow(run, "record_id string, record binary")
 

@@ -66,3 +66,15 @@ def test_seek_table_and_frames():
 
 def test_empty_table(docs):
     assert warc_bundles.read(warc_bundles.write(docs([], SCHEMA))).count() == 0
+
+
+def test_every_record_has_an_identifier_of_its_own(docs):
+    """Repeated rows with short payloads, too; each is fetched by its own."""
+    rows = [(1, "u", "short"), (1, "u", "short"), (1, "v", "short"), (2, "u", None), (2, "u", None), (None, None, ""), (3, "u", "long " * 50), (3, "u", "long " * 50), (4, "w", "long " * 50)]
+    bundles = warc_bundles.write(docs(rows, "page_id long, url string, html string").repartition(3))
+    index = warc_bundles.record_index(bundles)
+    assert index.count() == index.select("record_id").distinct().count() == len(rows)
+    got = {r.record_id: bytes(r.record) for r in warc_bundles.fetch(bundles, index).collect()}
+    assert len(got) == len(rows) and all(k.encode() in v for k, v in got.items())
+    back = {r.record_id: r.payload for r in warc_bundles.read(bundles).collect()}
+    assert back.keys() == got.keys()
