@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_exact
-from ..session import materialize
+from ..session import materialize, recorded, release
 
 
 def regression_metrics(df: DataFrame, y: str = "RUL", yhat: str = "predicted_RUL") -> DataFrame:
@@ -155,16 +155,27 @@ def average_precision(df: DataFrame, y: str = "true_anomaly", score: str = "reco
 BRACKET = 0.002
 
 
-def percentile_threshold(df: DataFrame, col: str, q: float, alias: str = "threshold") -> DataFrame:
-    """Exact linear-interpolated percentile (numpy default), distributed.
+def percentile_threshold(df: DataFrame, col: str, q: float, alias: str = "threshold", written: bool = False) -> DataFrame:
+    """One row: the exact linear-interpolated percentile (numpy default), distributed.
 
-    The values are written once.  Approximate quantiles bracket the wanted rank; the
+    The values are written once, unless ``df`` is a written table (``written``), of which one
+    column is read.  Approximate quantiles bracket the wanted rank; the
     values below are counted, and only the distinct values inside are ranked (all of them
-    if the bracket misses, which its counts tell).  NaN counts as no value."""
-    v = materialize(df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(F.col(col).cast("double").alias("v")), "values")
+    if the bracket misses, which its counts tell).  NaN counts as no value.  What is
+    written on the way is deleted."""
+    spark = df.sparkSession
+    with recorded() as tables:
+        value = _percentile(df, col, q, written)
+    release(spark, tables)
+    return spark.range(1).select(F.lit(value).cast("double").alias(alias))
+
+
+def _percentile(df: DataFrame, col: str, q: float, written: bool) -> float | None:
+    v = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(F.col(col).cast("double").alias("v"))
+    v = v if written else materialize(v, "values")
     n, marks = v.agg(F.count("v"), F.percentile_approx("v", [max(q - BRACKET, 0.0), min(q + BRACKET, 1.0)], 10000)).first()
     if not n:
-        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias(alias))
+        return None
     rank = q * (n - 1)
     first, last = math.floor(rank), math.ceil(rank)
     below, inside = v.agg(F.count_if(F.col("v") < marks[0]), F.count_if(F.col("v").between(*marks))).first()
@@ -174,5 +185,5 @@ def percentile_threshold(df: DataFrame, col: str, q: float, alias: str = "thresh
     r = cumulative_over_key(g, "v", ["c"], descending=False)
     # a distinct value covers 0-based ranks [below + cum_c - c, below + cum_c - 1]
     covers = lambda i: (F.col("cum_c") - F.col("c") <= i - below) & (i - below < F.col("cum_c"))
-    picks = r.agg(F.min(F.when(covers(first), F.col("v"))).alias("lo"), F.max(F.when(covers(last), F.col("v"))).alias("hi"))
-    return picks.select((F.col("lo") + (F.col("hi") - F.col("lo")) * F.lit(rank - first)).alias(alias))
+    lo, hi = r.agg(F.min(F.when(covers(first), F.col("v"))), F.max(F.when(covers(last), F.col("v")))).first()
+    return lo + (hi - lo) * (rank - first)
