@@ -172,7 +172,7 @@ def model_results(spark, sf):
 def pipeline_results(spark, sf):
     """The whole batch job; returns its results table (written by unit bucket)."""
     from .pipeline import run_batch
-    paths = run_batch(spark, sf, with_sequence_model=False)
+    paths = run_batch(spark, sf, with_sequence_model=False, autoencoder_epochs=AUTOENCODER_EPOCHS)
     return spark.read.parquet(paths["results"]).drop("unit_bucket")
 
 
@@ -183,7 +183,7 @@ def stream_model_scoring(spark, sf):
     from ..sources import payload as PL
     from ..streaming import pipeline as S
     from .pipeline import train
-    model_dir, _, _, _ = train(spark, sf)
+    model_dir, _, _, _ = train(spark, sf, autoencoder_epochs=AUTOENCODER_EPOCHS)
     w = T.telemetry_wide(spark, sf)
     w = w.withColumns({c: F.lit(0.0) for c in C.SENSOR_COLUMNS if c not in w.columns})
     topic = S.scratch(spark, "requests")

@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 
 
 def test_stream_scoring_equals_batch(spark):
-    model_dir, _, predicted, metrics = train(spark, SF_SMALL)
+    model_dir, _, predicted, metrics = train(spark, SF_SMALL, autoencoder_epochs=5)
     assert metrics.first()["n"] > 0
     m = store.load(spark, model_dir)
     w = T.telemetry_wide(spark, SF_SMALL)
@@ -37,7 +37,7 @@ def test_missing_model_part_fails(spark):
 
 def test_stateful_stream_scoring_equals_batch_features(spark):
     from fleetwatch.operators.features import add_telemetry_features
-    model_dir, _, _, _ = train(spark, SF_SMALL)
+    model_dir, _, _, _ = train(spark, SF_SMALL, autoencoder_epochs=5)
     m = store.load(spark, model_dir)
     w = T.telemetry_wide(spark, SF_SMALL)
     w = w.withColumns({c: F.lit(0.0) for c in C.SENSOR_COLUMNS if c not in w.columns})
