@@ -9,7 +9,7 @@ from ..functions import decisions as D
 from ..operators import evaluate as E
 from ..operators.features import add_rul, apply_scaler, ground_truth, scaler_stats
 from ..operators.features import sequence_blocks as blocks_of
-from ..operators.models import autoencoder, iforest, lstm, recon, rul
+from ..operators.models import autoencoder, deep_forest, iforest, lstm, recon, rul
 from ..session import materialize
 from ..sources import tables as T
 from .catalog import WIDE_FEATURES, W, query
@@ -57,6 +57,21 @@ def rul_forest(spark, sf):
     return E.metrics_long(metrics, "RF")
 
 
+#: Trees of the deep forest in the registered queries; the operator takes the usual 100.
+DEEP_TREES = 20
+
+
+def _deep(spark, sf):
+    return deep_forest.run(scaled_wide(spark, sf), WIDE_FEATURES, n_trees=DEEP_TREES)
+
+
+@query("rul_deep_forest")
+def rul_deep_forest(spark, sf):
+    """Forest without a depth limit, all features at every split, on the test rows."""
+    _, metrics, _ = _deep(spark, sf)
+    return E.metrics_long(metrics, "Deep RF")
+
+
 @query("rul_sequence")
 def rul_sequence(spark, sf):
     """Window summaries and gradient-boosted trees."""
@@ -140,6 +155,16 @@ def autoencoder_facts(spark, sf):
     return _error_facts(autoencoder_scores(spark, sf))
 
 
+@query("deep_forest_facts", W(f"SELECT {_FACTS}, count(*) AS in_range, TRUE AS beats_mean {_WIDE}", "telemetry_wide"))
+def deep_forest_facts(spark, sf):
+    """Every row predicted once, by a mean of labels; learned rows closer than their mean is."""
+    _, _, pred = _deep(spark, sf)
+    span = pred.agg(F.min("RUL").alias("_lo"), F.max("RUL").alias("_hi"), F.avg("RUL").alias("_mean"))
+    s = pred.crossJoin(F.broadcast(span))
+    error = F.avg(F.abs(F.col("predicted_RUL") - F.col("RUL"))) < F.avg(F.abs(F.col("_mean") - F.col("RUL")))
+    return s.agg(*_facts(s), F.count_if(F.col("predicted_RUL").between(F.col("_lo"), F.col("_hi"))).alias("in_range"), error.alias("beats_mean"))
+
+
 _RESULT = f"SELECT {_FACTS}, count(*) FILTER (WHERE RUL <= 15) AS true_anomalies, 0 AS decision_mismatches {_WIDE}"
 
 
