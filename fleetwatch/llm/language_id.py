@@ -26,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize, recorded, release
 from . import ragged
 from .common import _quoted, only, prepare
 
 SIZES = (3, 4, 5)
 HASHES = 3
+#: Positions of the filter that are put together in one group.
+BLOCK = 1 << 14
 UNKNOWN = "und"
 
 
@@ -149,7 +152,7 @@ def learn(train: DataFrame, text_column: str = "text", label_column: str = "lang
           sample: int = 2000, share: float = 0.2, positions: int = 1 << 20) -> Filters:
     """Filters from about ``sample`` texts per language (all, where there are fewer): the rows
     whose hashed id falls below the fraction that gives so many.  What reaches the driver
-    is bounded by that sample: the n-grams it contains."""
+    is the filter, whose size its parameters fix, and a count per language."""
     prepare(train.sparkSession)
     rows = only(train, id=id_column, text=text_column, lang=label_column).where("lang IS NOT NULL AND text IS NOT NULL").withColumn("lang", F.col("lang").cast("string"))
     sizes = sorted(((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect()), key=lambda x: (-x[1], x[0]))
@@ -173,20 +176,47 @@ def learn(train: DataFrame, text_column: str = "text", label_column: str = "lang
                     n = np.bincount(back, weights=often[w.owner], minlength=len(grams)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), k, np.int32)), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counts = chosen.mapInArrow(count, "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()
-    lang, n = found["lang"].to_numpy(), found["n"].to_numpy()
-    gram, at = np.unique(found["gram"].to_numpy().view(np.uint64), return_inverse=True)
-    rate = n / np.bincount(lang, weights=n, minlength=len(names))[lang]
-    top = np.zeros(len(gram))
-    np.maximum.at(top, at, rate)
-    belongs = rate >= share * top[at]
-    for p in _positions(gram[at[belongs]], positions):
-        np.bitwise_or.at(masks, (p, lang[belongs] // 64), np.uint64(1) << (lang[belongs] % 64).astype(np.uint64))
+    spark = train.sparkSession
+    with recorded() as tables:
+        counts = materialize(chosen.mapInArrow(count, "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
+        for k, block in _blocks(counts, len(names), share, positions):
+            masks[k: k + len(block)] = block
+    release(spark, tables)
     filled = np.array([np.count_nonzero(masks[:, k // 64] >> np.uint64(k % 64) & np.uint64(1)) for k in range(len(names))]) / positions
     return Filters(names, masks, filled ** HASHES)
 
 
+def _blocks(counts: DataFrame, languages: int, share: float, positions: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first position, masks from there) of the filter's blocks in use.  The masks are joined on the
+    executors, so what the driver gets is the filter, whatever the number and length of the texts."""
+    width = -(-languages // 64)
+    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
+        return
+    total = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, float(n))])
+    rates = counts.select("gram", "lang", (F.col("n") / total[F.col("lang")]).alias("rate"))
+    own = rates.groupBy("gram").agg(F.collect_list(F.struct("lang", "rate")).alias("own"), F.max("rate").alias("top"))  # an entry per language at most
+    belongs = own.select("gram", "top", F.explode("own").alias("x")).where(F.col("x.rate") >= F.lit(share) * F.col("top")).select("gram", "x.lang")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = batch.column(1).to_numpy(zero_copy_only=False)
+            bit = np.uint64(1) << (lang % 64).astype(np.uint64)
+            for p in _positions(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), positions):
+                yield pa.RecordBatch.from_arrays([pa.array(p * width + lang // 64), pa.array(bit.view(np.int64))], ["at", "mask"])
+
+    def block(table: pa.Table) -> pa.Table:
+        at, mask = table["at"].to_numpy(), table["mask"].to_numpy().view(np.uint64)
+        first = at[0] // (BLOCK * width) * BLOCK
+        masks = np.zeros(min(BLOCK, positions - first) * width, np.uint64)
+        masks[at - first * width] = mask
+        return pa.table({"first": pa.array([first], pa.int64()), "masks": pa.array([masks.tobytes()], pa.binary())})
+
+    cells = belongs.mapInArrow(place, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask"))
+    for r in cells.groupBy(F.floor(F.col("at") / F.lit(BLOCK * width))).applyInArrow(block, "first long, masks binary").collect():
+        yield r["first"], np.frombuffer(r["masks"], np.uint64).reshape(-1, width)
+
+
 def keep_known(df: DataFrame, filters: Filters, text_column: str = "text", min_score: float = 0.3) -> DataFrame:
     """The rows of ``df`` whose language is known with at least ``min_score``; one narrow pass.
     Where nothing could be learned, no language can be told from another, and all rows whose

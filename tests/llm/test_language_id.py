@@ -1,8 +1,11 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fleetwatch.llm import language_id
+from fleetwatch.llm import language_id, ragged
 from fleetwatch.llm.common import fold
 
 from .conftest import ODD
@@ -51,3 +54,57 @@ def test_without_labels_all_texts_with_letters_are_kept(docs):
     df = docs(rows, "doc_id long, text string, lang string")
     kept = language_id.keep_known(df, language_id.learn(df))
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 5, 6]
+
+
+def _grams(text):
+    """The n-grams of a text in plain Python, one by one."""
+    lower, letter = language_id.letter_tables()
+    for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        word = "".join(c.lower() if "A" <= c <= "Z" else c for c in word)
+        codes = [0, *(int(lower[ord(c)]) for c in word), 0]
+        for n in language_id.SIZES:
+            for at in range(len(codes) - n + 1):
+                if all(codes[at + 1: at + n - 1]):
+                    yield tuple(codes[at: at + n])
+
+
+def _places(gram, rows):
+    h = ragged.span_hashes(np.array(gram, np.uint32), np.array([0]), np.array([len(gram)]))
+    return [int(p[0]) for p in language_id._positions(h, rows)]
+
+
+def test_filters_and_scores_equal_brute_force(docs):
+    rng = np.random.default_rng(3)
+    letters = {"aa": "abcdeé", "bb": "defghß", "cc": "abxyz日"}
+    rows = []
+    for k in range(120):
+        lang = ["aa", "bb", "cc"][k % 3]
+        words = ["".join(rng.choice(list(letters[lang] + "-A"), rng.integers(1, 9))) for _ in range(12)]
+        rows.append((k, " ".join(words) + rng.choice(["", "!", " 12"]), lang if k % 10 else None))
+    rows += [(200, rows[1][1], rows[1][2]), (201, None, "aa"), (202, "", "bb")]
+    df = docs(rows, "doc_id long, text string, lang string")
+    positions = 1 << 14
+    filters = language_id.learn(df, positions=positions)
+    seen = {}
+    for _, text, lang in rows:
+        if lang is not None and text is not None:
+            seen.setdefault(lang, Counter()).update(_grams(text))
+    rates = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in seen.items()}
+    masks = [0] * positions
+    for lang, own in rates.items():
+        for g, r in own.items():
+            if r >= 0.2 * max(o.get(g, 0.0) for o in rates.values()):
+                for p in _places(g, positions):
+                    masks[p] |= 1 << filters.languages.index(lang)
+    assert filters.masks[:, 0].tolist() == masks
+    chance = [(sum(m >> k & 1 for m in masks) / positions) ** 3 for k in range(3)]
+    got = {r.doc_id: r for r in language_id.predictions(df, filters, "text", doc_id=df["doc_id"]).collect()}
+    for k, text, _ in rows:
+        grams = list(_grams(text))
+        hits = [sum(all(masks[p] >> c & 1 for p in _places(g, positions)) for g in grams) for c in range(3)]
+        free = [max(0.0, (h - len(grams) * q) / (1 - q)) for h, q in zip(hits, chance, strict=True)]
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[k].lang_pred, got[k].lang_score) == ("und", 0.0)
+        else:
+            assert got[k].lang_pred == filters.languages[free.index(max(free))]
+            assert abs(got[k].lang_score - min(1.0, max(free) / max(1, len(grams)))) < 1e-12
