@@ -13,7 +13,7 @@ matches outside it are cut away, and the longest chain inside it gives ``m``.
 Work stays linear in a group of copies: equal texts are one text from the start; then
 every bucket of equal sketches is compared with one hub only, and what is alike is joined.  Buckets that still hold several classes are settled exactly: their
 texts are joined on the rarest fifth of their shingles, one of which two similar texts
-must share, and pairs whose parity bits differ in too many places are passed over; so no
+must share (frequent ones together with a band of lengths that the text can be similar to), and pairs whose parity bits differ in too many places are passed over; so no
 link between different texts is lost to the shortcut, and texts that have but a passage
 in common, or are edited too far from each other, don't meet.  (At a similarity of 0.8 all but one pair in a
 million agree in some sketch.)
@@ -25,6 +25,7 @@ carried in one struct.  A text is worked on whole, however long: a task needs so
 """
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -46,6 +47,8 @@ MINIMA = 3
 PARITY_BITS = 1024
 #: Rows of 8 bytes that may be broadcast; beyond that the same join is shuffled.
 BROADCAST_ROWS = 2_000_000
+#: Texts that share a shingle beyond which they are looked up by bands of length, and the width of a band.
+CROWDED, BAND = 32, 1.05
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -205,13 +208,13 @@ def _alike_in_length(a: str, b: str) -> F.Column:
     return F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
 
 
-def _open_pairs(open_texts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts in different classes that may be similar, by prefix filtering.
+def _prefixes(open_texts: DataFrame, texts: DataFrame) -> DataFrame:
+    """The shingles by which texts meet, (rep, n, label, known, parity, often, s), by prefix filtering.
 
     Texts at the similarity share all but a fifth of their shingles, so with the shingles of
     every text in one order, two such texts share one of the first fifth of each.  The order
     is by rarity: shingles that no other text has come first and lead to no pair, those of a
-    passage that many texts share come last."""
+    passage that many texts share come last.  A shingle of one class alone leads to no pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ragged.slices(batch, 3):
@@ -223,23 +226,49 @@ def _open_pairs(open_texts: DataFrame, texts: DataFrame) -> DataFrame:
     read = open_texts.join(texts, "rep").select("rep", "n", "label", "text").mapInArrow(run, "rep long, n long, label long, shingles array<long>, parity array<long>")
     read = materialize(read, "open-shingles")
     rows = read.select("rep", "n", "label", F.explode("shingles").alias("s"))
-    shared = rows.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    mixed = (F.min("label") < F.max("label")).cast("long")
+    shared = rows.groupBy("s").agg((2 * F.count("*") + mixed).alias("often")).where("often > 3")  # twice the number of texts, and whether of several classes
     own = rows.join(shared, "s").groupBy("rep", "n", "label").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("by_rarity"))
     alone = F.col("n") - F.size("by_rarity")
     own = own.withColumn("known", F.size("by_rarity"))
     first = F.col("n") - F.ceil(F.lit(SIMILARITY - 1e-12) * F.col("n")) + 1 - alone
     prefix = own.where(first > 0).withColumn("first", first.cast("int")).join(read.select("rep", "parity"), "rep")
-    prefix = prefix.select("rep", "n", "label", "known", "parity", F.explode(F.expr("slice(by_rarity, 1, first)")).alias("x")).select("rep", "n", "label", "known", "parity", "x.s")
-    prefix = materialize(prefix, "prefixes")
-    x, y = (prefix.select(*[F.col(c).alias(f"{c}_{side}") for c in ("s", "rep", "n", "label", "known", "parity")]) for side in "ab")
+    met = prefix.select("rep", "n", "label", "known", "parity", F.explode(F.expr("slice(by_rarity, 1, first)")).alias("x")).where("x.often % 2 = 1")
+    return materialize(met.select("rep", "n", "label", "known", "parity", F.floor(F.col("x.often") / 2).alias("often"), "x.s"), "prefixes")
+
+
+def _band(n: F.Column) -> F.Column:
+    return F.floor(F.log(n) / math.log(BAND)) + 1
+
+
+def _sides(prefix: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prefixes as the shorter and the longer text of a pair, to be joined by ``s`` and ``band``.
+
+    A pair of n_a and n_b shingles must share 4/9 of n_a + n_b, so a text of which others know only so
+    many has partners of 0.8 n to 9/4 known - n shingles.  Under a shingle that many texts have, those
+    are looked up by bands of length: texts of one template that are too unlike each other don't meet."""
+    crowded = F.col("often") > CROWDED
+    short = prefix.withColumn("band", F.when(crowded, _band(F.col("n"))).otherwise(F.lit(0)))
+    low = SIMILARITY * F.col("n") - 1e-6
+    high = F.least(F.col("n"), F.col("known") * ((1 + SIMILARITY) / SIMILARITY) - F.col("n") + 1e-6)
+    bands = F.when(crowded, F.when(high >= low, F.sequence(_band(low), _band(high))).otherwise(F.array().cast("array<bigint>"))).otherwise(F.array(F.lit(0).cast("long")))
+    long = prefix.withColumn("band", F.explode(bands))
+    a, b = (side.select("s", "band", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "label", "known", "parity")]) for side, name in ((short, "a"), (long, "b")))
+    return a, b
+
+
+def _open_pairs(open_texts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts in different classes that may be similar."""
+    x, y = _sides(_prefixes(open_texts, texts))
     total = F.col("n_a") + F.col("n_b")
     # both must have enough shingles that some other text has, too, for what the pair must share;
     # parities differ in no more places than there are shingles that only one of the two has
     enough = F.least("known_a", "known_b") >= F.lit(SIMILARITY / (1 + SIMILARITY) - 1e-12) * total
     apart = sum((F.bit_count(F.col("parity_a")[k].bitwiseXOR(F.col("parity_b")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
     near = apart <= F.lit((1 - SIMILARITY) / (1 + SIMILARITY) + 1e-12) * total
-    met = x.join(y, (F.col("s_a") == F.col("s_b")) & (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _alike_in_length("n_a", "n_b") & enough & near)
-    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    ordered = F.struct("n_a", "rep_a") < F.struct("n_b", "rep_b")
+    met = x.join(y, ["s", "band"]).where(ordered & (F.col("label_a") != F.col("label_b")) & _alike_in_length("n_a", "n_b") & enough & near)
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def _classes(sketched: DataFrame, text_field: str) -> DataFrame:

@@ -127,3 +127,40 @@ def test_hot_groups_and_a_shared_passage_over_many_partitions(docs):
     for k in range(120):
         texts += [prose(80, seed=78), _edited(base, 1 + k % 5, 2000 + k), prose(20 + k % 40, seed=k) + " " + prose(60, seed=79)]
     assert _found(near_dedup.classes(docs(list(enumerate(texts))).repartition(12))) == _expected(texts)
+
+
+def _open(docs, texts):
+    """Every text as a class of its own, as the exact join sees what is still open."""
+    n = [len(_shingles(t)) for t in texts]
+    return docs([(k, n[k], k) for k in range(len(texts))], "rep long, n long, label long"), docs(list(enumerate(texts)), "rep long, text string")
+
+
+@pytest.mark.parametrize("crowded", [0, 3, 32])
+def test_open_texts_lose_no_similar_pair(docs, monkeypatch, crowded):
+    monkeypatch.setattr(near_dedup, "CROWDED", crowded)
+    texts = []
+    for k in range(8):
+        base = prose(30 + 25 * k, seed=900 + k)
+        texts += [base] + [_edited(base, e, 10 * k + e) for e in (1, 2, 3, 4, 6, 9)] + [base + " " + prose(e, seed=e) for e in (2, 5, 9, 20)] + [" ".join(base.split()[e:]) for e in (1, 4, 8)]
+    texts = sorted(set(texts))
+    alike = {(a, b) for b in range(len(texts)) for a in range(b) if _similarity(texts[a], texts[b]) >= 0.8 - 1e-12}
+    found = [(r.a, r.b) for r in near_dedup._open_pairs(*_open(docs, texts)).collect()]
+    assert len(alike) > 80 and len(found) == len(set(found)) and alike <= set(found)
+
+
+def test_texts_of_one_template_do_not_meet_in_pairs(docs):
+    """Too unlike each other, but alike in rare shingles: what meets grows in proportion at most."""
+    template, met = " ".join(f"t{k}" for k in range(160)), []
+    for size in (500, 1000):
+        texts = [template + " " + " ".join(f"own{k}x{j}" for j in range(25 + k % 3)) for k in range(size)]
+        x, y = near_dedup._sides(near_dedup._prefixes(*_open(docs, texts)))
+        assert x.count() >= size  # they do have common shingles in their prefixes
+        met.append(x.join(y, ["s", "band"]).count())
+    assert met[0] <= 500 and met[1] <= 1000, met
+
+
+def test_one_class_alone_does_not_meet(docs):
+    base = prose(100, seed=6)
+    opened, texts = _open(docs, [base] + [_edited(base, 1, k) for k in range(40)])
+    x, _ = near_dedup._sides(near_dedup._prefixes(opened.selectExpr("rep", "n", "0L AS label"), texts))
+    assert x.count() == 0
