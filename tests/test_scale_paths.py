@@ -43,3 +43,18 @@ def test_deep_forest_predicts_once(spark):
     _, metrics, pred = deep_forest.run(readings(spark), ["a", "b"], n_trees=2)
     assert "FlatMapCoGroups" not in plan(pred) and "FlatMapCoGroups" not in plan(metrics)
     assert pred.count() == 180 and pred.where("predicted_RUL IS NULL").isEmpty()
+
+
+def test_queries_keep_methods_short_enough_to_be_compiled(spark):
+    name, limit = session.METHOD_LIMIT
+    fn = catalog.query("_limit_probe")(lambda spark, sf: spark.range(1))
+    try:
+        spark.conf.unset(name)
+        fn(spark, "")
+        assert spark.conf.get(name) == limit
+        spark.conf.set(name, "4000")  # the caller's own stays
+        fn(spark, "")
+        assert spark.conf.get(name) == "4000"
+    finally:
+        del catalog.QUERIES["_limit_probe"]
+        spark.conf.unset(name)
