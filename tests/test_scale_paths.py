@@ -58,3 +58,9 @@ def test_queries_keep_methods_short_enough_to_be_compiled(spark):
     finally:
         del catalog.QUERIES["_limit_probe"]
         spark.conf.unset(name)
+
+
+def test_sequence_features_are_computed_once(spark):
+    _, _, pred = rul.sequence_run(readings(spark, units=8), ["a"], max_iter=2, depth=2)
+    assert "first(a" not in plan(pred)
+    assert pred.count() == 2 * 16  # windows of the test units
