@@ -64,3 +64,32 @@ def test_sequence_features_are_computed_once(spark):
     _, _, pred = rul.sequence_run(readings(spark, units=8), ["a"], max_iter=2, depth=2)
     assert "first(a" not in plan(pred)
     assert pred.count() == 2 * 16  # windows of the test units
+
+
+def test_isolation_trees_walk_from_node_to_node():
+    """Trees of different depths, more rows than walk at once, values that are missing."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2 * iforest.WALK_ROWS + 7, 3))
+    x[::50, 1] = np.nan
+    grown = [iforest._grow(rng.normal(size=(n, 3)), rng, depth) for n, depth in ((1, 4), (40, 3), (64, 6))]
+    width = max(len(g[0]) for g in grown)
+    feature, threshold, left, right, path = (np.array([[*g[k], *[-1 if k == 0 else 0] * (width - len(g[k]))] for g in grown]) for k in range(5))
+    forest = iforest.Forest(feature, threshold, left, right, path)
+    assert forest.depth == 6
+
+    def one(t, row):
+        at = 0
+        while feature[t, at] >= 0:
+            at = left[t, at] if row[feature[t, at]] <= threshold[t, at] else right[t, at]
+        return path[t, at]
+
+    want = [np.mean([one(t, row) for t in range(3)]) for row in x]
+    assert np.allclose(iforest.mean_path(forest, x), want, rtol=0, atol=1e-12)
+
+
+def test_facts_hand_every_row_on_once(spark):
+    rows = [(1, 5, -1), (1, 5, 1), (2, 1, 1), (None, 4, 1), (3, None, 1)]
+    df = spark.createDataFrame(rows, "unit_id long, time_cycle long, flag int")
+    got = model_queries._facts(df, F.min("flag").alias("least"))
+    assert "Expand" not in plan(got)
+    assert got.columns == ["n_rows", "units", "n_keys", "least"] and got.collect() == [(5, 3, 2, -1)]
