@@ -93,3 +93,25 @@ def test_facts_hand_every_row_on_once(spark):
     got = model_queries._facts(df, F.min("flag").alias("least"))
     assert "Expand" not in plan(got)
     assert got.columns == ["n_rows", "units", "n_keys", "least"] and got.collect() == [(5, 3, 2, -1)]
+
+
+class Refusing:
+    def initial(self, seed):
+        return np.ones(2)
+
+    def items(self, batch):
+        held = batch.column("is_val").to_numpy(zero_copy_only=False).astype(bool)
+        yield held, (batch.column("x").to_numpy(),)
+
+    def gradient(self, weights, items, rng):
+        raise AssertionError("the last pass only measures")
+
+    def losses(self, weights, items):
+        return (items[0] - weights.sum()) ** 2
+
+
+@pytest.mark.parametrize("exchange", ["epoch", "step"])
+def test_no_training_after_the_last_epoch(spark, exchange):
+    rows = spark.range(40).select("id", (F.col("id") * 1.0).alias("x"), (F.col("id") < 10).alias("is_val"))
+    got = training.train(rows, ["id"], Refusing(), training.Schedule(epochs=0, exchange=exchange), tasks=2)
+    assert got.weights.tolist() == [1.0, 1.0] and got.history == [np.mean((np.arange(10) - 2.0) ** 2)]
