@@ -115,3 +115,12 @@ def test_no_training_after_the_last_epoch(spark, exchange):
     rows = spark.range(40).select("id", (F.col("id") * 1.0).alias("x"), (F.col("id") < 10).alias("is_val"))
     got = training.train(rows, ["id"], Refusing(), training.Schedule(epochs=0, exchange=exchange), tasks=2)
     assert got.weights.tolist() == [1.0, 1.0] and got.history == [np.mean((np.arange(10) - 2.0) ** 2)]
+
+
+def test_lines_are_split_once(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.createDataFrame([("1 2 0.5 ",), ("  ",), ("1 x 0.5",), ("1 2",)], "value string").write.text(path)
+    rows, rejects = files.load_whitespace_table(spark, path, ["unit_id", "time_cycle", "a"])
+    assert rows.collect() == [(1, 2, 0.5)]
+    assert sorted(map(tuple, rejects.collect())) == [("1 2", "arity"), ("1 x 0.5", "not a number")]
+    assert plan(rows).count("split(") <= 2 and plan(rejects).count("split(") <= 2
