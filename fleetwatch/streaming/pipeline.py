@@ -79,7 +79,8 @@ def run_dedup(stream: DataFrame, keys=("unit_id", "event_id"), ts: str = "ts", p
         once, out = f"{base}/once/batch_id={batch_id}", f"{sink}/batch_id={batch_id}"
         batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(once)  # read several times
         new, read = seen.unseen(spark.read.schema(stream.schema).parquet(once), batch_id)
-        new.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(out)
+        # a task a day (more for a crowded one), not a file for each day in each task
+        new.withColumn("day", F.to_date(ts)).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(out)
         written = spark.read.schema(T.StructType([stream.schema[k] for k in keys])).parquet(out)
         seen.add(written, batch_id, read)
         release(spark, [f"{base}/once/batch_id={batch_id}"])
