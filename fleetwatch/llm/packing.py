@@ -32,6 +32,8 @@ from .common import only, prepare
 
 #: Tokens after which a task packs what it has.
 CHUNK_TOKENS = 4 << 20
+#: Bytes of text that become ids at once; what that takes on the way is some forty times as much.
+SLICE_BYTES = 1 << 20
 #: Letters of one case folding and one composition everywhere.
 PLAIN = 0x250
 _loaded: dict[str, "WordIds"] = {}
@@ -255,6 +257,7 @@ def pack(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column:
             nonlocal base
             ids, flat = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
             per = np.concatenate([np.diff(h[2]) for h in held])
+            held.clear()
             at = np.cumsum(per) - per
             piece = np.array(balance(per.tolist(), capacity, linear, quadratic), np.int64).reshape(-1, 5)
             doc, start, length, sequence, offset = piece.T
@@ -263,12 +266,11 @@ def pack(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column:
             crc = np.fromiter((zlib.crc32(memoryview(s).cast("B")) for s in spans), np.int64, len(spans))
             columns = [ids.take(pa.array(doc)), *(pa.array(c) for c in (start, length, crc, per[doc], base + sequence, offset))]
             base += int(sequence.max()) + 1
-            held.clear()
             return pa.RecordBatch.from_arrays(columns + [pa.array([s.tobytes() for s in spans], pa.binary())] * with_ids, names)
 
         tokens = 0
         for batch in batches:
-            for part in ragged.slices(batch, 1):
+            for part in ragged.slices(batch, 1, SLICE_BYTES):
                 flat, edges = words.documents(part.column(1), end_id)
                 held.append((part.column(0), flat, edges))
                 tokens += len(flat)
