@@ -73,7 +73,7 @@ class WordIds:
     #: Words of a generation (some 40 bytes each).
     LIMIT = 1 << 18
     #: Parts of words of a generation; a Python object each.
-    PARTS_LIMIT = 1 << 16
+    PARTS_LIMIT = 1 << 15
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -251,12 +251,13 @@ def pack(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, base = word_ids(vocabulary), TaskContext.get().partitionId() << 32
-        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        held: list[tuple[pa.Array, np.ndarray]] = []
+        chunk = np.empty(CHUNK_TOKENS + SLICE_BYTES, np.uint32)  # one for all chunks; a longer text makes it longer
 
         def packed() -> pa.RecordBatch:
             nonlocal base
-            ids, flat = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            per = np.concatenate([np.diff(h[2]) for h in held])
+            ids, flat = pa.concat_arrays([h[0] for h in held]), chunk[:tokens]
+            per = np.concatenate([h[1] for h in held])
             held.clear()
             at = np.cumsum(per) - per
             piece = np.array(balance(per.tolist(), capacity, linear, quadratic), np.int64).reshape(-1, 5)
@@ -272,7 +273,11 @@ def pack(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column:
         for batch in batches:
             for part in ragged.slices(batch, 1, SLICE_BYTES):
                 flat, edges = words.documents(part.column(1), end_id)
-                held.append((part.column(0), flat, edges))
+                if tokens + len(flat) > len(chunk):
+                    chunk = np.concatenate([chunk[:tokens], np.empty(len(flat), np.uint32)])
+                chunk[tokens: tokens + len(flat)] = flat
+                # a copy: the ids of a batch share its memory, which is mostly text
+                held.append((part.column(0).take(pa.array(np.arange(part.num_rows))), np.diff(edges)))
                 tokens += len(flat)
                 if tokens >= CHUNK_TOKENS:
                     yield packed()

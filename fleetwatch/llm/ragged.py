@@ -104,14 +104,24 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def _running(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of ``item * base**position`` before each position, made in place, and the powers both ways."""
+    up, down = _grown(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    inner = total[1:]
+    inner[:] = values
+    inner += np.uint64(1)
+    inner *= up[: len(values)]
+    np.cumsum(inner, out=inner)
+    return total, up, down
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of ``values[start:end]`` for each span (bytes, or 64-bit items).
 
     Sums of ``item * base**position`` modulo 2**64, moved to position 0; the length
     is mixed in.  Equal spans have equal hashes in every batch and process."""
-    up, down = _grown(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=total[1:])
+    total, _, down = _running(values)
     h = (total[ends] - total[starts]) * down[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -120,9 +130,7 @@ class Substrings:
     """Hashes of many spans of one array, from sums that are made once."""
 
     def __init__(self, values: np.ndarray):
-        self.up, self.down = _grown(len(values) + 1)
-        self.total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * self.up[: len(values)], out=self.total[1:])
+        self.total, self.up, self.down = _running(values)
 
     def hashes(self, starts: np.ndarray, size: int) -> np.ndarray:
         """As ``span_hashes`` of the spans of this size."""

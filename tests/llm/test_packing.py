@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from fleetwatch.llm import packing
+from fleetwatch.llm import packing, ragged
 
 from .conftest import ODD
 
@@ -116,3 +117,16 @@ def test_words_that_are_met_again_are_kept(monkeypatch):
     for k in range(30):
         words.documents(pa.array([f"often {' '.join(f'w{k}x{j}' for j in range(40))}"]), 1)
     assert asked.count("often") == 1 and len(asked) == 1 + 30 * 40
+
+
+def test_hashing_works_in_place():
+    text = np.full(1 << 20, ord("a"), np.uint8)
+    text[::64] = 32
+    starts = np.arange(1, len(text), 64)
+    ragged.span_hashes(text, starts, starts + 63)  # the powers are made once
+    tracemalloc.start()
+    found = ragged.span_hashes(text, starts, starts + 63)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(found.tolist())) == 1
+    assert peak < 12 * len(text)  # one number of 8 bytes for each byte, and the spans'; 16 before
