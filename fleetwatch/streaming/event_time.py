@@ -75,16 +75,25 @@ class _Rows:
         return pickle.dumps((self.at, self.tie, self.rest.tolist(), self.sensors), protocol=5)
 
     @classmethod
-    def unpacked(cls, chunks: list[bytes]) -> "_Rows":
-        at, tie, rest, sensors = zip(*[pickle.loads(c) for c in chunks], strict=True)
-        return cls(np.concatenate(at), np.concatenate(tie), np.array([x for r in rest for x in r], object), np.concatenate(sensors))
+    def unpacked(cls, data: bytes) -> "_Rows":
+        at, tie, rest, sensors = pickle.loads(data)
+        return cls(at, tie, np.array(rest, object), sensors)
+
+    @classmethod
+    def joined(cls, parts: list["_Rows"]) -> "_Rows":
+        return cls(*[np.concatenate([getattr(p, x) for p in parts]) for x in ("at", "tie", "rest", "sensors")])
 
     def __len__(self) -> int:
         return len(self.at)
 
 
+#: Rows of closed slots that are numbered together; a larger slot goes alone.
+GROUP_ROWS = 1 << 14
+
+
 class _InOrder(StatefulProcessor):
-    """State of a unit: rows seen, the last readings, and the rows of open slots in chunks."""
+    """State of a unit: rows seen, the last readings, the open slots with their number of chunks, and their
+    rows in chunks.  Only the first open slot needs a timer: what it finds is all that is due."""
 
     def __init__(self, sensors: list[str], window: int, slot: int):
         self.sensors, self.window, self.slot = sensors, window, slot
@@ -92,11 +101,24 @@ class _InOrder(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         self.done = handle.getValueState("done", "n long, tails binary")
-        self.chunks = handle.getMapState("chunks", "slot long", "chunks int")
+        self.open = handle.getValueState("open", "slots binary")
         self.rows = handle.getMapState("rows", "slot long, chunk int", "data binary")
 
+    def _slots(self) -> dict[int, int]:
+        return pickle.loads(self.open.get()[0]) if self.open.exists() else {}
+
+    def _keep(self, slots: dict[int, int], timer: bool) -> None:
+        if not slots:
+            self.open.clear()
+            return
+        self.open.update((pickle.dumps(slots, protocol=5),))
+        if timer:
+            self.handle.registerTimer((min(slots) + 1) * self.slot // 1000)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
+        slots = self._slots()
+        before, new = min(slots, default=None), False
         for pdf in rows:
             beat = pdf["beat"].to_numpy(dtype=bool)
             got = _Rows.of(pdf[~beat] if beat.any() else pdf, self.sensors)
@@ -104,31 +126,39 @@ class _InOrder(StatefulProcessor):
             late = np.isnan(slot) | ((slot + 1) * self.slot <= passed)
             if late.any():
                 yield self._result(key, got.take(late), None)
-            for s in np.unique(slot[~late]):
-                k = (int(s),)
-                n = self.chunks.getValue(k)[0] if self.chunks.containsKey(k) else 0
-                self.rows.updateValue((int(s), n), (got.take(~late & (slot == s)).packed(),))
-                self.chunks.updateValue(k, (n + 1,))
-                if n == 0:
-                    self.handle.registerTimer(int((s + 1) * self.slot) // 1000)
+            for s in map(int, np.unique(slot[~late])):
+                n = slots.get(s, 0)
+                self.rows.updateValue((s, n), (got.take(~late & (slot == s)).packed(),))
+                slots[s], new = n + 1, True
+        if new:
+            self._keep(slots, before is None or min(slots) < before)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        for slot, chunks in sorted((k[0], v[0]) for k, v in self.chunks.iterator()):
-            if (slot + 1) * self.slot > passed:
-                break
-            waiting = _Rows.unpacked([self.rows.getValue((slot, c))[0] for c in range(chunks)])
-            for c in range(chunks):
-                self.rows.removeKey((slot, c))
-            self.chunks.removeKey((slot,))
-            yield self._numbered(key, waiting.take(np.lexsort((waiting.tie, waiting.at))))
-
-    def _numbered(self, key, rows: _Rows) -> pd.DataFrame:
-        keep = self.window - 1
-        n, tails = 0, np.full((len(self.sensors), keep), np.nan)
+        slots = self._slots()
+        due = sorted(s for s in slots if (s + 1) * self.slot <= passed)
+        if not due:
+            return
+        n, tails = 0, np.full((len(self.sensors), self.window - 1), np.nan)
         if self.done.exists():
             n, data = self.done.get()
             tails = np.frombuffer(data).reshape(tails.shape).copy()
+        group, held = [], 0
+        for s in due:
+            for k in [(s, c) for c in range(slots.pop(s))]:
+                group.append(_Rows.unpacked(self.rows.getValue(k)[0]))
+                self.rows.removeKey(k)
+                held += len(group[-1])
+            if held >= GROUP_ROWS or s == due[-1]:
+                waiting = _Rows.joined(group)
+                yield self._numbered(key, waiting.take(np.lexsort((waiting.tie, waiting.at))), n, tails)
+                n, group, held = n + held, [], 0
+        self.done.update((n, tails.tobytes()))
+        self._keep(slots, True)
+
+    def _numbered(self, key, rows: _Rows, n: int, tails: np.ndarray) -> pd.DataFrame:
+        """The rows after the first ``n``; ``tails``, the readings before them, moves on."""
+        keep = self.window - 1
         features = []
         for k in range(len(self.sensors)):
             values = np.concatenate([tails[k], rows.sensors[:, k]])
@@ -141,7 +171,6 @@ class _InOrder(StatefulProcessor):
             step = values[keep:] - values[keep - 1: -1]
             features.append((np.where(count > 0, total / np.maximum(count, 1), np.nan), np.where(np.isnan(step), 0.0, step)))
             tails[k] = values[len(values) - keep:]
-        self.done.update((n + len(rows), tails.tobytes()))
         return self._result(key, rows, np.arange(n + 1, n + 1 + len(rows)), features)
 
     def _result(self, key, rows: _Rows, cycles: np.ndarray | None, features: list | None = None) -> pd.DataFrame:
@@ -160,8 +189,8 @@ def ordered_features(stream: DataFrame, sensors: tuple[str, ...] = ("sensor_2",)
                      slot: str = "1 hour", ts: str = "ts", tie: str = "event_id", heartbeat: Column | None = None) -> DataFrame:
     """Cycle numbers, rolling means and first differences of each unit's rows in the order (ts, tie).
 
-    A row may be ``delay`` older than the newest one.  ``slot`` sets how many of a unit's rows
-    are in memory at once.  Rows where ``heartbeat`` holds only move the watermark.  The
+    A row may be ``delay`` older than the newest one.  ``slot`` and GROUP_ROWS set how many of a
+    unit's rows are in memory at once.  Rows where ``heartbeat`` holds only move the watermark.  The
     result has ``late``; a late row has no cycle and no features.  Units are whole numbers or null."""
     ship_package(stream.sparkSession)
     sensors = tuple(s for s in sensors if s in stream.columns)

@@ -2,6 +2,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,65 @@ def test_rows_behind_the_watermark_are_told_as_late(spark, tmp_path):
     assert got == {1: (1, False), 2: (2, False), 3: (3, False), 4: (4, False), 7: (5, False), 5: (None, True), 6: (None, True)}
 
 
+class _Held(dict):
+    """A value or map state without Spark."""
+
+    def exists(self):
+        return 0 in self
+
+    def get(self):
+        return self[0]
+
+    def update(self, value):
+        self[0] = value
+
+    def getValue(self, k):
+        return self[k]
+
+    updateValue, removeKey = dict.__setitem__, dict.__delitem__
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getValueState(self, *_):
+        return _Held()
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("group", [1, 7, 1000])
+def test_slots_that_close_together_take_one_timer_and_one_frame(monkeypatch, group):
+    monkeypatch.setattr(ET, "GROUP_ROWS", group, raising=False)
+    unit, handle = ET._InOrder(["x"], 5, 1000), _Handle()  # slots of a millisecond
+    unit.init(handle)
+    for first in (50, 0):
+        at = [1000 * k for k in range(first, first + 50)]
+        pdf = pd.DataFrame({"at": at, "tie": at, "rest": [str(t) for t in at], "x": [float(t) for t in at], "beat": False})
+        assert list(unit.handleInputRows((1,), iter([pdf]), _At(0))) == []
+    assert handle.timers == [51, 1]  # the earliest open slot's
+    early = list(unit.handleExpiredTimer((1,), _At(30), None))
+    assert handle.timers[2:] == [31] and sum(map(len, early)) == 30
+    frames = early + list(unit.handleExpiredTimer((1,), _At(500), None))
+    assert len(frames) == -(-30 // group) + -(-70 // group)
+    out = pd.concat(frames)
+    assert out["time_cycle"].tolist() == list(range(1, 101)) and out["rest"].tolist() == [str(1000 * k) for k in range(100)]
+    assert out["x_diff"].tolist() == [0.0] + [1000.0] * 99 and out["x_rolling_mean"].tolist()[-1] == 97000.0
+    assert list(unit.handleExpiredTimer((1,), _At(500), None)) == [] and not unit.rows and not unit.open
+
+
 def test_state_of_a_long_stream_stays_bounded(spark, tmp_path):
     """Eight files of one unit, each two hours on: only the open slots' rows wait."""
     for k in range(8):
