@@ -32,8 +32,10 @@ from .common import only, prepare
 
 #: Tokens after which a task packs what it has.
 CHUNK_TOKENS = 4 << 20
-#: Bytes of text that become ids at once; what that takes on the way is some forty times as much.
+#: Bytes of text after which a task looks whether its chunk is full.
 SLICE_BYTES = 1 << 20
+#: Bytes of text that become ids at once; what that takes on the way is some forty times as much.
+STEP_BYTES = 1 << 18
 #: Letters of one case folding and one composition everywhere.
 PLAIN = 0x250
 _loaded: dict[str, "WordIds"] = {}
@@ -162,6 +164,13 @@ class WordIds:
         out[inner] = self.young.ids[ragged.ranges(self.young.at[where], length)]
         return out, edges
 
+    def steps(self, part: pa.RecordBatch, end_id: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        """Of rows (id, text): the ids of some documents, their tokens one after the other, and how many each has."""
+        for step in ragged.slices(part, 1, STEP_BYTES):
+            flat, edges = self.documents(step.column(1), end_id)
+            # a copy: the ids of a batch share its memory, which is mostly text
+            yield step.column(0).take(pa.array(np.arange(step.num_rows))), flat, np.diff(edges)
+
 
 def word_ids(path: str) -> WordIds:
     if path not in _loaded:
@@ -251,6 +260,7 @@ def pack(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, base = word_ids(vocabulary), TaskContext.get().partitionId() << 32
+        ragged.forget_powers()  # those of an operator before may be many more than a step needs
         held: list[tuple[pa.Array, np.ndarray]] = []
         chunk = np.empty(CHUNK_TOKENS + SLICE_BYTES, np.uint32)  # one for all chunks; a longer text makes it longer
 
@@ -272,13 +282,12 @@ def pack(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column:
         tokens = 0
         for batch in batches:
             for part in ragged.slices(batch, 1, SLICE_BYTES):
-                flat, edges = words.documents(part.column(1), end_id)
-                if tokens + len(flat) > len(chunk):
-                    chunk = np.concatenate([chunk[:tokens], np.empty(len(flat), np.uint32)])
-                chunk[tokens: tokens + len(flat)] = flat
-                # a copy: the ids of a batch share its memory, which is mostly text
-                held.append((part.column(0).take(pa.array(np.arange(part.num_rows))), np.diff(edges)))
-                tokens += len(flat)
+                for ids, flat, per in words.steps(part, end_id):
+                    if tokens + len(flat) > len(chunk):
+                        chunk = np.concatenate([chunk[:tokens], np.empty(len(flat), np.uint32)])
+                    chunk[tokens: tokens + len(flat)] = flat
+                    held.append((ids, per))
+                    tokens += len(flat)
                 if tokens >= CHUNK_TOKENS:
                     yield packed()
                     tokens = 0

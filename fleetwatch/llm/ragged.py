@@ -27,6 +27,8 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: glibc's; other libraries give freed memory back on their own.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Powers are made this many at a time.
+_POWERS = 1 << 18
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +97,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        size = max(n, BATCH_BYTES + 1)
+        size = -(-n // _POWERS) * _POWERS
         for k, base in (("up", _BASE), ("down", _BASE_INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -104,6 +106,11 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def forget_powers() -> None:
+    """The powers are made again when they are needed, and only as many as are."""
+    _powers.update(n=0, up=np.ones(1, np.uint64), down=np.ones(1, np.uint64))
+
+
 def _running(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sums of ``item * base**position`` before each position, made in place, and the powers both ways."""
     up, down = _grown(len(values) + 1)

@@ -130,3 +130,24 @@ def test_hashing_works_in_place():
     tracemalloc.stop()
     assert len(set(found.tolist())) == 1
     assert peak < 12 * len(text)  # one number of 8 bytes for each byte, and the spans'; 16 before
+
+
+def test_texts_become_ids_in_small_steps():
+    """What a worker holds on the way follows from a step, not from a slice or from what ran before."""
+    import pyarrow as pa
+    texts = [" ".join(f"w{(7 * k + j) % 5000}" for j in range(400)) for k in range(500)]
+    part = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(texts)], ["id", "text"])
+    words = packing.WordIds(PATH)
+    whole, edges = words.documents(part.column(1), 1)
+    ragged.span_hashes(np.zeros(2 << 20, np.uint8), np.zeros(1, np.int64), np.ones(1, np.int64))  # an operator before, with larger batches
+    ragged.forget_powers()
+    tracemalloc.start()
+    ids, tokens, per = [], [], []
+    for a, b, c in words.steps(part, 1):
+        ids, tokens, per = ids + a.to_pylist(), [*tokens, b], [*per, c]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == list(range(500)) and np.array_equal(np.concatenate(tokens), whole)
+    assert np.array_equal(np.concatenate(per), np.diff(edges))
+    assert sum(map(len, texts)) > 3 * packing.STEP_BYTES and peak < 24 << 20  # some 50 MB at once, with powers for 2 MB
+    assert ragged._powers["n"] < 1 << 20
