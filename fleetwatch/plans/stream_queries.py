@@ -37,6 +37,13 @@ def _in_files(spark, sf, newest_first: bool = False, files: int = 4) -> str:
     return out
 
 
+def _in_ranges(spark, folder, files: int = 4):
+    """The files of ``_in_files`` as a stream whose micro-batches have a time range's share of them each, so
+    there are as many micro-batches however many files a larger table has."""
+    n = len(spark.read.parquet(T.table_path(folder, "events")).inputFiles())
+    return S.telemetry_stream(spark, folder, files_per_trigger=max(1, -(-n // files)))
+
+
 def _closing(spark, folder):
     return lambda: S.end_of_stream(spark, T.table_path(folder, "events"), days=400)
 
@@ -139,7 +146,7 @@ def _flagged(stream):
 def _rates(spark, sf, newest_first=False):
     """All windows of a stream of files, after a last row that closes them."""
     files = _in_files(spark, sf, newest_first)
-    return S.read_rates(spark, S.run_rates(spark, _flagged(S.telemetry_stream(spark, files)), close=_closing(spark, files)))
+    return S.read_rates(spark, S.run_rates(spark, _flagged(_in_ranges(spark, files)), close=_closing(spark, files)))
 
 
 query("stream_rates", ORACLE["rate_windows"])(_rates)
@@ -162,7 +169,7 @@ def stream_live_store(spark, sf):
 def stream_latency_quantiles(spark, sf):
     """Latency quantiles per window over a stream whose files come newest first."""
     files = _in_files(spark, sf, newest_first=True)
-    stream = S.telemetry_stream(spark, files).withColumn("latency_s", F.col("sensor_2") / F.lit(1000.0))
+    stream = _in_ranges(spark, files).withColumn("latency_s", F.col("sensor_2") / F.lit(1000.0))
     return S.read_latency_quantiles(spark, S.run_latency(spark, stream, close=_closing(spark, files)))
 
 

@@ -207,3 +207,15 @@ def test_share_of_keys_read_shrinks_as_history_grows(spark, tmp_path):
     assert all(new == sorted(((b, k) for k in range(400)), key=str) for b, new in enumerate(got))
     shares = [read / keys for read, keys in reads[1:]]
     assert shares[-1] < shares[0] and shares[-1] < 0.25
+
+
+def test_a_time_range_is_a_micro_batch_however_many_files_it_has(spark, tmp_path):
+    from fleetwatch.plans import stream_queries as Q
+    rows = [(i, f"2024-01-{1 + i % 20:02d} 00:00:00", i % 3, "view", float(i)) for i in range(200)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    for k in range(2):
+        events.repartition(10).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    batches = []
+    q = Q._in_ranges(spark, str(tmp_path)).writeStream.foreachBatch(lambda b, i: batches.append(b.count())).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(batches) == 4 and sum(batches) == 400  # 20 before, a file each
