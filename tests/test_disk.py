@@ -5,7 +5,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from fleetwatch.operators.features import apply_scaler, scaler_stats
-from fleetwatch.operators.models import autoencoder, training
+from fleetwatch.operators.models import autoencoder, rul, training
+from fleetwatch.operators.splits import unit_split
 from fleetwatch.session import materialize
 
 
@@ -44,3 +45,21 @@ def test_written_tables_leave_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert shuffle_files(spark) <= before and made.count() == 600
+
+
+def test_unit_split_shuffles_no_rows_of_a_table_with_few_units(spark):
+    df = materialize(readings(spark), "split-input")
+    for side in unit_split(df):
+        join = side._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in join and "SortMergeJoin" not in join
+    train, test = unit_split(df)
+    assert train.count() + test.count() == 600 and not {r[0] for r in train.select("unit_id").distinct().collect()} & {r[0] for r in test.select("unit_id").distinct().collect()}
+
+
+def test_window_table_has_no_column_that_follows_from_others(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(rul, "materialize", lambda df, *args, **kw: stored.append(df.columns) or materialize(df, *args, **kw))
+    _, _, pred = rul.sequence_run(readings(spark), ["a"], max_iter=1, depth=2)
+    assert stored == [["unit_id", "end_cycle", "RUL", "a__first", "a__last", "a__mean", "a__min", "a__max"]]
+    off = pred.where(F.col("a__slope") != (F.col("a__last") - F.col("a__first")) / 29)
+    assert pred.count() and off.isEmpty()
